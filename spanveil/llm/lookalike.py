@@ -149,8 +149,18 @@ def canonical(text: str | None) -> str | None:
         text = marks.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
     if not _FOREIGN.search(text):
         return text
-    if _ONLY_CYR.search(text) and not _OWN_LAT.search(text) and not _GREEK.search(text) and not _WITH_MARK.search(text):
+    if _ONLY_CYR.search(text) and not _OWN_LAT.search(text) and not _GREEK.search(text) and not MARKED.search(text):
         return text  # one script throughout: stable
+    return canonical_words(text)
+
+
+MARKED = re.compile("[̀-ͯ]")
+
+
+def canonical_words(text: str, same_length: bool = False) -> str:
+    """The words of a text, each in one script. With `same_length`, words whose length would change stay."""
+    if not _FOREIGN.search(text):
+        return text
     parts: list[str] = []
     at, script, waiting = 0, None, []
     for m in _WORD.finditer(text):
@@ -170,26 +180,24 @@ def canonical(text: str | None) -> str | None:
         if script is None:
             script = own
             for i in waiting:
-                parts[i] = _cast(parts[i], own)
+                parts[i] = _cast(parts[i], own, same_length)
         script = own
-        parts.append(_cast(word, own))
+        parts.append(_cast(word, own, same_length))
     for i in waiting if script is None else ():
-        parts[i] = _cast(parts[i], "l")
+        parts[i] = _cast(parts[i], "l", same_length)
     parts.append(text[at:])
     return "".join(parts)
 
 
-_WITH_MARK = re.compile("[̀-ͯ]")
-
-
-def _cast(word: str, script: str) -> str:
+def _cast(word: str, script: str, same_length: bool) -> str:
     """A word with its look-alike letters drawn from one script. Letters with an accent are taken apart first, as
     the accent does not change which script their base could be of."""
     plain = unicodedata.normalize("NFD", word)
     plain = plain.translate(_TO_LATIN)
     if script == "c":
         plain = plain.translate(_TO_CYRILLIC)
-    return unicodedata.normalize("NFC", plain)
+    plain = unicodedata.normalize("NFC", plain)
+    return word if same_length and len(plain) != len(word) else plain
 
 
 #: Characters that no rule of `tables` touches: ASCII, composed Latin, Cyrillic, drawn punctuation, signs, emoji. A text
