@@ -81,7 +81,7 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     fitted = (F.col("k") >= 3) & (vxx > 0)
     one = F.lit(1.0)
     return fit.select(
-        "page", (1 - F.col("left") / F.greatest(F.col("size"), F.lit(1))).alias("link_part"), "n_words",
+        "page", F.when(F.col("size") > 0, 1 - F.col("left") / F.col("size")).otherwise(0.0).alias("link_part"), "n_words",
         (F.col("function_words") / F.greatest(F.col("n_words"), one)).alias("function_part"), (F.col("numbers") / F.greatest(F.col("n_words") + F.col("numbers"), one)).alias("number_part"),
         F.when(fitted, vxy / vxx).otherwise(0.0).alias("slope"), F.when(fitted, F.sqrt(F.greatest(vyy - vxy * vxy / vxx, F.lit(0.0))) / F.col("k")).otherwise(0.0).alias("residual"),
         (F.col("heavy_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("heavy_part"),
