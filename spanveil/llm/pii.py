@@ -25,44 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.names import latin_names, russian_forms
 from spanveil.functions.validators import inn_valid, snils_valid
 from spanveil.llm.lookalike import MARKED, canonical_words, tables
 
 KINDS = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "NAME")
 
-# Given names, Russian.
-MALE = """
-александр алексей анатолий андрей антон аркадий арсений артём артур богдан борис борислав бронислав вадим валентин
-валерий василий виктор виталий владимир владислав всеволод вячеслав геннадий георгий герман глеб григорий давид даниил
-демьян денис дмитрий евгений егор елисей ефим захар иван игнат игорь илья иннокентий ипполит кирилл клим константин
-кузьма лев леонид лука макар максим марат марк мартын матвей мирон михаил назар никита николай олег осип остап павел
-пётр платон прохор радий ренат роберт родион роман ростислав руслан савва савелий самуил святослав семён сергей
-станислав степан тарас тимофей тимур тихон трофим фёдор филипп фома эдуард эльдар эмиль эрик юлиан юрий яков ян ярослав
-""".split()
-FEMALE = """
-агата аглая аделина алевтина александра алина алиса алла алёна альбина амина анастасия ангелина анна антонина
-анфиса арина ася белла берта богдана валентина валерия варвара василиса вера вероника виктория виолетта галина дарина
-дарья диана дина евгения евдокия екатерина елена елизавета ева жанна зинаида злата зоя инга инесса инна ирина карина
-кира клавдия клара кристина ксения лада лариса лидия лилия лина любовь людмила майя маргарита марина мария марта
-милана милена мирослава надежда наталия наталья нелли ника нина нонна оксана олеся ольга полина раиса регина римма роза
-руслана светлана серафима снежана софия софья стефания таисия тамара татьяна ульяна фаина юлиана юлия эвелина элеонора
-эльвира эмилия эмма яна ярина ярослава
-""".split()
-# Given names in Latin letters beside the transliterated Russian ones.
-LATIN = """
-aaron adam adrian agnes alan albert alfred alice amelia amy andrew anna anne ansel anthony arthur audrey barbara basil
-beatrice benjamin bernard bridget briony bruce caroline caspar catherine cecil charles charlotte christopher clara
-claire colin conrad corwin cyril daniel david deborah delphine diana donald dorothy douglas duncan edgar edith edmund
-edward edwin eleanor elizabeth ella ellen emily emma eric ernest ethel eugene evelyn felix fergal fiona florence frances
-francis frederick gareth geoffrey george gerald gilbert gordon gregory gwen halden hannah harold harriet harry helen
-henry herbert howard hugh ian ingrid irene isaac isabel jack jacob james jane janet jasper jean jennifer jessica joan
-john jonathan joseph joyce judith julia juniper karen kate katherine keith kenneth laura lawrence leonard lewis lilian
-louis louise lucy luke marcus margaret maria marion marla martha martin mary matthew maurice michael miriam monica muriel
-nancy nathan neil nicholas nigel noel nora norman odette oliver olivia oscar oswald owen pamela patricia patrick paul
-peter philip phoebe rachel ralph raymond rebecca renée richard robert roger ronald rosalind rupert ruth samuel sarah
-sheila sidney simon sophia stephen stuart susan sylvia theodore thomas timothy tobin ursula victor vincent violet walter
-wendy wilfred william winifred zoe zoë
-""".split()
 #: Given names that are ordinary words too; alone beside a word in small letters they prove nothing.
 COMMON = set("роман лев вера надежда любовь марк роза лилия майя мир слава ян ева ника лина ася лада клим тихон белла клара rose violet grant mark will may jean jack drew victor duncan noel basil norman juniper florence diana герман макар платон лука злата фаина регина марта".split())
 # Words that name a kind of street.
@@ -106,33 +74,9 @@ _ADDRESS_HEAD = re.compile(rf"(?:(?:\d{{6}},?\s*)?(?:(?:г|гор|город|с|
 _LATIN_ADDRESS = re.compile(rf"(?<![\w.,/-])\d{{1,4}}[a-z]?\s+([^\W\d_]+(?:['’-][^\W\d_]+)?(?:\s+[^\W\d_]+)?)\s+(?:{'|'.join(LATIN_STREET)})\b", re.I)
 _PLACEHOLDER = re.compile(r"\[[A-ZА-Я_]+(?:_\d+)?\]|\*{2,}")
 
-# Latin letters for Cyrillic ones, as passports write them.
-_TRANSLIT = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "a b v g d e zh z i y k l m n o p r s t u f kh ts ch sh sch  y  e yu ya e".split(" ")))
-
-
-def translit(word: str) -> str:
-    return "".join(_TRANSLIT.get(c, c) for c in word)
-
-
-def forms(name: str) -> set[str]:
-    """The case forms of a Russian given name, by its ending."""
-    stem = name[:-1]
-    if name.endswith("я"):
-        out = {stem + e for e in ("я", "и", "е", "ю", "ей")}
-    elif name.endswith("а"):
-        out = {stem + e for e in ("а", "ы", "и", "е", "у", "ой", "ей")}
-    elif name[-1] in "йь":
-        out = {name} | {stem + e for e in ("я", "ю", "ем", "е", "и", "ью")}
-    else:
-        out = {name + e for e in ("", "а", "у", "ом", "е")}
-    out |= {"павел": {"павла", "павлу", "павлом", "павле"}, "лев": {"льва", "льву", "львом"}, "пётр": {"петра", "петру", "петром", "петре"}}.get(name, set())
-    return out | {x.replace("ё", "е") for x in out}
-
-
 @lru_cache(1)
 def lexicon() -> tuple[frozenset[str], frozenset[str], ahocorasick.Automaton]:
-    russian = frozenset(f for n in MALE + FEMALE for f in forms(n))
-    latin = frozenset(LATIN) | {translit(n) for n in MALE + FEMALE} | {translit(n).replace("iy", "y") for n in MALE + FEMALE}
+    russian, latin = russian_forms(), latin_names()
     a = ahocorasick.Automaton()
     kinds: dict[str, set[str]] = {}
 
