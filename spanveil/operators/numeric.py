@@ -53,10 +53,14 @@ def typo_near(win: Column, anchors: list[str], least: int = 7) -> Column:
     long = [a for a in anchors if len(a) >= least]
     out = F.lit(False)
     for a in long:
-        out = out | F.exists(words, lambda w, a=a: one_edit(w, a))
+        out = out | F.exists(words, _one_edit_from(a))
     return out
 
 
+def _one_edit_from(anchor: str):
+    return lambda w: one_edit(w, anchor)
+
+
 def _found(kind: str, conf: float, reason: str) -> Column:
     return F.struct(F.lit(kind).alias("type"), F.lit(conf).alias("conf"), F.lit(reason).alias("reason"))
 
@@ -133,7 +137,7 @@ def series_and_number(low: Column) -> Column:
     """Passport series and number written apart, with words between them."""
     words = r"(?:номер|ном\.?|no\.?|n|№|#|:|,|-|\s){1,8}"
     found = t.matches(low, rf"(?<=(?:сери[яиюей]{{1,2}}|паспорт[а-я]{{0,3}}|passport)[\s:,-]{{1,3}})[0-9]{{2}}\s?[0-9]{{2}}(?![0-9]){words}[0-9]{{6}}(?![0-9])")
-    return F.transform(F.filter(found, lambda m: ~m["value"].contains("\n")), lambda m: _span(m["start"], m["end"], F.struct(F.lit("PASSPORT").alias("type"), F.lit(HIGH).alias("conf"), F.lit("passport:series_number_words").alias("reason"))))
+    return F.transform(F.filter(found, lambda m: m["value"].rlike(r"[^0-9\s]") & ~m["value"].contains("\n")), lambda m: _span(m["start"], m["end"], F.struct(F.lit("PASSPORT").alias("type"), F.lit(HIGH).alias("conf"), F.lit("passport:series_number_words").alias("reason"))))
 
 
 def _span(start: Column, end: Column, found: Column) -> Column:

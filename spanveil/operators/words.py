@@ -274,4 +274,5 @@ def word_spans(text: Column, wanted: tuple[str, ...], as_of_year: int = 2026, da
     def spans(texts: pa.Array) -> pa.Array:
         return pa.array([read(x, types, as_of_year, date_mode) for x in texts.to_pylist()], _TYPE)
 
-    return spans(text)
+    # Marked so, the optimiser neither repeats nor moves the call: each text is read once.
+    return spans.asNondeterministic()(text)
