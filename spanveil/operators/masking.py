@@ -39,8 +39,10 @@ def partial(value: Column) -> Column:
 
 
 def initials(value: Column) -> Column:
-    """The first letter of each word with a dot."""
-    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("."))), " ")
+    """The first letter of each word with a dot; stars for a value without letters. A hyphen does not part words."""
+    words = F.regexp_extract_all(value, F.lit(r"\p{L}[\p{L}-]*"), F.lit(0))
+    short = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("."))), " ")
+    return F.when(F.size(words) == 0, full(value)).otherwise(short)
 
 
 def by_preset(value: Column, preset: Column, kind: Column, token: Column) -> Column:
