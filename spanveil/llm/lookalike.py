@@ -220,8 +220,7 @@ def _canonical_udf(s: pd.Series) -> pd.Series:
 
 def consistent(text: Column) -> Column:
     """Column form of `canonical`; stable texts never leave the JVM (the Python side receives NULL for them)."""
-    unstable = needs_work(text)
-    return F.when(unstable, _canonical_udf(F.when(unstable, text))).otherwise(text)
+    return F.coalesce(_canonical_udf(F.when(needs_work(text), text)), text)
 
 
 def consistent_texts(df: DataFrame, text: str, into: str = "form") -> DataFrame:
@@ -233,7 +232,7 @@ def look_alike_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """class_id and raw digest of each distinct text that looks like another distinct text: one row per
     (class, distinct text) as look_key, raw_key, first_id, n_rows. Exact copies are counted, not expanded."""
     shaped = df.where(F.col(text).isNotNull()).select(F.col(row_id).alias("id"), digest(F.col(text)).alias("raw_key"), digest(consistent(F.col(text))).alias("look_key"))
-    variants = shaped.groupBy("look_key", "raw_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
+    variants = durable(shaped.groupBy("look_key", "raw_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows")))
     several = variants.groupBy("look_key").agg(F.count("*").alias("n_variants")).where("n_variants > 1")
     return durable(variants.join(several, "look_key"))
 
