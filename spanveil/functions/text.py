@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,15 +72,19 @@ def longest_anchor(win: Column, anchors: Iterable[str]) -> Column:
 
 
 def contains_any(win: Column, words: Iterable[str]) -> Column:
-    return win.rlike(quoted(words))
+    """Whether any of the words is in the window: plain byte searches, far cheaper than one regular expression."""
+    kept = [w for w in words]
+    kept = [w for w in dict.fromkeys(kept) if not any(o in w and o != w for o in kept)]
+    out = F.lit(False)
+    for w in kept:
+        out = out | F.contains(win, F.lit(w))
+    return out
 
 
 def anchor_before(low: Column, start: Column, anchors: Iterable[str], reach: int) -> Column:
     """Whether an anchor stands to the left with no digit between it and the value; spaces inside it do not count."""
-    left = cut(low, start - reach, start)
-    pattern = f"(?:{quoted(anchors)})[^0-9]*$"
-    squeezed = F.translate(left, " \t ", "")
-    return left.rlike(pattern) | squeezed.rlike(f"(?:{quoted(a.replace(' ', '') for a in anchors)})[^0-9]*$")
+    left = F.regexp_extract(cut(low, start - reach, start), "([^0-9]*)$", 1)
+    return let(left, lambda x: contains_any(x, anchors) | contains_any(F.translate(x, " \t\u00a0", ""), [a.replace(" ", "") for a in anchors]))
 
 
 def lines(text: Column) -> Column:
@@ -165,19 +169,28 @@ def inflated(text: Column, size: Column) -> Column:
     return F.substring(F.repeat(text, F.ceil(size / F.greatest(F.length(text), F.lit(1))).cast("int")), F.lit(1), size)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row: inside a lambda, a plain expression would be computed again
+    for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Each match of a pattern that takes at least one character, as (start, end, value), by place. Places come from
     the lengths of what stands between, so all of it stays inside the JVM."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def placed(found):
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("value"))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"])).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 # What may stand between the digit groups of one number.
@@ -192,7 +205,7 @@ def digit_runs(text: Column) -> Column:
     def run(m):
         lead = m["value"].rlike(r"^[\p{IsLatin}\p{IsCyrillic}]").cast("int")
         value = F.substring(m["value"], lead + 1, F.length(m["value"]))
-        groups = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
+        groups = F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")
         seps = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(value, r"^\+", ""), "[0-9]", ""), ""))), "")
         return F.struct(
             (m["start"] + lead).alias("start"), m["end"].alias("end"), value.alias("value"), digits_only(value).alias("digits"),

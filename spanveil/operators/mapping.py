@@ -77,5 +77,5 @@ def kept_at_capacity(mappings: DataFrame, capacity: int) -> DataFrame:
 def coalesced(requests: DataFrame, by: str, seconds: int) -> DataFrame:
     """One request for equal (payload_id, text) within a span of time; the first counts for the others."""
     w = Window.partitionBy("payload_id", hash_of(F.col("payload"))).orderBy(by)
-    gap = F.unix_micros(F.col(by)) - F.unix_micros(F.lag(by).over(w))
+    gap = F.unix_micros(F.col(by).cast("timestamp")) - F.unix_micros(F.lag(by).over(w).cast("timestamp"))
     return requests.withColumn("leader", gap.isNull() | (gap > seconds * 1_000_000))

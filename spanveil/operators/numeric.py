@@ -65,38 +65,57 @@ def _found(kind: str, conf: float, reason: str) -> Column:
     return F.struct(F.lit(kind).alias("type"), F.lit(conf).alias("conf"), F.lit(reason).alias("reason"))
 
 
-def classify(low: Column, run: Column) -> Column:
-    """(type, conf, reason) of one number, or NULL. `low` is the text in lower case of the same width."""
-    start, end, digits, pattern = run["start"], run["end"], run["digits"], run["pattern"]
-    n = F.length(digits)
-    around = t.window(low, start, end, AROUND, AROUND // 2)
-    head = F.regexp_extract(t.cut(low, start - SENTENCE, start), r"([^.!?;\n\r]*)$", 1)
-    after = t.cut(low, end, end + NEAR)
-    wide_left = t.cut(low, start - SENTENCE, start)
+def with_windows(low: Column, runs: Column) -> Column:
+    """Runs with the windows that the rules look at, each cut from the text once."""
+
+    def cuts(r):
+        start, end = r["start"], r["end"]
+        left = t.cut(low, start - TAIL, start)
+        right = t.cut(low, end, end + AROUND // 2 + 4)
+        return F.struct(start.alias("start"), end.alias("end"), r["digits"].alias("digits"), r["pattern"].alias("pattern"), r["seps"].alias("seps"), r["plus"].alias("plus"), r["value"].alias("value"), left.alias("left"), right.alias("right"))
+
+    def windows(x):
+        left, right, value = x["left"], x["right"], F.lower(x["value"])
+        last = lambda n: F.substring(left, -n, n)
+        bare = lambda n: F.regexp_extract(last(n), "([^0-9]*)$", 1)
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["digits"].alias("digits"), x["pattern"].alias("pattern"), x["seps"].alias("seps"), x["plus"].alias("plus"),
+            F.concat(last(AROUND), value, F.substring(right, 1, AROUND // 2)).alias("around"), F.concat(last(AROUND), value, F.substring(right, 1, 10)).alias("close"),
+            F.regexp_extract(last(SENTENCE), r"([^.!?;\n\r]*)$", 1).alias("head"), F.substring(right, 1, NEAR).alias("after"), last(SENTENCE).alias("sentence"),
+            last(NEAR).alias("left"), bare(NEAR).alias("near"), bare(AROUND).alias("wide"),
+            F.regexp_extract(left, r"([^\n\r]*)$", 1).alias("tail"), F.length(x["digits"]).alias("n"), F.size(F.split(x["pattern"], "-")).alias("groups"),
+        )
+
+    return F.transform(F.transform(runs, cuts), windows)
+
+
+def classify(run: Column) -> Column:
+    """(type, conf, reason) of one number with its windows, or NULL."""
+    digits, pattern, n, groups = run["digits"], run["pattern"], run["n"], run["groups"]
+    around, head, after = run["around"], run["head"], run["after"]
 
     def at(words):
         return t.contains_any(around, words)
 
-    def near(words, reach=NEAR):
-        return t.anchor_before(low, start, words, reach)
+    def near(words, wide=False):
+        """An anchor to the left with no digit in between; blanks inside it do not count."""
+        left = run["wide"] if wide else run["near"]
+        return t.contains_any(left, words) | t.contains_any(F.translate(left, " \t\u00a0", ""), [w.replace(" ", "") for w in words])
 
-    service = head.rlike(rf"(?s)(?:{t.quoted(SERVICE)})(?!.*(?:{t.quoted(STRONG)}))") & ~t.contains_any(wide_left, PASSPORT_STRICT)
-    money = t.contains_any(t.window(low, start, end, AROUND, 10), MONEY)
+    service = head.rlike(rf"(?s)(?:{t.quoted(SERVICE)})(?!.*(?:{t.quoted(STRONG)}))") & ~t.contains_any(run["sentence"], PASSPORT_STRICT)
+    money = t.contains_any(run["close"], MONEY)
     luhn, shape = v.luhn(digits), pattern.isin("4-6", "2-2-6")
-    groups = F.size(F.split(pattern, "-"))
-
     phone_shape = (run["plus"] & n.between(10, 15)) | digits.rlike("^[78][0-9]{10}$") | ((n == 10) & (groups >= 3))
     phone = phone_shape & ~v.toll_free(digits)
     card = n.between(13, 19)
     passport_shape = (n == 10) & pattern.isin("4-6", "2-2-6", "10", "4-2-4")
     secret = n.between(2, 5)
     dept = pattern.isin("3-3", "6") | n.isin(5, 6)
-    short_left = t.cut(low, start - NEAR, start)
-    tail = F.regexp_extract(t.cut(low, start - TAIL, start), r"([^\n\r]*)$", 1)
+    short_left, tail = run["left"], run["tail"]
     kpp = F.regexp_extract(after, r"^([^.!?\n\r]*)", 1).contains("кпп")
     none = F.lit(None).cast("struct<type:string,conf:double,reason:string>")
     rules = [
-        ((groups >= 4) & (run["seps"] == ".") & (n <= 12), none),
+        ((n < 2) | ((groups >= 4) & (run["seps"] == ".") & (n <= 12)), none),
         (phone & at(PHONE), _found("PHONE", HIGH, "phone:anchor")),
         (phone & (run["plus"] | digits.rlike("^[78]")), _found("PHONE", HIGH, "phone:shape")),
         (phone & typo_near(around, TYPO_PHONE), _found("PHONE", HIGH, "phone:anchor_typo")),
@@ -117,7 +136,7 @@ def classify(low: Column, run: Column) -> Column:
         (~service & (pattern == "10") & ~at(PASSPORT) & ~t.contains_any(head, NOT_PASSPORT + OTHER_DOCUMENT) & ~money & around.rlike(r"[\p{IsCyrillic}\p{IsLatin}]"), _found("PASSPORT", ANCHORED, "passport:shape_solid")),
         (~service & n.between(9, 11) & near(PASSPORT_STRICT), _found("PASSPORT", ANCHORED, "passport:anchor_typo_digits")),
         (dept & near(DEPT), _found("DEPT_CODE", HIGH, "dept:anchor")),
-        (dept & near(DEPT_WIDE, AROUND), _found("DEPT_CODE", HIGH, "dept:anchor_wide")),
+        (dept & near(DEPT_WIDE, True), _found("DEPT_CODE", HIGH, "dept:anchor_wide")),
         (dept & t.contains_any(after, DEPT), _found("DEPT_CODE", HIGH, "dept:anchor_after")),
         (dept & typo_near(short_left, TYPO_DEPT), _found("DEPT_CODE", HIGH, "dept:anchor_typo")),
         ((pattern == "3-3") & at(PASSPORT), _found("DEPT_CODE", ANCHORED, "dept:passport_context")),
@@ -134,10 +153,12 @@ def classify(low: Column, run: Column) -> Column:
 
 
 def series_and_number(low: Column) -> Column:
-    """Passport series and number written apart, with words between them."""
+    """Passport series and number written apart, with words between them, after a word for passport or series."""
     words = r"(?:номер|ном\.?|no\.?|n|№|#|:|,|-|\s){1,8}"
-    found = t.matches(low, rf"(?<=(?:сери[яиюей]{{1,2}}|паспорт[а-я]{{0,3}}|passport)[\s:,-]{{1,3}})[0-9]{{2}}\s?[0-9]{{2}}(?![0-9]){words}[0-9]{{6}}(?![0-9])")
-    return F.transform(F.filter(found, lambda m: m["value"].rlike(r"[^0-9\s]") & ~m["value"].contains("\n")), lambda m: _span(m["start"], m["end"], F.struct(F.lit("PASSPORT").alias("type"), F.lit(HIGH).alias("conf"), F.lit("passport:series_number_words").alias("reason"))))
+    found = t.matches(low, rf"(?<![0-9])[0-9]{{2}}\s?[0-9]{{2}}(?![0-9]){words}[0-9]{{6}}(?![0-9])")
+    named = lambda m: t.cut(low, m["start"] - 24, m["start"]).rlike(r"(?:сери[яиюей]{1,2}|паспорт[а-я]{0,3}|passport)[\s:,-]{1,3}$")
+    apart = F.filter(found, lambda m: m["value"].rlike(r"[^0-9\s]") & ~m["value"].contains("\n") & named(m))
+    return F.transform(apart, lambda m: _span(m["start"], m["end"], _found("PASSPORT", HIGH, "passport:series_number_words")))
 
 
 def _span(start: Column, end: Column, found: Column) -> Column:
@@ -147,11 +168,11 @@ def _span(start: Column, end: Column, found: Column) -> Column:
 def number_spans(text: Column, low: Column, runs: Column) -> Column:
     """Findings among the numbers of a text, ends trimmed. A number inside a series and number written apart belongs
     to that one."""
-    joined = series_and_number(low)
 
     def span(r):
-        ends = t.trim_ends(text, r["start"], r["end"])
-        return _span(F.when(r["plus"], r["start"]).otherwise(ends["start"]), ends["end"], classify(low, r))
+        # A number begins with a digit or its plus and ends with a digit: nothing is left to trim.
+        return t.let(classify(r), lambda c: _span(r["start"], r["end"], c))
 
-    singles = F.filter(F.transform(runs, span), lambda s: s["type"].isNotNull())
-    return F.concat(joined, F.filter(singles, lambda s: ~F.exists(joined, lambda j: (j["start"] < s["end"]) & (s["start"] < j["end"])))).cast(SPANS)
+    singles = F.filter(F.transform(with_windows(low, runs), span), lambda s: s["type"].isNotNull())
+    both = lambda joined: F.concat(joined, F.filter(singles, lambda s: ~F.exists(joined, lambda j: (j["start"] < s["end"]) & (s["start"] < j["end"])))).cast(SPANS)
+    return t.let(series_and_number(low), both)

@@ -43,9 +43,8 @@ def email_spans(text: Column) -> Column:
 
 
 def _anchored(low: Column, words: list[str], before: int, after: int = 24):
-    folded = t.fold_alike(low)
     both = [*words, *[w.translate(str.maketrans(t.ALIKE_LATIN, t.ALIKE_CYRILLIC)) for w in words]]
-    return lambda m: t.contains_any(t.window(folded, m["start"], m["end"], before, after), both)
+    return lambda m: t.contains_any(t.fold_alike(t.window(low, m["start"], m["end"], before, after)), both)
 
 
 def extra_spans(text: Column, low: Column, runs: Column) -> Column:
@@ -55,7 +54,7 @@ def extra_spans(text: Column, low: Column, runs: Column) -> Column:
     letter = f"[{PLATE_LETTERS}]"
     plates = t.matches(low, rf"(?<![\p{{L}}\p{{Nd}}]){letter} ?[0-9]{{3}} ?{letter}{{2}} ?[0-9]{{2,3}}(?![\p{{L}}\p{{Nd}}])")
     plate = _spans(plates, "PLATE", HIGH, "plate:anchor", _anchored(low, PLATE, 40))
-    vins = t.matches(text, r"(?<![\p{L}\p{Nd}])[0-9A-Za-z]{4,17}(?: [0-9A-Za-z]{1,13})?(?![\p{L}\p{Nd}])")
+    vins = t.matches(text, r"(?<![\p{L}\p{Nd}])(?:[0-9A-HJ-NPR-Za-hj-npr-z]{17}|(?=[0-9A-Za-z ]{18}(?![\p{L}\p{Nd}]))(?=[^ ]*[0-9])[0-9A-HJ-NPR-Za-hj-npr-z]{3,14} [0-9A-HJ-NPR-Za-hj-npr-z]{3,14})(?![\p{L}\p{Nd}])")
     vin = _spans(vins, "VIN", HIGH, "vin:anchor", lambda m: v.vin(F.translate(m["value"], " ", "")) & _anchored(low, VIN, 72)(m))
     ips = t.matches(text, r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9/])")
     ip = _spans(ips, "IP_ADDRESS", HIGH, "ip:anchor", lambda m: v.ipv4(m["value"]) & ~v.service_ipv4(m["value"]) & _anchored(low, IP, 40)(m))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import text as t
 from spanveil.operators import masking, numeric, patterns, spans, words
+from spanveil.runtime import spread
 from spanveil.schema import ALL_TYPES, SPANS
 
 #: What each detector can find, in the order in which they run.
@@ -34,7 +35,7 @@ def detected(df: DataFrame, text: str, types: tuple[str, ...] = ALL_TYPES, custo
     if wanted & set(EXTRAS):
         parts.append(F.when(body.rlike("[0-9]"), patterns.extra_spans(body, low, runs)))
     parts += [patterns.custom_spans(low, c) for c in custom]
-    out = df.withColumn("_low", t.lower_same_width(body)).withColumn("_runs", t.digit_runs(body))
+    out = spread(df).withColumn("_low", t.lower_same_width(body)).withColumn("_runs", t.digit_runs(body))
     if wanted & set(WORDS):
         out = out.withColumn("_words", words.word_spans(F.col(text), tuple(k for k in WORDS if k in wanted), as_of_year, date_mode))
         parts.append(F.col("_words"))

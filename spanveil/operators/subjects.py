@@ -66,7 +66,7 @@ def links(text: Column, spans: Column) -> Column:
     def run(texts: pa.Array, sets: pa.Array) -> pa.Array:
         return pa.array([link(x, s) for x, s in zip(texts.to_pylist(), sets.to_pylist())], _TYPE)
 
-    return run.asNondeterministic()(text, spans)
+    return run(text, spans)
 
 
 def edges(linked: Column) -> Column:

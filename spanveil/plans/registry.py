@@ -1,4 +1,4 @@
-"""All queries of the core, by name, and their SQL twins."""
+"""All queries of the core, by name, and their SQL twins. The modules below register themselves when imported."""
 
 from __future__ import annotations
 
@@ -6,5 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanveil.runtime import prepare
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(prepare(spark), sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from spanveil.plans import aggregates, findings, flows, primitives, sets  # noqa: E402, F401

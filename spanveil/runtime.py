@@ -22,6 +22,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    # This rule puts the exploded expression into a filter as well, so that a detector would run twice for each text.
+    rule = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+    excluded = conf.get("spark.sql.optimizer.excludedRules", "") or ""
+    if rule not in excluded:
+        conf.set("spark.sql.optimizer.excludedRules", f"{excluded},{rule}".strip(","))
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
@@ -51,6 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for work that costs far more than moving the rows once. A large table comes in more parts
+    than there are cores and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
