@@ -97,7 +97,7 @@ def paragraphs(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentence texts: an end mark followed by a blank, a line break or the end closes one."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])(?=\s)|\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])(?=\s)|\n"), lambda s: F.regexp_replace(s, r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "")), lambda s: s != "")
 
 
 def trimmed(value: Column) -> Column:

@@ -63,24 +63,36 @@ def link(text: str | None, spans: list[dict] | None) -> list[dict]:
 
 def links(text: Column, spans: Column) -> Column:
     @F.arrow_udf("array<struct<subject:int,sentence:int,form:int,value:string>>")
-    def run(texts: pa.Array, sets: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, sets: pa.Array, _: pa.Array) -> pa.Array:
         return pa.array([link(x, s) for x, s in zip(texts.to_pylist(), sets.to_pylist())], _TYPE)
 
-    return run(text, spans)
+    # Referred to twice, the spans are computed before the call and not inside its arguments.
+    return run(text, spans, F.size(spans))
 
 
-def edges(linked: Column) -> Column:
+def edges_of(text: str | None, spans: list[dict] | None) -> list[dict]:
     """(a, b, basis, conf) for each two spans that share a sentence, a questionnaire or a value, by basis."""
+    linked = link(text, spans)
+    out = []
+    for basis, conf in (("sentence", SENTENCE_CONF), ("form", SURE_CONF), ("value", SURE_CONF)):
+        groups: dict = {}
+        for i, x in enumerate(linked):
+            if x[basis] not in (None, ""):
+                groups.setdefault(x[basis], []).append(i)
+        name = {"form": "anchor", "value": "repeat"}.get(basis, basis)
+        out += [{"a": a, "b": b, "basis": name, "conf": conf} for g in groups.values() for k, a in enumerate(g) for b in g[k + 1 :]]
+    return out
+
+
+def edges(text: Column, spans: Column) -> Column:
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("basis", pa.string()), ("conf", pa.float64())]))
 
-    def pairs(basis: str, conf: float, same):
-        return F.flatten(F.transform(linked, lambda x, i: F.transform(
-            F.filter(F.transform(linked, lambda y, j: F.struct(j.alias("j"), same(x, y).alias("same"))), lambda p: (p["j"] > i) & F.coalesce(p["same"], F.lit(False))),
-            lambda p: F.struct(i.alias("a"), p["j"].alias("b"), F.lit(basis).alias("basis"), F.lit(conf).alias("conf")))))
+    @F.arrow_udf("array<struct<a:int,b:int,basis:string,conf:double>>")
+    def run(texts: pa.Array, sets: pa.Array, _: pa.Array) -> pa.Array:
+        return pa.array([edges_of(x, s) for x, s in zip(texts.to_pylist(), sets.to_pylist())], kind)
 
-    return F.concat(
-        pairs("sentence", SENTENCE_CONF, lambda x, y: x["sentence"] == y["sentence"]), pairs("anchor", SURE_CONF, lambda x, y: x["form"] == y["form"]),
-        pairs("repeat", SURE_CONF, lambda x, y: (x["value"] == y["value"]) & (x["value"] != "")),
-    )
+    # Referred to twice, the spans are computed before the call and not inside its arguments.
+    return run(text, spans, F.size(spans))
 
 
 def required(spans: Column, linked: Column, rules: Column) -> Column:

@@ -128,7 +128,8 @@ def replaced(text: str | None, spans: list[dict] | None) -> str | None:
 
 def synthetic_column(text: Column, spans: Column) -> Column:
     @F.arrow_udf("string")
-    def put(texts: pa.Array, sets: pa.Array) -> pa.Array:
+    def put(texts: pa.Array, sets: pa.Array, _: pa.Array) -> pa.Array:
         return pa.array([replaced(x, s) for x, s in zip(texts.to_pylist(), sets.to_pylist())], pa.string())
 
-    return put.asNondeterministic()(text, spans)
+    # Referred to twice, the spans are computed before the call and not inside its arguments.
+    return put(text, spans, F.size(spans))

@@ -165,7 +165,7 @@ def u_merged(spark, d):
 
 @query(
     r"""WITH s AS (SELECT doc_id, text, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS sentence FROM (SELECT doc_id, text,
-      list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?;])([ \t\n\x0b\f\r])', '\1' || chr(1) || '\2', 'g'), '\x01|\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)),
+      list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?;])([ \t\n\x0b\f\r])', '\1' || chr(1) || '\2', 'g'), '\x01|\n'), lambda x: regexp_replace(x, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda x: x <> '') AS p FROM documents)),
     g AS (SELECT sentence, min((doc_id, pos)) AS x FROM s WHERE length(sentence) BETWEEN 40 AND 300 AND NOT regexp_matches(sentence, '[0-9@]') AND regexp_matches(sentence, '[.!?]$') GROUP BY 1),
     r AS (SELECT x[1] AS doc_id, x[2] AS pos, sentence, row_number() OVER (PARTITION BY x[1] ORDER BY x[2]) AS n FROM g)
     SELECT doc_id, pos::INT AS pos, sentence FROM r WHERE n <= 5"""

@@ -141,8 +141,8 @@ def g_subjects(spark, d):
 @query()
 def g_edges(spark, d):
     s = pipeline.settled(pipeline.detected(table(spark, d, "samples").where("text is not null").select("sample_id", "text"), "text")).select("sample_id", "text", "kept")
-    s = s.withColumn("links", subjects.links(F.col("text"), F.col("kept")))
-    return s.select("sample_id", F.explode(subjects.edges(F.col("links"))).alias("e")).select("sample_id", "e.*")
+    s = s.withColumn("edges", subjects.edges(F.col("text"), F.col("kept")))
+    return s.select("sample_id", F.explode("edges").alias("e")).select("sample_id", "e.*")
 
 
 @query()

@@ -64,7 +64,7 @@ def t_costs(spark, d):
 
 @query(
     r"""SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, len(list_filter(string_split_regex(text, '\n[ \t\r]*\n'), lambda p: trim(p) <> ''))::INT AS n_paragraphs,
-    len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?;])([ \t\n\x0b\f\r])', '\1' || chr(1) || '\2', 'g'), '\x01|\n'), lambda s: trim(s)), lambda s: s <> ''))::INT AS n_sentences FROM documents WHERE text IS NOT NULL"""
+    len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?;])([ \t\n\x0b\f\r])', '\1' || chr(1) || '\2', 'g'), '\x01|\n'), lambda s: regexp_replace(s, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda s: s <> ''))::INT AS n_sentences FROM documents WHERE text IS NOT NULL"""
 )
 def t_structure(spark, d):
     x = F.col("text")
