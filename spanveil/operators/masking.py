@@ -99,10 +99,11 @@ def mask_synthetic(df: DataFrame, text: str, spans: str, into: str = "masked") -
 
 def looks_masked(text: Column, preset: Column) -> Column:
     """Whether at least half of a text's letters and signs are stars, placeholders or initials, by preset."""
-    size = F.greatest(F.length(F.regexp_replace(text, r"\s", "")), F.lit(1))
+    solid = F.length(F.regexp_replace(text, r"\s", ""))
+    size = F.greatest(solid, F.lit(1))
     stars = F.length(F.regexp_replace(text, r"[^*]", "")) / size
     inside = lambda p: 1 - F.length(F.regexp_replace(F.regexp_replace(text, p, ""), r"\s", "")) / size
-    return F.when(preset == "token", inside(r"\[[\p{Lu}_]+_[0-9]+\]") >= 0.5).when(preset == "initials", inside(r"(?<!\p{L})\p{Lu}\.") >= 0.5).otherwise(stars >= 0.5)
+    return F.when(solid == 0, False).when(preset == "token", inside(r"\[[\p{Lu}_]+_[0-9]+\]") >= 0.5).when(preset == "initials", inside(r"(?<!\p{L})\p{Lu}\.") >= 0.5).otherwise(stars >= 0.5)
 
 
 def restored(df: DataFrame, text: str, placeholders: str, into: str = "restored") -> DataFrame:

@@ -136,7 +136,7 @@ def m_tokens(spark, d):
 
 @query(
     r"""SELECT raw_id, length(regexp_replace(payload, '[^*]', '', 'g')) / greatest(length(regexp_replace(payload, '[ \t\n\x0b\f\r]', '', 'g')), 1) >= 0.5 AS stars,
-    1 - length(regexp_replace(regexp_replace(payload, '\[[\p{Lu}_]+_[0-9]+\]', '', 'g'), '[ \t\n\x0b\f\r]', '', 'g')) / greatest(length(regexp_replace(payload, '[ \t\n\x0b\f\r]', '', 'g')), 1) >= 0.5 AS tokens FROM raw_samples"""
+    1 - length(regexp_replace(regexp_replace(payload, '\[[\p{Lu}_]+_[0-9]+\]', '', 'g'), '[ \t\n\x0b\f\r]', '', 'g')) / greatest(length(regexp_replace(payload, '[ \t\n\x0b\f\r]', '', 'g')), 1) >= 0.5 AND regexp_matches(payload, '[^ \t\n\x0b\f\r]') AS tokens FROM raw_samples"""
 )
 def m_looks_masked(spark, d):
     x = F.col("payload")

@@ -32,9 +32,10 @@ def labelled(spark: SparkSession, path: str, category: str | None = None, limit:
 
 
 def with_broken_count(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, one row with the number of broken lines)."""
-    df = spark.read.schema(LABELLED + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return df.where(F.col("_broken").isNull()).drop("_broken"), df.agg(F.count("_broken").alias("broken_lines"))
+    """(records, one row with the numbers of broken lines and of records)."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", LABELLED + ", _broken string", options).alias("r")).select("r.*")
+    return lines.where(F.col("_broken").isNull()).drop("_broken"), lines.agg(F.count("_broken").alias("broken_lines"), F.count("id").alias("records"))
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:
