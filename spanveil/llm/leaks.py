@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanveil.llm.lookalike import ALIKE, tables
 
@@ -270,14 +271,14 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     out = None
     for block in _blocks(items, item_id, item_text):
         shared = sc.broadcast(block)
-        part = rows.mapInArrow(_search(shared), schema)
+        part = rows.mapInArrow(_search(shared, to_arrow_type(items.schema[item_id].dataType)), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
     return out.distinct()
 
 
-def _search(shared):
+def _search(shared, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = indexes(shared.value)
         for b in batches:
@@ -291,7 +292,7 @@ def _search(shared):
                 for index in built:
                     found = list(index.find(texts[at:end]))
                     if found:
-                        yield pa.RecordBatch.from_arrays([pa.array([index.ids[y] for _, y in found]), ids.take(pa.array([at + x for x, _ in found]))], names=["item_id", "doc_id"])
+                        yield pa.RecordBatch.from_arrays([pa.array([index.ids[y] for _, y in found], id_type), ids.take(pa.array([at + x for x, _ in found]))], names=["item_id", "doc_id"])
                 at = end
 
     return run
