@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,32 +18,41 @@ DOCUMENTS = ("SNILS", "FOREIGN_PASSPORT", "BIRTH_CERT", "MILITARY_ID", "RESIDENC
 EXTRAS = ("ACCOUNT", "OMS", "PLATE", "VIN", "IP_ADDRESS")
 
 
+#: Pattern detectors and what they can find.
+PATTERN_PARTS = (("number", NUMERIC), ("email", ("EMAIL",)), ("driver", ("DRIVER_LICENSE",)), ("document", DOCUMENTS), ("extra", EXTRAS))
+_BUILT: dict[tuple[int, str], Column] = {}
+
+
+def _part(name: str) -> Column:
+    """A detector as an expression over _body, _low and _runs. Building one takes thousands of calls to the JVM, so
+    each is built once for a JVM. Texts that cannot hold anything skip it."""
+    key = (id(SparkContext._jvm), name)
+    if key not in _BUILT:
+        body, low, runs = F.col("_body"), F.col("_low"), F.col("_runs")
+        make = {
+            "runs": lambda: t.digit_runs(body), "number": lambda: F.when(body.rlike("[0-9]"), numeric.number_spans(body, low, runs)), "email": lambda: F.when(body.contains("@"), patterns.email_spans(body)),
+            "driver": lambda: F.when(body.rlike("[0-9]{6}"), patterns.driver_letter_spans(low)), "document": lambda: F.when(body.rlike("[0-9]{5}"), patterns.document_spans(low, runs)),
+            "extra": lambda: F.when(body.rlike("[0-9]"), patterns.extra_spans(body, low, runs)),
+        }
+        _BUILT[key] = make[name]()
+    return _BUILT[key]
+
+
 def detected(df: DataFrame, text: str, types: tuple[str, ...] = ALL_TYPES, custom: tuple[patterns.CustomType, ...] = (), as_of_year: int = 2026, date_mode: str = "pii_context", into: str = "spans") -> DataFrame:
     """`df` with all findings. Detectors none of whose types are wanted are left out of the plan; texts without a
     digit or an at-sign skip the pattern detectors. NULL and empty texts have an empty array."""
     wanted = set(types)
+    parts = [_part(name) for name, kinds in PATTERN_PARTS if wanted & set(kinds)]
+    parts += [patterns.custom_spans(F.col("_low"), c) for c in custom]
     body = F.coalesce(F.col(text), F.lit(""))
-    low, runs = F.col("_low"), F.col("_runs")
-    parts: list[Column] = []
-    if wanted & set(NUMERIC):
-        parts.append(F.when(body.rlike("[0-9]"), numeric.number_spans(body, low, runs)))
-    if "EMAIL" in wanted:
-        parts.append(F.when(body.contains("@"), patterns.email_spans(body)))
-    if wanted & {"DRIVER_LICENSE"}:
-        parts.append(F.when(body.rlike("[0-9]{6}"), patterns.driver_letter_spans(low)))
-    if wanted & set(DOCUMENTS):
-        parts.append(F.when(body.rlike("[0-9]{5}"), patterns.document_spans(low, runs)))
-    if wanted & set(EXTRAS):
-        parts.append(F.when(body.rlike("[0-9]"), patterns.extra_spans(body, low, runs)))
-    parts += [patterns.custom_spans(low, c) for c in custom]
-    out = spread(df).withColumn("_low", t.lower_same_width(body)).withColumn("_runs", t.digit_runs(body))
+    out = spread(df).withColumn("_body", body).withColumn("_low", t.lower_same_width(F.col("_body"))).withColumn("_runs", _part("runs"))
     if wanted & set(WORDS):
         out = out.withColumn("_words", words.word_spans(F.col(text), tuple(k for k in WORDS if k in wanted), as_of_year, date_mode))
         parts.append(F.col("_words"))
     none = F.array().cast(SPANS)
     found = F.concat(*[F.coalesce(p.cast(SPANS), none) for p in parts]) if parts else none
     names = [*types, *[c.name.upper() for c in custom]]
-    return out.withColumn(into, F.filter(found, lambda s: s["type"].isin(names))).drop("_low", "_runs", "_words")
+    return out.withColumn(into, F.filter(found, lambda s: s["type"].isin(names))).drop("_body", "_low", "_runs", "_words")
 
 
 def settled(df: DataFrame, spans_col: str = "spans", min_conf: Column | float = 0.6, allowed: Column | None = None, date_mode: Column | None = None) -> DataFrame:

@@ -41,14 +41,19 @@ def names(text: str, low: str) -> Found:
         else:
             role = ""
         words.append((m.start(), m.end(), role, w))
-    k = 0
-    while k < len(words):
+    k, n = 0, len(words)
+    while k < n:
+        if not words[k][2]:
+            k += 1
+            continue
+        # How many name words stand side by side from here on.
+        reach = 1
+        while reach < 3 and k + reach < n and words[k + reach][2] and _beside(text, words[k + reach - 1][1], words[k + reach][0]):
+            reach += 1
         took = 0
-        for size in (3, 2, 1):
+        for size in range(reach, 0, -1):
             part = words[k : k + size]
-            if len(part) < size or any(not _beside(text, a[1], b[0]) for a, b in zip(part, part[1:])):
-                continue
-            conf = _shape("".join(x[2] or "-" for x in part), part, low)
+            conf = _shape("".join(x[2] for x in part), part, low)
             if not conf:
                 continue
             s, e = part[0][0], part[-1][1]
@@ -66,7 +71,13 @@ def _beside(text: str, a: int, b: int) -> bool:
     return 0 < b - a <= 3 and not text[a:b].strip(" \t .")
 
 
+#: Sequences of roles that can be a name: surname, given name, patronymic, initial.
+SHAPES = frozenset(("snp", "nps", "nnp", "npn", "sip", "sii", "iis", "np", "pn", "sn", "ns", "si", "is", "p", "n", "s"))
+
+
 def _shape(roles: str, part: list, low: str) -> tuple[float, str] | None:
+    if roles not in SHAPES:
+        return None
     same_case = len({(x[3][0].isupper(), x[3].isupper() and len(x[3]) > 1) for x in part if x[2] != "i"}) == 1
     cyrillic = [not x[3].isascii() for x in part]
     if len(set(cyrillic)) > 1:
