@@ -120,10 +120,10 @@ def a_tallies(spark, d):
     return corpus.tallies(table(spark, d, "fragments").select("system_id", F.coalesce(F.upper(F.trim("type")), F.lit("(none)")).alias("type")), "system_id", "type")
 
 
-@query(f"SELECT payload_id, map_from_entries(list((type, n) ORDER BY type)) AS counts FROM (SELECT payload_id, {_TYPE} AS type, count(*) AS n FROM fragments GROUP BY ALL) GROUP BY 1")
+@query(f"SELECT payload_id, string_agg(type || '=' || n, ',' ORDER BY type) AS counts FROM (SELECT payload_id, {_TYPE} AS type, count(*) AS n FROM fragments GROUP BY ALL) GROUP BY 1")
 def a_counts_by_text(spark, d):
     f = table(spark, d, "fragments").groupBy("payload_id", F.coalesce(F.upper(F.trim("type")), F.lit("(none)")).alias("type")).agg(F.count("*").alias("n"))
-    return f.groupBy("payload_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"))
+    return f.groupBy("payload_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit("="), x["n"].cast("string"))), ",").alias("counts"))
 
 
 @query(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from spanveil.operators import corpus, mapping, metrics, pipeline, policy
 from spanveil.plans.registry import query
-from spanveil.runtime import durable, table
+from spanveil.runtime import durable, scratch_path, table
 from spanveil.sources import readers
+from spanveil.streaming import requests
 
 KEY = "0123456789abcdef"
 
@@ -68,6 +69,19 @@ def w_routed(spark, d):
     return out.groupBy("action", "status").agg(F.count("*").alias("n"))
 
 
+@query()
+def w_streamed(spark, d):
+    """The request flow as a stream over the samples, worked off to its end: masked without state, then decided with
+    state by payload_id. The output and the checkpoint lie in the shared folder."""
+    out = scratch_path(spark, "flow")
+    source = spark.readStream.schema(table(spark, d, "samples").schema).parquet(f"{d}/samples.parquet*")
+    asked = source.where("payload_id is not null and text <> ''").select("payload_id", F.col("system_id").alias("system"), F.col("text").alias("payload"), F.col("created_at").cast("timestamp").alias("at"))
+    flow = requests.flow(requests.masked_requests(asked.withWatermark("at", "1 hour")))
+    q = flow.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(requests.OUT).parquet(f"{out}/rows").groupBy("action").agg(F.count("*").alias("n"))
+
+
 @query(
     """WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 5 SECOND, captured_at) - INTERVAL 10 SECOND, time_bucket(INTERVAL 5 SECOND, captured_at), INTERVAL 5 SECOND)) AS window_start, payload_len FROM captures)
     SELECT window_start, sum(payload_len)::BIGINT AS total FROM w GROUP BY 1"""

@@ -152,9 +152,9 @@ def m_coverage(spark, d):
     return policy.coverage(table(spark, d, "systems"))
 
 
-@query("SELECT system_id, coalesce(preset, 'full') AS preset, coalesce(min_conf, 0.6) AS min_conf, coalesce(date_mode, 'pii_context') AS date_mode, coalesce(on_unknown_id, '404') AS on_unknown_id, coalesce(types, []) AS types FROM systems")
+@query("SELECT system_id, coalesce(preset, 'full') AS preset, coalesce(min_conf, 0.6) AS min_conf, coalesce(date_mode, 'pii_context') AS date_mode, coalesce(on_unknown_id, '404') AS on_unknown_id, array_to_string(coalesce(types, []), ',') AS types FROM systems")
 def m_systems(spark, d):
-    return policy.with_defaults(table(spark, d, "systems"))
+    return policy.with_defaults(table(spark, d, "systems")).withColumn("types", F.array_join("types", ","))
 
 
 @query("SELECT sample_id, 'key:' || substring(sha256(payload_id), 1, 16) AS actor FROM samples")

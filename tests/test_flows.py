@@ -98,3 +98,20 @@ def test_log_values(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "text string, spans string, kept int, _r int")
     assert pipeline.mask(df.select("text"), "text").count() == 0
+
+
+def test_streaming_windows(spark, tmp_path):
+    at = dt.datetime(2026, 1, 1, 12)
+    rows = [("a", "x", 10, at), ("a", "x", 10, at + dt.timedelta(seconds=3)), ("a", "y", 20, at + dt.timedelta(seconds=4)), ("b", "x", 5, at + dt.timedelta(seconds=30))]
+    spark.createDataFrame(pd.DataFrame(rows, columns=["payload_id", "payload", "cost", "at"])).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("payload_id string, payload string, cost long, at timestamp").parquet(str(tmp_path / "in"))
+
+    def done(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name).collect()
+
+    assert sorted((r["payload_id"], r["payload"]) for r in done(requests.coalesced(source()), "coalesced", "append")) == [("a", "x"), ("a", "y"), ("b", "x")]
+    assert sum(r["total"] for r in done(requests.load(source(), "cost", "15 seconds", "5 seconds"), "load", "complete")) == 45 * 3
+    assert sorted((r["payload"], r["suppressed"]) for r in done(requests.repeats(source(), ["payload"]), "repeats", "complete")) == [("x", 0), ("x", 1), ("y", 0)]
