@@ -36,7 +36,7 @@ def names(text: str, low: str) -> Found:
             role = "p"
         elif l in russian or l in latin:
             role = "n"
-        elif SURNAME.search(l) and len(l) > 3 or w[0].isupper() and l.isascii() and len(l) > 2:
+        elif SURNAME.search(l) and len(l) > 3 or w[0].isupper() and not _cyrillic(l) and len(l) > 2:
             role = "s"
         else:
             role = ""
@@ -67,6 +67,10 @@ def names(text: str, low: str) -> Found:
         k += took or 1
 
 
+def _cyrillic(word: str) -> bool:
+    return "\u0400" <= word[0] <= "\u04ff"
+
+
 def _beside(text: str, a: int, b: int) -> bool:
     return 0 < b - a <= 3 and not text[a:b].strip(" \t .")
 
@@ -79,7 +83,7 @@ def _shape(roles: str, part: list, low: str) -> tuple[float, str] | None:
     if roles not in SHAPES:
         return None
     same_case = len({(x[3][0].isupper(), x[3].isupper() and len(x[3]) > 1) for x in part if x[2] != "i"}) == 1
-    cyrillic = [not x[3].isascii() for x in part]
+    cyrillic = [_cyrillic(x[3]) for x in part]
     if len(set(cyrillic)) > 1:
         return None
     if roles in ("snp", "nps", "nnp", "npn", "sip", "sii", "iis"):
