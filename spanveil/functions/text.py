@@ -14,7 +14,7 @@ ALIKE_LATIN, ALIKE_CYRILLIC = "aeopcyxAEOPCYX", "аеорсухАЕОРСУХ"
 SERIES_LATIN, SERIES_CYRILLIC = "abcehkmoptxy", "авсенкмортху"
 # Spelled-out numbers by value.
 NUMBER_WORDS = {
-    "один": 1, "первое": 1, "два": 2, "второе": 2, "три": 3, "третье": 3, "четыре": 4, "пять": 5, "шесть": 6, "семь": 7, "восемь": 8, "девять": 9, "десять": 10,
+    "один": 1, "первое": 1, "два": 2, "две": 2, "второе": 2, "три": 3, "третье": 3, "четыре": 4, "пять": 5, "шесть": 6, "семь": 7, "восемь": 8, "девять": 9, "десять": 10,
     "одиннадцать": 11, "двенадцать": 12, "тринадцать": 13, "четырнадцать": 14, "пятнадцать": 15, "шестнадцать": 16, "семнадцать": 17, "восемнадцать": 18, "девятнадцать": 19,
     "двадцать": 20, "тридцать": 30, "сорок": 40, "пятьдесят": 50, "шестьдесят": 60, "семьдесят": 70, "восемьдесят": 80, "девяносто": 90, "сто": 100, "двести": 200,
     "триста": 300, "четыреста": 400, "пятьсот": 500, "шестьсот": 600, "семьсот": 700, "восемьсот": 800, "девятьсот": 900,

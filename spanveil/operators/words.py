@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanveil.functions.names import PATRONYMIC, SURNAME, latin_names, russian_forms
+from spanveil.functions.text import NUMBER_WORDS
 from spanveil.schema import ANCHORED, HIGH, MEDIUM, SPANS
 
 Found = Iterator[tuple[int, int, str, float, str]]
@@ -110,7 +111,7 @@ def _shape(roles: str, part: list, low: str) -> tuple[float, str] | None:
 MONTHS = {"январ": 1, "феврал": 2, "март": 3, "апрел": 4, "ма": 5, "июн": 6, "июл": 7, "август": 8, "сентябр": 9, "октябр": 10, "ноябр": 11, "декабр": 12, "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12}
 _NUMERIC_DATE = re.compile(r"(?<![\d.])(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})(?![\d]|\.\d)|(?<!\d)(\d{4})([./-])(\d{1,2})\6(\d{1,2})(?!\d)")
 _WORD_DATE = re.compile(r"(?<!\d)(\d{1,2})(?:-?го|th|st|nd|rd)?\s+([a-zа-яё]{3,10})\.?,?\s+(\d{4})(?!\d)(?:\s*(?:года|год|г\.?))?|(?<!\w)([a-z]{3,9})\s+(\d{1,2})(?:th|st|nd|rd)?,?\s+(\d{4})(?!\d)")
-BIRTH = ("рожд", "родил", "д.р", "д/р", "born", "birth", "dob")
+BIRTH = ("рожд", "родил", "д.р", "д/р", "г.р", "г. р", "born", "birth", "dob")
 ISSUED = ("выдан", "выдач", "issued", "date of issue")
 DOCUMENT = ("паспорт", "passport", "удостоверени", "свидетельств", "документ")
 NO_DATE = ("срок", "договор", "заявк", "заказ", "платеж", "отправлен", "вступает", "утвердили", "от ")
@@ -133,6 +134,54 @@ def dates(text: str, low: str, as_of_year: int, mode: str) -> Found:
         month = next((n for stem, n in MONTHS.items() if word.startswith(stem) and len(word) - len(stem) <= 3), 0)
         if month and 1900 <= year <= as_of_year and _valid(year, month, day):
             yield from _dated(m.start(), m.end(), low, mode)
+    for start, end in spelled_dates(low, as_of_year):
+        yield from _dated(start, end, low, mode)
+
+
+# Stems of ordinal numbers by value; cardinal ones are shared with the column functions.
+ORDINALS = {"перв": 1, "втор": 2, "трет": 3, "четверт": 4, "четвёрт": 4, "пят": 5, "шест": 6, "седьм": 7, "восьм": 8, "девят": 9, "десят": 10, "одиннадцат": 11, "двенадцат": 12, "тринадцат": 13, "четырнадцат": 14, "пятнадцат": 15, "шестнадцат": 16, "семнадцат": 17, "восемнадцат": 18, "девятнадцат": 19, "двадцат": 20, "тридцат": 30, "сороков": 40, "пятидесят": 50, "шестидесят": 60, "семидесят": 70, "восьмидесят": 80, "девяност": 90, "двухтысячн": 2000}
+_ORDINAL_END = re.compile(r"(?:ое|ого|ый|ой|ье|ьего|ий|ом|ьем)$")
+_MONTH_WORD = re.compile(r"(?<!\w)(?:" + "|".join(f"{m}[а-я]{{0,3}}" for m in MONTHS if m[0] > "z") + r")(?!\w)")
+_BIRTH_YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?=\s*(?:г\.?\s?р\.?(?!\w)|года?\s+рождения))")
+
+
+def _number_word(word: str) -> int | None:
+    if word.startswith("тысяч"):
+        return 1000
+    if word in NUMBER_WORDS:
+        return NUMBER_WORDS[word]
+    stem = _ORDINAL_END.sub("", word)
+    return ORDINALS.get(stem) if stem != word else None
+
+
+def spelled_dates(low: str, as_of_year: int) -> Iterator[tuple[int, int]]:
+    """Dates whose day and year are written in words, and bare birth years."""
+    for m in _MONTH_WORD.finditer(low):
+        left = [w for w in re.finditer(r"[а-яё]+", low[max(0, m.start() - 40) : m.start()])][-2:]
+        offset = max(0, m.start() - 40)
+        day, start = 0, m.start()
+        for w in reversed(left):
+            v = _number_word(w[0])
+            if v is None or v > 31:
+                break
+            day, start = day + v, offset + w.start()
+        total = part = 0
+        end = m.end()
+        for w in re.finditer(r"[а-яё]+", low[m.end() : m.end() + 80]):
+            v = _number_word(w[0])
+            if v is None:
+                break
+            if v == 1000:
+                total, part = total + 1000 * max(1, part), 0
+            else:
+                part += v
+            end = m.end() + w.end()
+        month = next((n for stem, n in MONTHS.items() if m[0].startswith(stem)), 0)
+        if 1900 <= total + part <= as_of_year and day and _valid(total + part, month, day):
+            yield start, end
+    for m in _BIRTH_YEAR.finditer(low):
+        if int(m[0]) <= as_of_year:
+            yield m.start(), m.end()
 
 
 def _year(digits: str, as_of_year: int) -> int:

@@ -28,6 +28,9 @@ CASES = [
     ("место рождения: г. Саратов", [("BIRTH_PLACE", "г. Саратов")]),
     ("гражданство: Россия", [("CITIZENSHIP", "Россия")]),
     ("дата рождения 12.03.1985", [("DOB", "12.03.1985")]),
+    ("дата рождения двенадцатое марта тысяча девятьсот восемьдесят пятого года", [("DOB", "двенадцатое марта тысяча девятьсот восемьдесят пятого")]),
+    ("родился двадцать первого мая две тысячи третьего", [("DOB", "двадцать первого мая две тысячи третьего")]),
+    ("Иван Петров, 1985 г.р.", [("FIO", "Иван Петров"), ("DOB", "1985")]),
     ("дата выдачи 29.02.2001", []),  # no such day
     ("г. Москва, ул. Ленина, д. 5, кв. 12", [("ADDRESS", "г. Москва, ул. Ленина, д. 5, кв. 12")]),
     ("индекс 101000", [("POSTCODE", "101000")]),

@@ -71,4 +71,4 @@ def test_digit_runs(spark):
 
 def test_spelled_numbers(spark):
     df = spark.createDataFrame([("двадцать пять",), ("две тысячи три",), ("тысяча девятьсот сорок один",), ("нет",), (None,)], "x string")
-    assert [r[0] for r in df.select(t.spelled_number(F.col("x"))).collect()] == [25, 1003, 1941, None, None]
+    assert [r[0] for r in df.select(t.spelled_number(F.col("x"))).collect()] == [25, 2003, 1941, None, None]
