@@ -59,7 +59,7 @@ def canonical_records(df: DataFrame, row_id: str, key: str, text: str) -> tuple[
     k, t = F.col(key), F.col(text)
     rows = df.where((k != "") & (t != ""))
     distinct = rows.groupBy(k.alias("k"), t.alias("t")).agg(F.min(row_id).alias("first_id"), F.count("*").alias("n_rows"))
-    shaped = distinct.select("first_id", "n_rows", digest(F.col("k"), F.col("t")).alias("raw_key"), F.concat(letters_and_digits(F.col("k")), F.lit("\x03"), letters_and_digits(F.col("t"))).alias("plain"), F.when(field_form(F.col("t")).isNotNull(), F.concat(letters_and_digits(F.col("k")), F.lit("\x03"), field_form(F.col("t")))).alias("fields"))
+    shaped = distinct.select("first_id", "n_rows", digest(F.col("k"), F.col("t")).alias("raw_key"), F.concat(letters_and_digits(F.col("k")), F.lit("\x03"), letters_and_digits(F.col("t"))).alias("plain"), F.concat(letters_and_digits(F.col("k")), F.lit("\x03"), field_form(F.col("t"))).alias("fields"))
     survivors = durable(shaped)
     # One row for each canonical text; it lists the field forms that share it (more than one only where two texts
     # split the same letters into different fields).

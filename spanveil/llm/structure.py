@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ CONNECT = set(
 )
 PLACE = set("в во на с со к ко о об от до из за у для по при без из-за через после перед под над между про около the a an of to in on at for from by with as into near after before during about over under near due".split())
 VERB = re.compile(r"(?:[аяиыуеё]л[аои]?|л[аои]?сь|лся|[аяуюеё]ет|[ую]ют|[аяи]тся|[её]тся|[ую]тся|[аяи]т|[иы]т|ешь|ишь|айте|ите|йте|ены?|ён|ена|ено|ана|ано|аны|[аяуюиы]ёт|шл[аои]|шёл)$|^[a-z]{3,}(?:ed|ing)$")
+#: Endings that few nouns share with verbs.
+SURE_VERB = re.compile(r"(?:[аяуюеи][её]т|[её]тся|[аяиую]тся|[аяиыуеё]л[аои]|л[аои]?сь|лся|[ую]ют|ают|яют|айте|ите|йте)$|^[a-z]{3,}(?:ed|ing)$")
 CLASSES = ("connect", "place", "verb", "word", "odd", "repeat", "number", "end", "comma", "field", "sep", "mark", "break", "symbol")
 # Profiles, in hundredths by CLASSES. The first part of a name is the structure.
 PROFILES = {
@@ -97,30 +100,32 @@ class Letters:
         self.least = -9.0
         self.known: dict[str, float] = {}
 
-    def mean(self, words: list[str]) -> float:
-        """Mean log frequency of the letter pairs of longer words."""
-        total, n = 0.0, 0
-        for w in words:
-            if len(w) >= ODD_LETTERS:
-                total += sum(max(self.least, self.log.get(p, self.least)) for p in pairs_of(w))
-                n += len(w) + 1
-        return total / n if n else 0.0
-
-    def odd(self, word: str, below: float = 0.0) -> bool:
-        if len(word) < ODD_LETTERS:
-            return False
+    def total(self, word: str) -> float:
+        """The log frequencies of a word's letter pairs summed up; words repeat, so sums are kept."""
         got = self.known.get(word)
         if got is None:
-            got = self.mean([word])
+            get, least = self.log.get, self.least
+            got = sum(max(least, get(p, least)) for p in pairs_of(word))
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = got
-        return got < (below or ODD_BELOW)
+        return got
+
+    def mean(self, words: list[str]) -> float:
+        """Mean log frequency of the letter pairs of longer words."""
+        long = [w for w in words if len(w) >= ODD_LETTERS]
+        return sum(map(self.total, long)) / (sum(map(len, long)) + len(long)) if long else 0.0
+
+    def odd(self, word: str, below: float) -> bool:
+        return len(word) >= ODD_LETTERS and self.total(word) / (len(word) + 1) < below
 
 
 def _case_noise(w: str) -> bool:
     """Capitals inside a word, more than one change: encoded data, not a word."""
-    return sum(a.islower() and b.isupper() for a, b in zip(w, w[1:])) >= 2
+    return len(_RISE.findall(w)) >= 2
+
+
+_RISE = re.compile("[a-zа-яё](?=[A-ZА-ЯЁ])")
 
 
 def tokens(look: str) -> list[tuple[str, str]]:
@@ -129,9 +134,14 @@ def tokens(look: str) -> list[tuple[str, str]]:
 
 def statistics(text: str | None, letters: Letters) -> tuple:
     """n_words, mean_word, symbol_ratio, digit_ratio, end_lines, common_share, distances to prose and to the nearest
-    other profile, and the nearest structure."""
+    other profile, and the nearest structure, of one text."""
+    return nearest([counted(text, letters)])[0]
+
+
+def counted(text: str | None, letters: Letters) -> tuple:
+    """The basic counts of a text (six values), its class counts, and which structures it can have at all."""
     if not text:
-        return 0, 0.0, 0.0, 0.0, 0.0, 0.0, None, None, None
+        return (0, 0.0, 0.0, 0.0, 0.0, 0.0), None, None
     broken = wrongly_decoded(text)
     look = folded(text)[0].replace("\\r", "\n").replace("\\n", "\n")
     got = tokens(look)
@@ -142,6 +152,7 @@ def statistics(text: str | None, letters: Letters) -> tuple:
     often = {w for w, c in times.items() if n >= 6 and c > REPEAT_SHARE * n and c > 2} if n else set()
     senseless = SENSELESS_WORD if n >= 5 and letters.mean(words) < SENSELESS_BELOW else ODD_BELOW
     wide = columns(look)
+    soft = sure = 0
     before = None
     start = True
     for i, (kind, t) in enumerate(got):
@@ -169,6 +180,7 @@ def statistics(text: str | None, letters: Letters) -> tuple:
                 c = "odd"
             elif VERB.search(w):
                 c = "verb"
+                sure += bool(SURE_VERB.search(w))
             else:
                 c = "word"
             counts[c] += 1
@@ -179,6 +191,8 @@ def statistics(text: str | None, letters: Letters) -> tuple:
                 # A line that goes on in small letters is wrapped, not broken.
                 if nxt and not (nxt[0] == "word" and nxt[1][0].islower() and before in ("word", "data")):
                     counts["break"] += 1
+                elif nxt:
+                    soft += 1
         elif kind == "sep" and t.isspace() and not wide:
             continue
         elif kind == "data":
@@ -189,39 +203,60 @@ def statistics(text: str | None, letters: Letters) -> tuple:
         else:
             counts[kind] += 1
         before = kind
-    total = sum(counts.values())
-    if not total:
-        counts["symbol"] = total = 1
-    share = [counts[c] / total for c in CLASSES]
-    best = {}
+    if not any(counts.values()):
+        counts["symbol"] = 1
+    items = counts["comma"] + counts["break"] + counts["mark"] + (soft if soft > 1 else 0)
+    # Nothing runs between the items: then soft line breaks part items too, and the text is no prose.
+    still = items >= 3 and not counts["connect"] and not sure and 4 * counts["verb"] <= items and counts["place"] < 0.2 * n
+    if still:
+        counts["break"] += soft
     # What a structure cannot do without: items, columns, labelled values.
-    able = {"list": counts["mark"] >= 3 or counts["break"] >= 2 or counts["comma"] >= 3, "table": counts["sep"] >= 4 or counts["comma"] >= 6 and counts["break"] >= 2, "fields": counts["field"] >= 2}
-    for name, profile in PROFILES.items():
-        s = name.partition(" ")[0]
-        if not able.get(s, True):
-            continue
-        d = divergence(share, profile)
-        if s not in best or d < best[s]:
-            best[s] = d
-    items = counts["comma"] + counts["break"] + counts["mark"]
-    if items >= 3 and not counts["connect"] and 4 * counts["verb"] <= items and len(best) > 1:
-        # Nothing runs between the items.
-        best["prose"] = 1.0
-    prose = best.pop("prose")
-    other = min(best, key=best.get)
-    bare = [c for c in look if not c.isspace()]
-    lines = [x for x in look.split("\n") if x.strip()]
-    return (
-        n,
-        sum(map(len, words)) / n if n else 0.0,
-        sum(not c.isalnum() for c in bare) / max(1, len(bare)),
-        sum(c.isdigit() for c in bare) / max(1, len(bare)),
-        sum(x.rstrip()[-1] in ".!?…" for x in lines) / max(1, len(lines)),
-        (counts["connect"] + counts["place"]) / max(1, n),
-        prose,
-        best[other],
-        "prose" if prose <= best[other] else other,
-    )
+    able = {"prose": not still, "junk": True, "list": counts["mark"] >= 3 or counts["break"] >= 2 or counts["comma"] >= 3, "table": counts["sep"] >= 4 or counts["comma"] >= 6 and counts["break"] >= 2, "fields": counts["field"] >= 2}
+    bare = "".join(look.split())
+    signs, digits = len(_SIGN.findall(bare)), len(_DIGIT.findall(bare))
+    lines = [x.rstrip() for x in look.split("\n") if x.strip()]
+    basic = (n, sum(map(len, words)) / n if n else 0.0, signs / max(1, len(bare)), digits / max(1, len(bare)), sum(x[-1] in ".!?…" for x in lines) / max(1, len(lines)), (counts["connect"] + counts["place"]) / max(1, n))
+    return basic, [counts[c] for c in CLASSES], able
+
+
+_SIGN, _DIGIT = re.compile(r"[\W_]"), re.compile(r"\d")
+_NAMES = [name.partition(" ")[0] for name in PROFILES]
+_SHARES = np.array(list(PROFILES.values()), float) / 100
+
+
+def divergences(shares: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row of `shares` from each profile."""
+
+    def part(x, m):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log2(x / m), 0.0).sum(axis=-1)
+
+    p, q = shares[:, None, :], _SHARES[None, :, :]
+    m = (p + q) / 2
+    return (part(p, m) + part(q, m)) / 2
+
+
+def nearest(rows: list[tuple]) -> list[tuple]:
+    """Basic counts, distance to prose, distance to the nearest other profile, and the structure of each row. A
+    structure that a text cannot have is at distance one, unless it is prose and there is no other."""
+    at = [i for i, r in enumerate(rows) if r[1] is not None]
+    out = [(*r[0], None, None, None) for r in rows]
+    if not at:
+        return out
+    shares = np.array([rows[i][1] for i in at], float)
+    d = divergences(shares / shares.sum(axis=1, keepdims=True))
+    for i, x in zip(at, d.tolist()):
+        able = rows[i][2]
+        best: dict[str, float] = {}
+        for name, v in zip(_NAMES, x):
+            if (able[name] or name == "prose") and v < best.get(name, 9.0):
+                best[name] = v
+        prose = best.pop("prose")
+        if not able["prose"] and best:
+            prose = 1.0
+        other = min(best, key=best.get)
+        out[i] = (*rows[i][0], prose, best[other], "prose" if prose <= best[other] else other)
+    return out
 
 
 def wrongly_decoded(text: str) -> bool:
@@ -229,7 +264,10 @@ def wrongly_decoded(text: str) -> bool:
     if text.isascii():
         return False
     back = text.encode("cp1251", "ignore").decode("utf-8", "ignore")
-    return sum("а" <= c <= "я" or "А" <= c <= "Я" for c in back) > 0.25 * sum(c.isalpha() for c in text)
+    return len(_CYRILLIC.findall(back)) > 0.25 * len(_LETTER.findall(text))
+
+
+_CYRILLIC, _LETTER = re.compile("[а-яА-Я]"), re.compile(r"[^\W\d_]")
 
 
 def columns(look: str) -> bool:
@@ -241,19 +279,6 @@ def columns(look: str) -> bool:
     return n >= 2 and times >= 0.6 * len(lines)
 
 
-def divergence(p: list[float], q: tuple[int, ...]) -> float:
-    """Jensen-Shannon divergence in bits; q in hundredths."""
-    out = 0.0
-    for a, b in zip(p, q):
-        b /= 100
-        m = (a + b) / 2
-        if a:
-            out += a * math.log2(a / m)
-        if b:
-            out += b * math.log2(b / m)
-    return out / 2
-
-
 def letter_pairs(df: DataFrame, text: str) -> dict[str, int]:
     """Counts of letter pairs over the words of all texts. Each task counts its own rows; what is gathered is one row
     for each pair of letters, at most PAIRS of them."""
@@ -288,7 +313,7 @@ def text_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
         letters = Letters(shared.value)
         types = [pa.int64()] + [pa.float64()] * 7 + [pa.string()]
         for b in batches:
-            rows = [statistics(t, letters) for t in b.column(1).to_pylist()]
+            rows = nearest([counted(t, letters) for t in b.column(1).to_pylist()])
             columns = list(zip(*rows)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["row_id", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_line_share", "common_word_share", "prose_divergence", "other_divergence", "structure"])
 
