@@ -112,7 +112,8 @@ _WORD = re.compile(f"[{_CYR}{_GRE}{_LAT}̀-ͯ]+")
 
 
 @lru_cache(1)
-def _compiled():
+def compiled() -> tuple[dict[int, object], re.Pattern, re.Pattern]:
+    """The translation of `tables` and its two classes as compiled expressions."""
     out, always, marks = tables()
     return out, re.compile(f"[{always}]"), re.compile(f".?[{marks}]+", re.S)
 
@@ -141,7 +142,7 @@ def canonical(text: str | None) -> str | None:
     """
     if text is None or text.isascii():
         return text
-    out, always, marks = _compiled()
+    out, always, marks = compiled()
     if always.search(text):
         text = text.translate(out)
     if marks.search(text):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.names import latin_names, russian_forms
 from spanveil.functions.validators import inn_valid, snils_valid
-from spanveil.llm.lookalike import MARKED, canonical_words, tables
+from spanveil.llm.lookalike import MARKED, canonical_words, compiled
 
 KINDS = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "NAME")
 
@@ -98,9 +98,9 @@ def folded(text: str) -> tuple[str, list[int] | None]:
     """The text as it looks, and for each of its characters the place in `text` (None: the same place)."""
     if text.isascii():
         return text, None
-    table = tables()[0]
+    table, changing, _ = compiled()
     places = None
-    if any(ord(c) in table for c in set(text)) or MARKED.search(text):
+    if changing.search(text) or MARKED.search(text):
         out: list[str] = []
         places = []
         for i, c in enumerate(text):

@@ -99,6 +99,16 @@ class Letters:
         self.log = {p: math.log(n / first[p[0]]) for p, n in counts.items()}
         self.least = -9.0
         self.known: dict[str, float] = {}
+        self.kinds: dict[str, tuple[str, bool]] = {}
+
+    def kind(self, word: str) -> tuple[str, bool]:
+        """The class of a word by itself, and whether it is a verb for sure; kept, as words repeat."""
+        verb = bool(VERB.search(word))
+        got = ("connect" if word in CONNECT else "place" if word in PLACE else "verb" if verb else "word"), verb and bool(SURE_VERB.search(word)) and word not in CONNECT and word not in PLACE
+        if len(self.kinds) > 200_000:
+            self.kinds.clear()
+        self.kinds[word] = got
+        return got
 
     def total(self, word: str) -> float:
         """The log frequencies of a word's letter pairs summed up; words repeat, so sums are kept."""
@@ -152,6 +162,7 @@ def counted(text: str | None, letters: Letters) -> tuple:
     often = {w for w, c in times.items() if n >= 6 and c > REPEAT_SHARE * n and c > 2} if n else set()
     senseless = SENSELESS_WORD if n >= 5 and letters.mean(words) < SENSELESS_BELOW else ODD_BELOW
     wide = columns(look)
+    kinds = letters.kinds
     soft = sure = 0
     before = None
     start = True
@@ -172,17 +183,12 @@ def counted(text: str | None, letters: Letters) -> tuple:
                 c = "odd"
             elif w in often:
                 c = "repeat"
-            elif w in CONNECT:
-                c = "connect"
-            elif w in PLACE:
-                c = "place"
-            elif _case_noise(t) or letters.odd(w, senseless):
-                c = "odd"
-            elif VERB.search(w):
-                c = "verb"
-                sure += bool(SURE_VERB.search(w))
             else:
-                c = "word"
+                c, certain = kinds.get(w) or letters.kind(w)
+                if c != "connect" and c != "place" and (letters.odd(w, senseless) or not (w == t or t.istitle() or t.isupper()) and _case_noise(t)):
+                    c = "odd"
+                elif certain:
+                    sure += 1
             counts[c] += 1
         elif kind == "line":
             start = True
