@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.runtime import spread
+
 #: Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where the public vocabularies lie unless told otherwise.
@@ -108,7 +110,7 @@ def load(path: str) -> Bpe:
 
 
 def encode_column(df: DataFrame, row_id: str, text: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken", into: str = "ids") -> DataFrame:
-    """row_id and the ids of its text, one row for each row of `df`; no shuffle. `vocabulary` must be readable on
+    """row_id and the ids of its text, one row for each row of `df`; no shuffle of a table of many parts. `vocabulary` must be readable on
     every executor."""
     schema = f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, `{into}` array<int>"
 
@@ -122,7 +124,7 @@ def encode_column(df: DataFrame, row_id: str, text: str, vocabulary: str = f"{VO
             lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[row_id, into])
 
-    return df.select(row_id, F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(row_id, F.col(text))).mapInArrow(run, schema)
 
 
 def decode_column(df: DataFrame, row_id: str, ids: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken", into: str = "text") -> DataFrame:

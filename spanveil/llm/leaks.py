@@ -6,7 +6,7 @@ q-gram lemma, a passage of PASSAGE words with at most EDITS words exchanged, add
 of q-grams on one band, so only bands that reach it are kept. They are verified by banded alignment of the words.
 
 The items are a stated query set. They are held in blocks of bounded size, each block against all documents; the
-documents are never shuffled.
+documents are not shuffled, unless there are fewer parts of them than cores.
 
 Defined results: NULL and empty texts and items match nothing. An item shorter than a passage must be there whole and
 unedited; one of under four letters and digits is no evidence. Repeated rows give one row.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from spanveil.llm.lookalike import ALIKE, tables
+from spanveil.runtime import spread
 
 #: Lengths of q-grams tried for an item: the longest that leaves its passages at least one shared q-gram.
 QS = (18, 9, 4)
@@ -266,7 +267,7 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[ob
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """item_id, doc_id: the documents that hold the item or a passage of it."""
     schema = f"item_id {items.schema[item_id].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}"
-    rows = docs.where(F.col(text) != "").select(doc_id, text)
+    rows = spread(docs.where(F.col(text) != "").select(doc_id, text))
     sc = docs.sparkSession.sparkContext
     out = None
     for block in _blocks(items, item_id, item_text):

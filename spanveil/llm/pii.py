@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from spanveil.functions.names import latin_names, russian_forms
 from spanveil.functions.validators import inn_valid, snils_valid
 from spanveil.llm.lookalike import MARKED, canonical_words, compiled
+from spanveil.runtime import spread
 
 KINDS = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "NAME")
 
@@ -443,7 +444,7 @@ def found_kinds(df: DataFrame, row_id: str, text: str) -> DataFrame:
                     kinds.append(k)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string())], names=["row_id", "pii_type"])
 
-    return df.where(F.col(text) != "").select(row_id, text).mapInArrow(run, f"row_id {kind}, pii_type string")
+    return spread(df.where(F.col(text) != "").select(row_id, text)).mapInArrow(run, f"row_id {kind}, pii_type string")
 
 
 def redacted(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -458,4 +459,4 @@ def redacted(df: DataFrame, row_id: str, text: str) -> DataFrame:
                 counts.append(len(find(t)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["row_id", "redacted", "n_found"])
 
-    return df.select(row_id, text).mapInArrow(run, f"row_id {kind}, redacted string, n_found int")
+    return spread(df.select(row_id, text)).mapInArrow(run, f"row_id {kind}, redacted string, n_found int")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.pii import folded
-from spanveil.runtime import durable
+from spanveil.runtime import spread
 
 # Connecting words, and prepositions and articles, Russian and English.
 CONNECT = set(
@@ -311,7 +311,8 @@ PAIRS = 20_000
 def text_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """Statistics and structure of each row's text; one row for each row of `df`. Two passes over the texts, the
     first of which shuffles letter pairs only."""
-    shared = df.sparkSession.sparkContext.broadcast(letter_pairs(df, text))
+    texts = spread(df.select(row_id, text))
+    shared = df.sparkSession.sparkContext.broadcast(letter_pairs(texts, text))
     kind = df.schema[row_id].dataType.simpleString()
     schema = f"row_id {kind}, n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, end_line_share double, common_word_share double, prose_divergence double, other_divergence double, structure string"
 
@@ -323,7 +324,7 @@ def text_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["row_id", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_line_share", "common_word_share", "prose_divergence", "other_divergence", "structure"])
 
-    return df.select(row_id, text).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def not_prose(df: DataFrame, row_id: str, text: str) -> DataFrame:
