@@ -234,7 +234,7 @@ def addresses(text: str, low: str) -> Found:
         yield max(a, line + 1), b, "ADDRESS", HIGH, "address:street_house"
 
 
-BIRTH_PLACE = re.compile(r"(?:место рождения|место рожд\.?|м\.\s?р\.|уроженец|уроженка|родил(?:ся|ась) в|place of birth|born in)\s*[:—–-]?\s*(?:в\s+)?")
+BIRTH_PLACE = re.compile(r"(?:место рождения|место рожд\.?|м\.\s?р\.|уроженец|уроженка|родил(?:ся|ась) в|place of birth|born in)[\s:=—–|(«-]{0,5}(?:в\s+)?")
 _PLACE = re.compile(r"(?:(?:г|гор|город|с|село|пос|дер|деревня|обл|респ)\b\.?\s*)?[^\W\d_][\w-]*(?:\s+(?:обл\w*|край|район\w*|респ\w*))?(?:,\s*(?:г|гор|город|с|село|пос)\b\.?\s*[^\W\d_][\w-]*)?")
 
 
@@ -247,7 +247,7 @@ def birth_places(text: str, low: str) -> Found:
                 yield s, e, "BIRTH_PLACE", HIGH, "birth_place:anchor"
 
 
-ISSUER_ANCHOR = re.compile(r"(?:кем выдан|выдан[оа]?|орган выдачи|наименование органа)\s*[:—–-]?\s*")
+ISSUER_ANCHOR = re.compile(r"(?:кем выдан|выдан[оа]?|орган выдачи|наименование органа)[\s:=—–|(«-]{0,5}")
 AGENCY = re.compile(r"(?<!\w)(?:овд|увд|гувд|мвд|умвд|гу\s+мвд|уфмс|оуфмс|фмс|отдел\w*\s+(?:внутренних|милиции|полиции|миграции|по вопросам миграции|уфмс|овд)|отделени\w*\s+\w+|паспортн\w+\s+стол\w*)")
 _ISSUER_END = re.compile(r"[.;\n\r(]|,\s*(?!район|област|участок|в\s)|\d{1,2}[./-]\d|\d{3}-\d{3}|код\s+подр|дата|$")
 
@@ -268,7 +268,7 @@ def issuers(text: str, low: str) -> Found:
             yield s, e, "ISSUER", ANCHORED, "issuer:agency_near_passport"
 
 
-CITIZENSHIP = re.compile(r"(?:гражданство|гражданства|гражданин|гражданка|citizenship|citizen of)\s*[:=—–-]?\s*")
+CITIZENSHIP = re.compile(r"(?:гражданство|гражданства|гражданин|гражданка|citizenship|citizen of)[\s:=—–|(«-]{0,5}")
 # Beginnings of country names.
 COUNTRY = ("росси", "рф", "российск", "казахст", "белар", "белорус", "украин", "узбекист", "таджикист", "киргиз", "кыргыз", "армени", "азербайдж", "груз", "молдов", "туркм", "латви", "литв", "эстон", "герман", "франц", "китай", "китая", "турци", "израил", "сша", "польш", "russia", "kazakh", "belarus", "ukrain", "german", "без гражданства")
 
@@ -282,7 +282,7 @@ def citizenships(text: str, low: str) -> Found:
             yield m.end() + words[0].start(), m.end() + last.end(), "CITIZENSHIP", HIGH, "citizenship:anchor"
 
 
-HOLDER = re.compile(r"(?:держатель(?:\s+карты)?|владелец(?:\s+карты)?|имя\s+на\s+карте|cardholder(?:\s+name)?|name on card)\s*[:=—–-]?\s*")
+HOLDER = re.compile(r"(?:держатель(?:\s+карты)?|владелец(?:\s+карты)?|имя\s+на\s+карте|cardholder(?:\s+name)?|name on card)[\s:=—–|(«-]{0,5}")
 _LATIN_NAME = re.compile(r"(?<![\w.@-])[A-Z][A-Z'-]+(?:\s[A-Z][A-Z'-]+){1,2}(?![\w@])")
 CARD_NEAR = re.compile(r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)|(?<!\d)(?:0[1-9]|1[0-2])/\d\d(?!\d)|visa|mastercard|maestro")
 
