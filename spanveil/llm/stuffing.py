@@ -1,10 +1,12 @@
 """Pages of repeated keywords, link lists or product tags.
 
 Method. Links, anchors and tags are taken out and weighed. The words left are counted for each page, and SQL windows
-turn the counts into a rank-frequency curve, whose slope, residual and heavy head are fitted. A page is compared with
-prose of its script and length: with the median slope of all pages of that kind. Flagged are pages that are mostly
-links or tags, and pages whose curve is far steeper than prose while a few words make up much of the text. Price
-lists, contents and glossaries, which repeat words too, are told by their plain numbers and function words.
+turn the counts into a rank-frequency curve, whose slope, residual and heavy head are fitted, and into a spectrum: the
+parts of the text that words of a count of 1, 2 to 3, 4 to 7 and so on make up. A page is compared with pages of its
+script and length. Flagged are pages that are mostly links or tags, and pages whose curve is extreme (far steeper, or
+far off its line, or of another spectrum) while repeated words make up much of the text. A curve that is level at a high
+count has no slope and no residual; its spectrum tells it. Price lists, contents and glossaries, which repeat words too,
+are told by their plain numbers and function words.
 
 Everything is computed inside the JVM. The texts are shuffled once, by page; counts, windows and fits reuse that
 partitioning, so no group of a hot word or site is ever gathered.
@@ -34,6 +36,12 @@ HEAVY_TIMES, HEAVY_SHARE = 4, 0.03
 LINK_PART = 0.5
 #: How much steeper than prose of the same length the curve must be, and how steep at least.
 STEEPER, STEEP = 0.25, 0.5
+#: How much farther off its line than prose the curve must be, and the Jensen-Shannon divergence of its spectrum.
+OFF_LINE, DIVERGENT = 0.15, 0.35
+#: Classes of the spectrum: word counts by powers of two, the last one open.
+SPECTRUM = 10
+#: Part of words that occur HEAVY_TIMES, of whatever share: enough in a text of another spectrum, however many keywords.
+REPEATED_PART = 0.5
 #: Part of heavy words: alone enough; enough if neither function words nor plain numbers hold the text together.
 HEAVY_PART, HEAVY_WEAK = 0.4, 0.24
 FEW_FUNCTION, FEW_NUMBERS = 0.16, 0.25
@@ -46,7 +54,7 @@ def _solid(c: Column) -> Column:
 
 def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row for each page with text: link_part, n_words, function_part, number_part, slope, residual, heavy_part,
-    script and length class."""
+    repeated_part, spectrum (NULL without content words), script and length class."""
     page = df.where(F.col(text) != "").select(F.col(doc_id).alias("page"), F.col(text).alias("t"))
     # The one shuffle of texts; all that follows is partitioned by page.
     page = page.repartition("page")
@@ -70,12 +78,15 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     level = level.withColumn("content_words", F.sum(F.when(k, F.col("n") * F.col("m")).otherwise(0)).over(whole))
     y = F.log(F.col("n").cast("double"))
     sx, sxx = _log_sum("hi") - _log_sum("lo"), _log2_sum("hi") - _log2_sum("lo")
+    octave = F.least(F.floor(F.log2(F.col("n"))), F.lit(SPECTRUM - 1))
     heavy = k & (F.col("n") >= HEAVY_TIMES) & (F.col("n") >= HEAVY_SHARE * F.col("content_words"))
     fit = level.groupBy("page").agg(
         F.max("size").alias("size"), F.max("left").alias("left"), F.max("numbers").alias("numbers"), F.sum("all_words").alias("n_words"), F.sum("function_words").alias("function_words"),
         F.sum("latin_words").alias("latin_words"), F.max("content_words").alias("content_words"), F.sum("m_here").cast("double").alias("k"),
         F.sum(F.when(k, sx)).alias("sx"), F.sum(F.when(k, sxx)).alias("sxx"), F.sum(F.when(k, y * F.col("m"))).alias("sy"), F.sum(F.when(k, y * y * F.col("m"))).alias("syy"), F.sum(F.when(k, y * sx)).alias("sxy"),
         F.sum(F.when(heavy, F.col("n") * F.col("m")).otherwise(0)).alias("heavy_words"),
+        F.sum(F.when(k & (F.col("n") >= HEAVY_TIMES), F.col("n") * F.col("m")).otherwise(0)).alias("repeated_words"),
+        *[F.sum(F.when(k & (octave == i), F.col("n") * F.col("m")).otherwise(0)).alias(f"s{i}") for i in range(SPECTRUM)],
     )
     vxx, vxy, vyy = F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("k") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("k") * F.col("syy") - F.col("sy") * F.col("sy")
     fitted = (F.col("k") >= 3) & (vxx > 0)
@@ -84,7 +95,8 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         "page", F.when(F.col("size") > 0, 1 - F.col("left") / F.col("size")).otherwise(0.0).alias("link_part"), "n_words",
         (F.col("function_words") / F.greatest(F.col("n_words"), one)).alias("function_part"), (F.col("numbers") / F.greatest(F.col("n_words") + F.col("numbers"), one)).alias("number_part"),
         F.when(fitted, vxy / vxx).otherwise(0.0).alias("slope"), F.when(fitted, F.sqrt(F.greatest(vyy - vxy * vxy / vxx, F.lit(0.0))) / F.col("k")).otherwise(0.0).alias("residual"),
-        (F.col("heavy_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("heavy_part"),
+        (F.col("heavy_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("heavy_part"), (F.col("repeated_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("repeated_part"),
+        F.when(F.col("content_words") > 0, F.array(*[F.col(f"s{i}") / F.col("content_words") for i in range(SPECTRUM)])).alias("spectrum"),
         F.when(2 * F.col("latin_words") > F.col("n_words"), "latin").otherwise("other").alias("script"), F.floor(F.log2(F.greatest(F.col("n_words"), one))).alias("length_class"),
     )
 
@@ -102,16 +114,32 @@ def _log2_sum(x: str) -> Column:
     return F.when(F.col(x) <= 1, 0.0).otherwise(at(v) - at(F.lit(1.5)))
 
 
+def _divergence(a: Column, b: Column) -> Column:
+    """Jensen-Shannon divergence of two spectra in bits; 0 where one is missing."""
+    part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
+    return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: (part(x, y) + part(y, x)) / 2), F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
+
+
 def judged(curves: DataFrame) -> DataFrame:
-    """`curves` with `steeper`, the distance to prose of the same script and length, and `stuffed`. The table of
-    medians has one row for each script and power of two of words, so it may be broadcast."""
-    expected = curves.groupBy("script", "length_class").agg(F.percentile_approx("slope", 0.5, 1000).alias("expected"))
-    out = curves.join(F.broadcast(expected), ["script", "length_class"]).withColumn("steeper", F.col("expected") - F.col("slope"))
-    loose = (F.col("function_part") < FEW_FUNCTION) & (F.col("number_part") < FEW_NUMBERS)
-    curve = (F.col("n_words") >= LEAST_WORDS) & (F.col("slope") <= -STEEP) & (F.col("steeper") >= STEEPER)
-    keywords = curve & ((F.col("heavy_part") >= HEAVY_PART) | (F.col("heavy_part") >= HEAVY_WEAK) & loose) & (F.col("number_part") < 2 * FEW_NUMBERS)
-    both = curve & (F.col("link_part") + (1 - F.col("link_part")) * F.col("heavy_part") >= LINK_PART) & loose
-    return out.withColumn("stuffed", (F.col("link_part") >= LINK_PART) | keywords | both)
+    """`curves` with `steeper`, `off_line` and `divergence`, the distances to pages of the same script and length, and
+    `stuffed`. The table of expected values has one row for each script and power of two of words, so it may be
+    broadcast."""
+    spectra = [F.avg(F.col("spectrum")[i]).alias(f"e{i}") for i in range(SPECTRUM)]
+    expected = curves.groupBy("script", "length_class").agg(F.percentile_approx("slope", 0.5, 1000).alias("expected"), F.percentile_approx("residual", 0.5, 1000).alias("expected_residual"), *spectra)
+    expected = expected.select("script", "length_class", "expected", "expected_residual", F.array(*[f"e{i}" for i in range(SPECTRUM)]).alias("expected_spectrum"))
+    out = curves.join(F.broadcast(expected), ["script", "length_class"]).withColumn("steeper", F.col("expected") - F.col("slope")).withColumn("off_line", F.col("residual") - F.col("expected_residual"))
+    out = out.withColumn("divergence", _divergence(F.col("spectrum"), F.col("expected_spectrum"))).drop("expected_spectrum")
+    few_numbers = F.col("number_part") < FEW_NUMBERS
+    loose = (F.col("function_part") < FEW_FUNCTION) & few_numbers
+    enough = F.col("n_words") >= LEAST_WORDS
+    steep = (F.col("slope") <= -STEEP) & (F.col("steeper") >= STEEPER) & (F.col("number_part") < 2 * FEW_NUMBERS)
+    divergent = (F.col("divergence") >= DIVERGENT) & few_numbers
+    # Lists of goods with prices are off the line of prose, too, so these two ask for few numbers.
+    extreme = enough & (steep | (F.col("off_line") >= OFF_LINE) & few_numbers | divergent)
+    keywords = extreme & ((F.col("heavy_part") >= HEAVY_PART) | (F.col("heavy_part") >= HEAVY_WEAK) & loose)
+    many = enough & divergent & loose & (F.col("repeated_part") >= REPEATED_PART)
+    both = extreme & (F.col("link_part") + (1 - F.col("link_part")) * F.col("heavy_part") >= LINK_PART) & loose
+    return out.withColumn("stuffed", (F.col("link_part") >= LINK_PART) | keywords | many | both)
 
 
 def stuffed_pages(df: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -244,6 +244,26 @@ def test_stuffed_pages(spark):
     assert got == set(range(40, 46))
 
 
+def prose_pages(r, n, size):
+    """Pages of words drawn by Zipf's law, a third of them function words."""
+    vocabulary = ["".join(r.choice("бвгдклмнпрст") + r.choice("аеиоу") for _ in range(r.choice([2, 3]))) for _ in range(1500)]
+    weights = [1 / (i + 8) for i in range(len(vocabulary))]
+    return [" ".join(r.choice(["и", "в", "не", "на", "что", "он"]) if r.random() < 0.33 else r.choices(vocabulary, weights)[0] for _ in range(size)) + "." for _ in range(n)]
+
+
+def stuffed(spark, pages):
+    return {x[0] for x in stuffing.stuffed_pages(spark.createDataFrame(list(enumerate(pages)), "id int, t string"), "id", "t").collect()}
+
+
+def test_level_and_even_keywords(spark):
+    r = random.Random(2)
+    keys = ["".join(r.choice("бвгджзклмн") + r.choice("аеиоу") for _ in range(4)) for _ in range(80)]
+    prose = prose_pages(r, 40, 200) + prose_pages(r, 10, 1600)
+    spam = ["займ " * 200, "займ срочно " * 60, "купить займ в москве " * 20, *[(" ".join(keys[:k]) + "\n") * (200 // k) for k in (3, 8, 20, 40)], (" ".join(keys) + "\n") * 20, *[" ".join(r.choice(keys[:k]) for _ in range(200)) for k in (4, 8, 15, 30)]]
+    goods = ["\n".join(f"{i}. {('Чайник', 'Клей', 'Линейка', 'Шило')[i % 4]} — {r.randrange(1000)} руб." for i in range(40))]
+    assert stuffed(spark, prose + spam + goods) == set(range(50, 50 + len(spam)))
+
+
 def test_rank_sums():
     import math
 
