@@ -2,8 +2,9 @@
 
 Method. Links, anchors and tags are taken out and weighed. The words left are counted for each page, and SQL windows
 turn the counts into a rank-frequency curve, whose slope, residual and heavy head are fitted, and into a spectrum: the
-parts of the text that words of a count of 1, 2 to 3, 4 to 7 and so on make up. A page is compared with pages of its
-script and length. Flagged are pages that are mostly links or tags, and pages whose curve is extreme (far steeper, or
+parts of the text that words of a count of 1, 2 to 3, 4 to 7 and so on make up. A page is compared with prose of
+its script and length: pages with enough function words and few heavy words, numbers and links, whatever else the table
+holds. Flagged are pages that are mostly links or tags, and pages whose curve is extreme (far steeper, or
 far off its line, or of another spectrum) while repeated words make up much of the text. A curve that is level at a high
 count has no slope and no residual; its spectrum tells it. Price lists, contents and glossaries, which repeat words too,
 are told by their plain numbers and function words.
@@ -46,6 +47,23 @@ REPEATED_PART = 0.5
 HEAVY_PART, HEAVY_WEAK = 0.4, 0.24
 FEW_FUNCTION, FEW_NUMBERS = 0.16, 0.25
 LEAST_WORDS = 12
+#: Prose: links and heavy words are under these parts.
+PROSE_LINKS, PROSE_HEAVY = 0.2, 0.1
+#: Weight of prose one class of length away, of prose of the other script, and of each row of CURVE, in pages.
+NEARBY, OTHER_SCRIPT, FIXED_WEIGHT = 1 / 64, 0.05, 0.05
+#: Slope, residual and spectrum of prose by length class: means of the prose in sf0.1, classes 9 and 10 interpolated.
+CURVE = {
+    3: (0.0, 0.0, 1.0),
+    4: (-0.02, 0.018, 0.983, 0.017),
+    5: (-0.047, 0.046, 0.959, 0.041),
+    6: (-0.09, 0.091, 0.919, 0.081),
+    7: (-0.149, 0.124, 0.853, 0.145, 0.002),
+    8: (-0.215, 0.143, 0.771, 0.217, 0.012),
+    9: (-0.355, 0.237, 0.526, 0.184, 0.177, 0.102, 0.011),
+    10: (-0.496, 0.331, 0.280, 0.151, 0.341, 0.204, 0.024),
+    11: (-0.636, 0.425, 0.035, 0.118, 0.506, 0.306, 0.035),
+    12: (-0.649, 0.488, 0.033, 0.066, 0.508, 0.356, 0.037),
+}
 
 
 def _solid(c: Column) -> Column:
@@ -53,7 +71,8 @@ def _solid(c: Column) -> Column:
 
 
 def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row for each page with text: link_part, n_words, function_part, number_part, slope, residual, heavy_part,
+    """One row for each page with text: link_part, n_words, function_part, number_part, figure_part (numbers and
+    words of amounts), slope, residual, heavy_part,
     repeated_part, spectrum (NULL without content words), script and length class."""
     page = df.where(F.col(text) != "").select(F.col(doc_id).alias("page"), F.col(text).alias("t"))
     # The one shuffle of texts; all that follows is partitioned by page.
@@ -65,11 +84,12 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     counted = words.groupBy("page", "w").agg(F.count("w").alias("n"), F.max("size").alias("size"), F.max("left").alias("left"), F.max("numbers").alias("numbers"))
     function = F.col("w").isin(FUNCTION)
     content = ~function & ~F.col("w").isin(AMOUNT) & (F.length("w") > 2)
-    counted = counted.select("page", "n", "size", "left", "numbers", F.coalesce(function, F.lit(False)).alias("function"), F.coalesce(content, F.lit(False)).alias("content"), F.coalesce(F.col("w").rlike("^[a-z]"), F.lit(False)).alias("latin"))
+    counted = counted.select("page", "n", "size", "left", "numbers", F.coalesce(function, F.lit(False)).alias("function"), F.coalesce(content, F.lit(False)).alias("content"), F.coalesce(F.col("w").rlike("^[a-z]"), F.lit(False)).alias("latin"), F.coalesce(F.col("w").isin(AMOUNT), F.lit(False)).alias("amount"))
     # Words of the same count lie side by side on the curve: one row for each count of a page.
     level = counted.groupBy("page", F.when(F.col("content"), F.col("n")).alias("n")).agg(
         F.count("*").alias("m"), F.max("size").alias("size"), F.max("left").alias("left"), F.max("numbers").alias("numbers"), F.sum("n").alias("all_words"),
         F.sum(F.when(F.col("function"), F.col("n")).otherwise(0)).alias("function_words"), F.sum(F.when(F.col("latin"), F.col("n")).otherwise(0)).alias("latin_words"),
+        F.sum(F.when(F.col("amount"), F.col("n")).otherwise(0)).alias("amount_words"),
     )
     curve = Window.partitionBy("page").orderBy(F.desc_nulls_last("n")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("page")
@@ -82,7 +102,7 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     heavy = k & (F.col("n") >= HEAVY_TIMES) & (F.col("n") >= HEAVY_SHARE * F.col("content_words"))
     fit = level.groupBy("page").agg(
         F.max("size").alias("size"), F.max("left").alias("left"), F.max("numbers").alias("numbers"), F.sum("all_words").alias("n_words"), F.sum("function_words").alias("function_words"),
-        F.sum("latin_words").alias("latin_words"), F.max("content_words").alias("content_words"), F.sum("m_here").cast("double").alias("k"),
+        F.sum("latin_words").alias("latin_words"), F.sum("amount_words").alias("amount_words"), F.max("content_words").alias("content_words"), F.sum("m_here").cast("double").alias("k"),
         F.sum(F.when(k, sx)).alias("sx"), F.sum(F.when(k, sxx)).alias("sxx"), F.sum(F.when(k, y * F.col("m"))).alias("sy"), F.sum(F.when(k, y * y * F.col("m"))).alias("syy"), F.sum(F.when(k, y * sx)).alias("sxy"),
         F.sum(F.when(heavy, F.col("n") * F.col("m")).otherwise(0)).alias("heavy_words"),
         F.sum(F.when(k & (F.col("n") >= HEAVY_TIMES), F.col("n") * F.col("m")).otherwise(0)).alias("repeated_words"),
@@ -94,6 +114,7 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return fit.select(
         "page", F.when(F.col("size") > 0, 1 - F.col("left") / F.col("size")).otherwise(0.0).alias("link_part"), "n_words",
         (F.col("function_words") / F.greatest(F.col("n_words"), one)).alias("function_part"), (F.col("numbers") / F.greatest(F.col("n_words") + F.col("numbers"), one)).alias("number_part"),
+        ((F.col("numbers") + F.col("amount_words")) / F.greatest(F.col("n_words") + F.col("numbers"), one)).alias("figure_part"),
         F.when(fitted, vxy / vxx).otherwise(0.0).alias("slope"), F.when(fitted, F.sqrt(F.greatest(vyy - vxy * vxy / vxx, F.lit(0.0))) / F.col("k")).otherwise(0.0).alias("residual"),
         (F.col("heavy_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("heavy_part"), (F.col("repeated_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("repeated_part"),
         F.when(F.col("content_words") > 0, F.array(*[F.col(f"s{i}") / F.col("content_words") for i in range(SPECTRUM)])).alias("spectrum"),
@@ -120,19 +141,36 @@ def _divergence(a: Column, b: Column) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: (part(x, y) + part(y, x)) / 2), F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
 
 
+def prose_expected(curves: DataFrame) -> DataFrame:
+    """Expected slope, residual and spectrum for each script and length class in `curves`, from prose only. The means
+    of the prose of each class are smoothed over length: a class weighs by its pages, a neighbour NEARBY times as much
+    for each class of distance. Prose of the other script and the fixed CURVE, which weigh little, count where
+    there is none nearby. At most two scripts and as many classes as a page length has bits."""
+    prose = (F.col("function_part") >= FEW_FUNCTION) & (F.col("number_part") < FEW_NUMBERS) & (F.col("link_part") < PROSE_LINKS) & (F.col("heavy_part") < PROSE_HEAVY) & (F.col("n_words") >= LEAST_WORDS)
+    values = ["slope", "residual", *[f"s{i}" for i in range(SPECTRUM)]]
+    flat = curves.select("script", "length_class", prose.alias("prose"), "slope", "residual", *[F.col("spectrum")[i].alias(f"s{i}") for i in range(SPECTRUM)])
+    known = flat.groupBy("script", "length_class").agg(F.count(F.when(F.col("prose") & F.col("s0").isNotNull(), 1)).cast("double").alias("weight"), *[F.avg(F.when(F.col("prose") & F.col("s0").isNotNull(), F.col(v))).alias(v) for v in values])
+    rows = ", ".join(str((c, *v, *[0.0] * (2 + SPECTRUM - len(v)))) for c, v in CURVE.items())
+    fixed = curves.sparkSession.sql(f"SELECT CAST(NULL AS string) AS script, CAST(length_class AS bigint) AS length_class, CAST({FIXED_WEIGHT} AS double) AS weight, {', '.join(f'CAST({v} AS double) AS {v}' for v in values)} FROM VALUES {rows} AS t(length_class, {', '.join(values)})")
+    source = known.where("weight > 0").unionByName(fixed).withColumnsRenamed({"script": "from_script", "length_class": "from_class"})
+    near = F.when(F.col("script") != F.col("from_script"), OTHER_SCRIPT).otherwise(1.0)
+    weight = F.col("weight") * near * F.pow(F.lit(NEARBY), F.abs(F.col("length_class") - F.col("from_class")))
+    pairs = known.select("script", "length_class").join(F.broadcast(source)).withColumn("w", weight)
+    mean = lambda v: F.sum(F.col("w") * F.col(v)) / F.sum("w")
+    return pairs.groupBy("script", "length_class").agg(mean("slope").alias("expected"), mean("residual").alias("expected_residual"), F.array(*[mean(f"s{i}") for i in range(SPECTRUM)]).alias("expected_spectrum"))
+
+
 def judged(curves: DataFrame) -> DataFrame:
-    """`curves` with `steeper`, `off_line` and `divergence`, the distances to pages of the same script and length, and
+    """`curves` with `steeper`, `off_line` and `divergence`, the distances to prose of the same script and length, and
     `stuffed`. The table of expected values has one row for each script and power of two of words, so it may be
     broadcast."""
-    spectra = [F.avg(F.col("spectrum")[i]).alias(f"e{i}") for i in range(SPECTRUM)]
-    expected = curves.groupBy("script", "length_class").agg(F.percentile_approx("slope", 0.5, 1000).alias("expected"), F.percentile_approx("residual", 0.5, 1000).alias("expected_residual"), *spectra)
-    expected = expected.select("script", "length_class", "expected", "expected_residual", F.array(*[f"e{i}" for i in range(SPECTRUM)]).alias("expected_spectrum"))
+    expected = prose_expected(curves)
     out = curves.join(F.broadcast(expected), ["script", "length_class"]).withColumn("steeper", F.col("expected") - F.col("slope")).withColumn("off_line", F.col("residual") - F.col("expected_residual"))
     out = out.withColumn("divergence", _divergence(F.col("spectrum"), F.col("expected_spectrum"))).drop("expected_spectrum")
     few_numbers = F.col("number_part") < FEW_NUMBERS
     loose = (F.col("function_part") < FEW_FUNCTION) & few_numbers
     enough = F.col("n_words") >= LEAST_WORDS
-    steep = (F.col("slope") <= -STEEP) & (F.col("steeper") >= STEEPER) & (F.col("number_part") < 2 * FEW_NUMBERS)
+    steep = (F.col("slope") <= -STEEP) & (F.col("steeper") >= STEEPER) & (F.col("figure_part") < 2 * FEW_NUMBERS)
     divergent = (F.col("divergence") >= DIVERGENT) & few_numbers
     # Lists of goods with prices are off the line of prose, too, so these two ask for few numbers.
     extreme = enough & (steep | (F.col("off_line") >= OFF_LINE) & few_numbers | divergent)

@@ -264,6 +264,17 @@ def test_level_and_even_keywords(spark):
     assert stuffed(spark, prose + spam + goods) == set(range(50, 50 + len(spam)))
 
 
+def test_verdicts_do_not_hang_on_other_spam(spark):
+    r = random.Random(3)
+    prose, long = prose_pages(r, 12, 200), prose_pages(r, 2, 1600)
+    draw = lambda n: " ".join(r.choice(["займ", "займ", "срочно", "недорого", "купить", "отзывы", "рядом"]) for _ in range(n))
+    hot = [draw(200) for _ in range(30)] + ["займ срочно " * 100] * 5
+    alone = [draw(6000), draw(900)]
+    pages = prose + long + hot + alone
+    assert stuffed(spark, pages) == set(range(14, len(pages)))
+    assert stuffed(spark, hot) == set(range(len(hot))) and stuffed(spark, alone[:1]) == {0} and stuffed(spark, long[:1]) == set()
+
+
 def test_rank_sums():
     import math
 
