@@ -196,7 +196,7 @@ def _cue(low: str, start: int, reach: int = 48) -> str | None:
 
 
 def _numbers(look: str, low: str) -> Iterator[tuple[int, int, str]]:
-    if not re.search(r"\d{2}", low):
+    if not re.search(r"\d", low):
         return
     for rule in (_SERIES, _SIGNED):
         for m in rule.finditer(look):
@@ -232,9 +232,13 @@ def _split_run(look: str, low: str, start: int, run: str) -> Iterator[tuple[int,
                 return
             i = 0
             while i < len(pieces):
-                for j in range(min(len(pieces), i + 5), i, -1):
+                # Pieces are joined as long as they hold the digits of one number.
+                last, held = i, 0
+                while last < len(pieces) and (held := held + sum(map(str.isdigit, run[slice(*pieces[last])]))) <= 15:
+                    last += 1
+                for j in range(last, i, -1):
                     a, b = pieces[i][0], pieces[j - 1][1]
-                    if 10 <= b - a <= 24 and (k := number_kind(run[a:b], low, start + a, start + b)):
+                    if b - a >= 10 and (k := number_kind(run[a:b], low, start + a, start + b)):
                         yield start + a, start + b, k
                         i = j
                         break
@@ -249,6 +253,8 @@ _BLANK = re.compile(r"[ \t\n\r]+")
 
 #: A number that is a whole text, line or list item, with its mark.
 _ITEM_START = re.compile(r"(?:^|[\n\r;,|]|(?<=\n)\d{1,2}[.)]|^\d{1,2}[.)]|[•*\-–—])[ \t]*$")
+#: A run that begins with the mark of a list item.
+_MARKED = re.compile(r"\d[.)]\s")
 _ITEM_END = re.compile(r"[ \t]*[.;,]?[ \t]*(?:$|[\n\r,;|])")
 
 
@@ -275,6 +281,9 @@ def number_kind(run: str, low: str, start: int, end: int) -> str | None:
             return "PHONE"
         if digits[0] in "78" and groups in ([11], [1, 10], [1, 3, 7], [1, 3, 3, 4], [1, 3, 3, 2, 2], [1, 3, 2, 2, 3], [4, 3, 2, 2], [4, 7], [4, 3, 4]) and digits[1:4] != "800":
             return "PHONE"
+        # Any other grouping needs a phone cue, or the number for itself with an area code's first digit.
+        if digits[0] in "78" and digits[1:4] != "800" and len(groups) > 1 and not _MARKED.match(run) and (alone and digits[1] in "3489" or any(c in low[max(0, start - 40) : start] for c in PHONE_CUES)):
+            return "PHONE"
         if groups == [11] and digits[0] not in "78" and snils_valid(digits):
             return "ID_NUMBER"
         return "ID_NUMBER" if alone and groups == [11] else None

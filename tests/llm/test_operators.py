@@ -214,6 +214,13 @@ def test_short_items_must_be_whole(spark):
     assert {tuple(x) for x in leaks.leaked(docs, "d", "t", items, "i", "t").collect()} == {(1, 1)}
 
 
+def test_phones_in_any_grouping():
+    for n in ("8 916 12 345 67", "8 9 1 6 1 2 3 4 5 6 7", "7 91 61 23 45 67", "8-91-61-23-45-67"):
+        assert pii.redact(f"Клиент просил, тел. {n}, вечером") == "Клиент просил, тел. [PHONE], вечером"
+    assert pii.redact("8 916 12 345 67") == "[PHONE]" and pii.redact("тел. 8 9 1 6 1 2 3 4 5 6 7\n8 9 1 6 7 6 5 4 3 2 1") == "тел. [PHONE]\n[PHONE]"
+    assert pii.redact("В таблице 8 12 100 250 300 всего") == "В таблице 8 12 100 250 300 всего"
+
+
 # Structure
 
 
