@@ -46,6 +46,8 @@ REPEATED_PART = 0.5
 #: Part of heavy words: alone enough; enough if neither function words nor plain numbers hold the text together.
 HEAVY_PART, HEAVY_WEAK = 0.4, 0.24
 FEW_FUNCTION, FEW_NUMBERS = 0.16, 0.25
+#: Part of function words from which a page is made of sentences, though they repeat.
+SENTENCE_FUNCTION = 0.28
 LEAST_WORDS = 12
 #: Prose: links and heavy words are under these parts.
 PROSE_LINKS, PROSE_HEAVY = 0.2, 0.1
@@ -172,8 +174,10 @@ def judged(curves: DataFrame) -> DataFrame:
     enough = F.col("n_words") >= LEAST_WORDS
     steep = (F.col("slope") <= -STEEP) & (F.col("steeper") >= STEEPER) & (F.col("figure_part") < 2 * FEW_NUMBERS)
     divergent = (F.col("divergence") >= DIVERGENT) & few_numbers
-    # Lists of goods with prices are off the line of prose, too, so these two ask for few numbers.
-    extreme = enough & (steep | (F.col("off_line") >= OFF_LINE) & few_numbers | divergent)
+    # Lists of goods with prices and sentences said again and again are off the line of prose, too, so these two ask
+    # for few numbers and fewer function words than sentences have.
+    keyed = few_numbers & (F.col("function_part") < SENTENCE_FUNCTION)
+    extreme = enough & (steep | ((F.col("off_line") >= OFF_LINE) | divergent) & keyed)
     keywords = extreme & ((F.col("heavy_part") >= HEAVY_PART) | (F.col("heavy_part") >= HEAVY_WEAK) & loose)
     many = enough & divergent & loose & (F.col("repeated_part") >= REPEATED_PART)
     both = extreme & (F.col("link_part") + (1 - F.col("link_part")) * F.col("heavy_part") >= LINK_PART) & loose
