@@ -292,3 +292,20 @@ def test_rank_sums():
         u = lambda x: x * math.log(x) ** 2 - 2 * x * math.log(x) + 2 * x
         b = 0.0 if n <= 1 else u(n + 0.5) - u(1.5)
         assert abs(a - s1) < 1e-3 and abs(b - s2) <= 0.02 * max(1, s2)
+
+
+def test_personal_data_in_linear_time():
+    """One anchor in a text of a million characters costs no more than reading it; every spelling is parsed beside its anchor."""
+    import time
+
+    for text in ("x@y " + "a" * 1_000_000, "1" + " " * 1_000_000, "ivan-" * 100_000, "a." * 200_000 + "@x", "ул" + " " * 500_000 + "5"):
+        t = time.process_time()
+        pii.find(text)
+        assert time.process_time() - t < 10
+    assert pii.redact("почта ivan (at) mail (dot) ru и petr собака mail.ru") == "почта [EMAIL] и [EMAIL]"
+
+
+def test_cards_and_accounts_are_bounded_and_left_alone():
+    text = "Карта 4111 1111 1111 1111, счёт 40817810099910004312, тел. +7 916 123-45-67"
+    assert pii.redact(text) == "Карта 4111 1111 1111 1111, счёт 40817810099910004312, тел. [PHONE]"
+    assert pii.redact(text, pii.KINDS + pii.FINANCIAL) == "Карта [CARD], счёт [ACCOUNT], тел. [PHONE]"
