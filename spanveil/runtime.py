@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spanveil-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
@@ -75,7 +77,7 @@ def digest(*cols: Column) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
-def attach(big: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFrame:
+def attach(big: DataFrame, lookup: DataFrame, key: str, weight: str, keep_weight: bool = False) -> DataFrame:
     """Inner join of `big` with `lookup` (one row per key) where a key may hold a third of all rows of `big`.
 
     `lookup[weight]` says how many rows of `big` a key has. Keys above HOT_SHARE of the total go through a broadcast
@@ -84,8 +86,9 @@ def attach(big: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFram
     """
     total = lookup.agg(F.sum(weight).alias("t")).collect()[0]["t"] or 0
     floor = max(1000.0, total * HOT_SHARE)
-    lookup_cold = lookup.where(F.col(weight) <= floor).drop(weight)
-    lookup_hot = lookup.where(F.col(weight) > floor).drop(weight)
+    gone = () if keep_weight else (weight,)
+    lookup_cold = lookup.where(F.col(weight) <= floor).drop(*gone)
+    lookup_hot = lookup.where(F.col(weight) > floor).drop(*gone)
     if not lookup.where(F.col(weight) > floor).limit(1).collect():
-        return big.join(lookup.drop(weight), key)
+        return big.join(lookup.drop(*gone), key)
     return big.join(F.broadcast(lookup_hot), key).unionByName(big.join(F.broadcast(lookup_hot.select(key)), key, "left_anti").join(lookup_cold, key))
