@@ -5,8 +5,10 @@ line marks do not count). Characters q-grams shared with an item are counted in
 q-gram lemma, a passage of PASSAGE words with at most EDITS words exchanged, added or left out keeps a known number
 of q-grams on one band, so only bands that reach it are kept. They are verified by banded alignment of the words.
 
-The items are a stated query set. They are held in blocks of bounded size, each block against all documents; the
-documents are not shuffled, unless there are fewer parts of them than cores.
+The items are a stated query set. Passages that several items share (a prompt template) stand in the index once, with
+the list of their items, so a template costs one search and not one for each item. The items are held in blocks of
+bounded size, each block against all documents; the documents are not shuffled, unless there are fewer parts of them
+than cores. A Python worker builds the index of a block once. Hits are expanded in slices of bounded size.
 
 Defined results: NULL and empty texts and items match nothing. An item shorter than a passage must be there whole and
 unedited; one of under four letters and digits is no evidence. Repeated rows give one row.
@@ -14,6 +16,7 @@ unedited; one of under four letters and digits is no evidence. Repeated rows giv
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -36,8 +39,11 @@ EDITS = 1
 BAND = 48
 #: Words that the alignment may drift from the band's diagonal.
 DRIFT = 7
-#: Characters of items in one block: what is broadcast to the executors is at most about forty times as many bytes.
-BLOCK_CHARS = 2_000_000
+#: Characters of items in one block, each block being one more scan of the documents. The index of a block takes about
+#: forty bytes for each character that stands in a passage of its own.
+BLOCK_CHARS = 8_000_000
+#: Hits expanded at once, each about a hundred bytes.
+SLICE = 1_000_000
 #: Characters of documents looked at in one go.
 CHUNK_CHARS = 1_000_000
 
@@ -96,33 +102,60 @@ def words_of(a: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 
 class Index:
-    """Postings of the q-grams of items that share one q."""
+    """Postings of the q-grams of items that share one q, over the distinct passages of the items.
 
-    def __init__(self, items: list[tuple[object, str]], q: int):
+    Items are cut into segments that hold each distinct passage (PASSAGE words, or a whole shorter item) once: words whose
+    passages all stood in earlier segments are not indexed again. `owners` lists the items of each passage.
+    """
+
+    def __init__(self, items: list[tuple[object, list[str]]], q: int):
         self.q = q
-        self.ids, self.words, self.starts, self.bound = [], [], [], []
-        keys, item, pos = [], [], []
-        for item_id, text in items:
-            a = fold(text.replace("\x00", " "))
-            words, starts = words_of(a)
-            if not words:
-                continue
+        self.ids = [i for i, _ in items]
+        self.words: list[list[str]] = []
+        #: For each segment, the place of its first passage among all passages.
+        self.passage: list[int] = []
+        known: dict[str, int] = {}
+        owners: list[list[int]] = []
+        for k, (_, words) in enumerate(items):
+            size = min(PASSAGE, len(words))
+            fresh_from = None
+            for s in range(len(words) - size + 1):
+                key = " ".join(words[s : s + size])
+                at = known.get(key)
+                if at is None:
+                    at = known[key] = len(owners)
+                    owners.append([k])
+                    if fresh_from is None:
+                        fresh_from = s
+                        self.passage.append(at)
+                else:
+                    if owners[at][-1] != k:
+                        owners[at].append(k)
+                    if fresh_from is not None:
+                        self.words.append(words[fresh_from : s - 1 + size])
+                        fresh_from = None
+            if fresh_from is not None:
+                self.words.append(words[fresh_from:])
+        # Passages of the same items share one list.
+        lists: dict[tuple[int, ...], int] = {}
+        self.owner = np.array([lists.setdefault(tuple(x), len(lists)) for x in owners], np.int64)
+        self.lists = [np.array(x, np.int64) for x in lists]
+        keys, segment, pos = [], [], []
+        self.starts, bound = [], []
+        for k, words in enumerate(self.words):
+            a = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+            self.starts.append(words_of(a)[1])
+            bound.append(_least_shared(words, q))
             h = grams(a, q)
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.words.append(words)
-            self.starts.append(starts)
-            self.bound.append(_least_shared(words, q))
             keys.append(h)
-            item.append(np.full(len(h), k, np.int64))
-            pos.append(np.arange(len(h), dtype=np.int64))
+            segment.append(np.full(len(h), k, np.int32))
+            pos.append(np.arange(len(h), dtype=np.int32))
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
-        self.keys, first, count = np.unique(keys[order], return_index=True, return_counts=True)
-        self.first, self.count = first, count
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, np.int64)
-        self.bound = np.array(self.bound, np.int64)
+        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.segment = np.concatenate(segment)[order] if segment else np.zeros(0, np.int32)
+        self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, np.int32)
+        self.bound = np.array(bound, np.int64)
         #: Characters of the longest passage of any item.
         self.reach = max((_longest(w) for w in self.words), default=1)
         bits = 22
@@ -152,45 +185,107 @@ class Index:
         at, k = at[kept], k[kept]
         if not len(at):
             return
-        n = self.count[k]
-        reps = np.repeat(np.arange(len(at)), n)
-        post = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, at = self.item[post], at[reps]
         doc = np.searchsorted(edges, at, side="left") - 1
-        diagonal = at - edges[doc] - 1 - self.pos[post] + (1 << 20)
+        # Slices end between documents; a document of more hits than a slice is gone through by ranges of segments.
+        total = np.cumsum(self.count[k])
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(at)]])
+        lo = 0
+        while lo < len(begins) - 1:
+            base = total[begins[lo] - 1] if begins[lo] else 0
+            hi = lo + 1
+            while hi < len(begins) - 1 and total[begins[hi + 1] - 1] - base <= SLICE:
+                hi += 1
+            part = slice(begins[lo], begins[hi])
+            hits = int(total[begins[hi] - 1] - base)
+            yield from self._matched(a, edges, at[part], k[part], doc[part], -(-hits // SLICE))
+            lo = hi
+
+    def _postings(self, k: np.ndarray, share: int, shares: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in k, posting) of every posting of the q-grams k whose segment falls into this share."""
+        if shares == 1:
+            n = self.count[k]
+            return np.repeat(np.arange(len(k)), n), np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        low, high = (len(self.words) * x // shares for x in (share, share + 1))
+        # The postings of a q-gram lie by segment, so a share is a range of each.
+        distinct, back = np.unique(k, return_inverse=True)
+        ends = [np.searchsorted(self.segment[f : f + c], (low, high)) + f for f, c in zip(self.first[distinct].tolist(), self.count[distinct].tolist())]
+        first, last = np.array(ends, np.int64).reshape(-1, 2)[back].T
+        n = last - first
+        return np.repeat(np.arange(len(k)), n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def _matched(self, a: np.ndarray, edges: np.ndarray, at: np.ndarray, k: np.ndarray, doc: np.ndarray, shares: int) -> Iterator[tuple[int, int]]:
+        done: dict[int, set[int]] = {}
+        doc_words: dict[int, tuple[dict[str, list[int]], np.ndarray]] = {}
+        for share in range(shares):
+            reps, post = self._postings(k, share, shares)
+            if not len(reps):
+                continue
+            for x, passages in self._aligned(a, edges, at[reps], doc[reps], self.segment[post].astype(np.int64), self.pos[post].astype(np.int64), doc_words):
+                lists = done.setdefault(x, set())
+                lists.update(self.owner[passages].tolist())
+        for x, lists in done.items():
+            for y in np.unique(np.concatenate([self.lists[i] for i in lists])).tolist():
+                yield x, y
+
+    def _aligned(self, a, edges, at, doc, segment, pos, doc_words) -> Iterator[tuple[int, list[int]]]:
+        """(document, passages) for the bands that hold enough q-grams and stand the alignment."""
+        # A document and a segment need the segment's least number of q-grams, and a word that a passage can end with
+        # and one it can begin with: most segments that share a template with the document leave here.
+        pair = doc * len(self.words) + segment
+        pairs, n = np.unique(pair, return_counts=True)
+        good = n >= self.bound[pairs % len(self.words)]
+        good[good] = [self._ends(a, edges, *divmod(x, len(self.words)), doc_words) for x in pairs[good].tolist()]
+        if not good.any():
+            return
+        keep = good[np.searchsorted(pairs, pair)]
+        at, doc, segment, pos = at[keep], doc[keep], segment[keep], pos[keep]
         half = BAND // 2
-        band = np.concatenate([diagonal // half, diagonal // half - 1])
-        place = np.concatenate([self.pos[post]] * 2)
-        key = (np.concatenate([doc] * 2) * len(self.ids) + np.concatenate([item] * 2)) * (1 << 26) + band
-        order = np.lexsort((place, key))
-        key, place = key[order], place[order]
+        band = (at - edges[doc] - 1 - pos) // half
+        doc, segment, band, place = _sorted(*(np.concatenate([x, y]) for x, y in ((doc, doc), (segment, segment), (band, band - 1), (pos, pos))))
+        group = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1]) | (band[1:] != band[:-1])]))
         # Hits of the same band within the length of a passage, from each hit on.
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
-        line = group * (1 << 32) + place
+        line = group * (1 << 34) + place
         shared = np.searchsorted(line, line + self.reach) - np.arange(len(line))
-        i = (key >> 26) % len(self.ids)
-        keep = np.flatnonzero(shared >= self.bound[i])
+        keep = np.flatnonzero(shared >= self.bound[segment])
         if not len(keep):
             return
-        last = np.concatenate([np.flatnonzero(np.diff(key[keep])), [len(keep) - 1]])
+        last = np.concatenate([np.flatnonzero(np.diff(group[keep])), [len(keep) - 1]])
         first = np.concatenate([[0], last[:-1] + 1])
-        done: set[tuple[int, int]] = set()
-        doc_words: dict[int, tuple[dict[str, list[int]], np.ndarray]] = {}
         for f, g in zip(keep[first].tolist(), keep[last].tolist()):
-            pair, b = divmod(int(key[f]), 1 << 26)
-            x, y = divmod(pair, len(self.ids))
-            if (x, y) in done:
-                continue
-            if x not in doc_words:
-                words, starts = words_of(a[edges[x] + 1 : edges[x + 1]])
-                where: dict[str, list[int]] = {}
-                for j, w in enumerate(words):
-                    where.setdefault(w, []).append(j)
-                doc_words[x] = where, starts
+            x, y, b = int(doc[f]), int(segment[f]), int(band[f])
             lo, hi = np.searchsorted(self.starts[y], (place[f] - self.reach // 2, place[g] + self.reach + self.reach // 2)).tolist()
-            if aligned(self.words[y], self.starts[y], lo, hi, *doc_words[x], (b + 1) * half - (1 << 20)):
-                done.add((x, y))
-                yield x, y
+            got = aligned(self.words[y], self.starts[y], lo, hi, *doc_words[x], (b + 1) * half)
+            if got:
+                yield x, [self.passage[y] + p for p in got]
+
+    def _ends(self, a: np.ndarray, edges: np.ndarray, x: int, y: int, doc_words: dict) -> bool:
+        if x not in doc_words:
+            words, starts = words_of(a[edges[x] + 1 : edges[x + 1]])
+            where: dict[str, list[int]] = {}
+            for j, w in enumerate(words):
+                where.setdefault(w, []).append(j)
+            doc_words[x] = where, starts
+        has, words = doc_words[x][0].__contains__, self.words[y]
+        size = min(PASSAGE, len(words))
+        return any(map(has, words[size - 1 :])) and any(map(has, words[: len(words) - size + 1]))
+
+
+def _sorted(*columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of whole numbers sorted by the first, then the second and so on; as one number each where that fits."""
+    low = [int(c.min()) for c in columns]
+    size = [int(c.max()) - x + 1 for c, x in zip(columns, low)]
+    if math.prod(size) >= 1 << 62:
+        order = np.lexsort(columns[::-1])
+        return [c[order] for c in columns]
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, x, n in zip(columns, low, size):
+        key = key * n + (c - x)
+    key.sort()
+    out = []
+    for x, n in zip(low[::-1], size[::-1]):
+        key, rest = np.divmod(key, n)
+        out.append(rest + x)
+    return out[::-1]
 
 
 def _longest(words: list[str]) -> int:
@@ -212,23 +307,24 @@ def _least_shared(words: list[str], q: int) -> int:
 
 def indexes(items: list[tuple[object, str]]) -> list[Index]:
     """One index for each q in use. An item of fewer characters than the smallest q is no evidence and left out."""
-    by_q: dict[int, list[tuple[object, str]]] = {}
+    by_q: dict[int, list[tuple[object, list[str]]]] = {}
     for item_id, text in items:
         words = words_of(fold(text.replace("\x00", " ")))[0]
         q = next((q for q in QS if words and _least_shared(words, q) >= 1), None)
         if q:
-            by_q.setdefault(q, []).append((item_id, text))
+            by_q.setdefault(q, []).append((item_id, words))
     return [Index(x, q) for q, x in by_q.items()]
 
 
-def aligned(item: list[str], item_starts: np.ndarray, lo: int, hi: int, where: dict[str, list[int]], doc_starts: np.ndarray, diagonal: int) -> bool:
-    """Whether a passage of the item's words lo to hi stands in the document, within DRIFT words of where the diagonal
-    leads: alignment over the equal words of the band, with at most one single word exchanged, added or left out in a
-    stretch of PASSAGE words."""
+def aligned(item: list[str], item_starts: np.ndarray, lo: int, hi: int, where: dict[str, list[int]], doc_starts: np.ndarray, diagonal: int) -> list[int]:
+    """The passages among the item's words lo to hi (by their first words) that stand in the document, within DRIFT words
+    of where the diagonal leads: alignment over the equal words of the band, with at most one single word exchanged, added
+    or left out in a stretch of PASSAGE words."""
     size = min(PASSAGE, len(item))
     expect = np.searchsorted(doc_starts, item_starts[lo:hi] + diagonal).tolist()
     # For the equal words (i, j): first word of the longest chain that ends here without an edit, and with one.
     rows: list[dict[int, tuple[int, int]]] = [{}, {}]
+    out: set[int] = set()
     for i in range(lo, hi):
         now: dict[int, tuple[int, int]] = {}
         at = where.get(item[i])
@@ -245,11 +341,13 @@ def aligned(item: list[str], item_starts: np.ndarray, lo: int, hi: int, where: d
                 for near, back in ((one, j - 2), (two, j - 1), (two, j - 2)):
                     if back in near and size == PASSAGE:
                         edited = min(edited, near[back][0])
-                if i - min(plain, edited) + 1 >= size:
-                    return True
+                w = i - size + 1
+                if plain <= w or edited <= w and (w < plain - 1 or j - i + plain - 2 in where.get(item[w], ())):
+                    # All of the passage from word w on but one edit inside it, its first word being there.
+                    out.add(w)
                 now[j] = plain, edited
         rows = [rows[-1], now]
-    return False
+    return sorted(out)
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, str]]]:
@@ -279,9 +377,23 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     return out.distinct()
 
 
+#: Indexes of the blocks that this Python worker has built, by the number of their broadcast: the last few.
+_BUILT: dict[object, list[Index]] = {}
+
+
+def _built(shared) -> list[Index]:
+    key = getattr(shared, "_jid", None) or id(shared)
+    key = (key, len(shared.value), shared.value[0][0], shared.value[-1][0])
+    if key not in _BUILT:
+        while len(_BUILT) >= 2:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = indexes(shared.value)
+    return _BUILT[key]
+
+
 def _search(shared, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = indexes(shared.value)
+        built = _built(shared)
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             at = 0

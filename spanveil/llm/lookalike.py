@@ -4,8 +4,9 @@ Method. A quick check on each text (character properties only, as one regular ex
 finds texts that need no work; in the rest, only the unstable segments, taken with the starter before a combining
 mark or the whole word around a foreign letter, are normalised, and the results are spliced into the unchanged text.
 
-What is brought together: full-width and half-width forms, composed and combining accents, invisible characters,
-fixed blanks, and letters of Cyrillic, Greek and Latin that are drawn alike. What stays apart, being visible: letter
+What is brought together: full-width and half-width forms, ligatures and letters in mathematical or positional forms,
+composed and combining accents, invisible characters, fixed blanks, and letters of Cyrillic, Greek and Latin that are
+drawn alike. What stays apart, being visible: letter
 case, wording, punctuation, yo and ye, and the number or kind of ordinary blanks, tabs and line breaks.
 
 Defined results: NULL gives NULL, an empty text or one made of invisible characters only gives an empty text.
@@ -25,14 +26,15 @@ from pyspark.sql import types as T
 
 from spanveil.runtime import attach, digest, durable
 
-# Letters drawn alike. Each row is Latin letter, then the Cyrillic and Greek letters of the same shape.
+# Letters drawn alike. Each row is Latin letter, then the Cyrillic, Greek and further Latin letters of the
+# same shape.
 ALIKE = """
 A А Α
 B В Β
 C С
 E Е Ε
 H Н Η
-I І Ι
+I І Ι Ӏ
 J Ј
 K К Κ
 M М Μ
@@ -44,36 +46,50 @@ T Т Τ
 X Х Χ
 Y У Υ
 Z Ζ
-a а
+a а α
 c с
 d ԁ
 e е
 h һ
-i і
-j ј
+i і ι
+j ј ϳ
+l ӏ
 o о ο
 p р ρ
 q ԛ
 s ѕ
+u υ
 v ν
 w ԝ
 x х
-y у
+y у γ
 """
+# Cyrillic letters and the Greek ones drawn alike, where no Latin letter is.
+ALIKE_GREEK = "ГΓ ПΠ ФΦ кκ"
 
 _TO_LATIN = {ord(o): ord(row.split()[0]) for row in ALIKE.strip().splitlines() for o in row.split()[1:]}
-_TO_CYRILLIC = {ord(row.split()[0]): ord(o) for row in ALIKE.strip().splitlines() for o in row.split()[1:] if "CYRILLIC" in unicodedata.name(o)}
+_TO_LATIN |= {ord(pair[1]): ord(pair[0]) for pair in ALIKE_GREEK.split()}
+_TO_CYRILLIC = {ord(row.split()[0]): ord(o) for row in ALIKE.strip().splitlines() for o in row.split()[1:] if "CYRILLIC" in unicodedata.name(o) and ord(o) not in (0x4C0, 0x4CF)}
 _ALIKE_LATIN = "".join(map(chr, sorted(set(_TO_LATIN.values()))))
 #: Format characters that are drawn, so they are not invisible.
 _DRAWN_FORMAT = set(range(0x600, 0x606)) | {0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 
 
+# Further Latin letters that are another one drawn otherwise.
+SMALL_LATIN = {0x251: "a", 0x261: "g"}
+#: Kinds of compatibility forms that are the same letters drawn together, in another style, or by position.
+_SHAPED = ("<font", "<compat", "<initial", "<medial", "<final", "<isolated")
+
+
 @lru_cache(1)
 def tables() -> tuple[dict[int, object], str, str]:
     """By rule from the character database: the translation of single characters, and two character classes for
     regular expressions, of characters that always change and of those that may change with their neighbours."""
     out: dict[int, object] = {}
     marks = []
+    # Second parts of canonical compositions: most are combining marks, some (vowel signs) are not.
+    pairs = (unicodedata.decomposition(chr(cp)).split() for cp in range(0x80, 0x30000))
+    second = {int(x[1], 16) for x in pairs if len(x) == 2 and x[0][0] != "<"}
     for cp in range(0x80, 0x30000):
         ch = chr(cp)
         cat = unicodedata.category(ch)
@@ -86,10 +102,18 @@ def tables() -> tuple[dict[int, object], str, str]:
             out[cp] = " "
         elif kind in ("<wide", "<narrow", "<noBreak"):
             out[cp] = unicodedata.normalize("NFKC", ch)
-        if unicodedata.combining(ch) or unicodedata.normalize("NFC", ch) != ch and cp not in out or 0x1160 < cp < 0x1200:
+        elif kind in _SHAPED and cat[0] in "LN" and cp not in (0x17F, 0xFB05) and all(c.isalnum() for c in unicodedata.normalize("NFKC", ch)):
+            out[cp] = unicodedata.normalize("NFKC", ch)
+        if unicodedata.combining(ch) or cp in second or unicodedata.normalize("NFC", ch) != ch and cp not in out or 0x1160 < cp < 0x1200:
             marks.append(cp)
     for cp in range(0xE0000, 0xE0200):
         out[cp] = None
+    # Letters composed of one that changes: without its accent it would change, too.
+    for cp in range(0x80, 0x30000):
+        first = unicodedata.normalize("NFD", chr(cp))
+        if cp not in out and len(first) > 1 and ord(first[0]) in out:
+            out[cp] = unicodedata.normalize("NFC", first.translate(out))
+    out |= SMALL_LATIN
 
     return out, _ranges(out), _ranges(marks)
 
@@ -115,7 +139,7 @@ _WORD = re.compile(f"[{_CYR}{_GRE}{_LAT}̀-ͯ]+")
 def compiled() -> tuple[dict[int, object], re.Pattern, re.Pattern]:
     """The translation of `tables` and its two classes as compiled expressions."""
     out, always, marks = tables()
-    return out, re.compile(f"[{always}]"), re.compile(f".?[{marks}]+", re.S)
+    return out, re.compile(f"[{always}]+"), re.compile(f".?[{marks}]+", re.S)
 
 
 _OWN_LAT = re.compile(f"[{_LAT}]")
@@ -143,8 +167,7 @@ def canonical(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     out, always, marks = compiled()
-    if always.search(text):
-        text = text.translate(out)
+    text = always.sub(lambda m: m[0].translate(out), text)
     if marks.search(text):
         # Boundary context: the starter before the marks goes with them.
         text = marks.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
@@ -203,7 +226,7 @@ def _cast(word: str, script: str, same_length: bool) -> str:
 
 #: Characters that no rule of `tables` touches: ASCII, composed Latin, Cyrillic, drawn punctuation, signs, emoji. A text
 #: of these alone can only be unstable by mixed scripts. The class is short, as Java tries its ranges one by one.
-SAFE = "\x00-\x7f\xa1-\xac\xae-\u024f\u0400-\u0482\u048a-\u052f\u2010\u2012-\u2027\u2030-\u205e\u20a0-\u20bf\u2116\u2122\U0001f300-\U0001faff"
+SAFE = "\x00-\x7f\xa1-\xac\xae-\xb4\xb6-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u01c3\u01cd-\u01f0\u01f4-\u024f\u0400-\u0482\u048a-\u052f\u2010\u2012-\u2027\u2030-\u205e\u20a0-\u20bf\u2116\u2122\U0001f300-\U0001faff"
 
 
 def needs_work(text: Column) -> Column:
@@ -229,39 +252,63 @@ def consistent_texts(df: DataFrame, text: str, into: str = "form") -> DataFrame:
     return df.withColumn(into, consistent(F.col(text)))
 
 
-def look_alike_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """class_id and raw digest of each distinct text that looks like another distinct text: one row per
-    (class, distinct text) as look_key, raw_key, first_id, n_rows. Exact copies are counted, not expanded."""
+#: Pairs of one class are made in parts of so many distinct texts.
+PART = 1000
+
+
+def _variants(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """look_key, raw_key, first_id, n_rows of each distinct text that looks like another one, with n_variants, the number
+    of distinct texts of its class."""
     shaped = df.where(F.col(text).isNotNull()).select(F.col(row_id).alias("id"), digest(F.col(text)).alias("raw_key"), digest(consistent(F.col(text))).alias("look_key"))
     variants = durable(shaped.groupBy("look_key", "raw_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows")))
-    several = variants.groupBy("look_key").agg(F.count("*").alias("n_variants")).where("n_variants > 1")
-    return durable(variants.join(several, "look_key"))
+    several = variants.groupBy("look_key").agg(F.count("*").alias("n_variants"), F.min("first_id").alias("class_id")).where("n_variants > 1")
+    # A class that holds a great part of all distinct texts is one key of many rows here.
+    return durable(attach(variants, several, "look_key", "n_variants", keep_weight=True))
+
+
+def look_alike_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """row_id, class_id, n_variants: one row for each row whose text looks like another distinct text of `df`. class_id is
+    the smallest row id of the class. This form is linear in the rows however large a class is. NULL texts have none."""
+    variants = _variants(df, row_id, text)
+    rows = df.where(F.col(text).isNotNull()).select(F.col(row_id).alias("row_id"), digest(F.col(text)).alias("raw_key"))
+    return attach(rows, variants.select("raw_key", "class_id", "n_variants", "n_rows"), "raw_key", "n_rows").select("row_id", "class_id", "n_variants")
 
 
 def look_alike_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """left_id < right_id for rows whose texts look the same yet differ.
 
     Every row is linked with the first row of each other distinct text of its class, so no link between different
-    texts is lost; two texts with many exact copies each are not expanded into all pairs of copies. NULL is no case;
-    repeated rows (one id twice) give one pair. Empty table: no rows.
+    texts is lost; two texts with many exact copies each are not expanded into all pairs of copies. The pairs of a class
+    with many distinct texts are made in parts of PART texts, each its own key of the join. `look_alike_classes` says the
+    same in linear size. NULL is no case; repeated rows (one id twice) give one pair. Empty table: no rows.
     """
-    variants = look_alike_classes(df, row_id, text)
+    variants = _variants(df, row_id, text)
     rows = df.where(F.col(text).isNotNull()).select(F.col(row_id).alias("id"), digest(F.col(text)).alias("raw_key"))
-    members = attach(rows, variants.select("raw_key", "look_key", "n_rows"), "raw_key", "n_rows")
-    others = variants.select("look_key", F.col("raw_key").alias("other_key"), F.col("first_id").alias("other_id"))
-    pairs = members.join(others, "look_key").where("raw_key <> other_key and id <> other_id")
+    parts = F.ceil(F.col("n_variants") / F.lit(PART)).cast("int")
+    members = attach(rows, variants.select("raw_key", "look_key", "n_variants", "n_rows"), "raw_key", "n_rows")
+    members = members.withColumn("part", F.pmod(F.xxhash64("raw_key"), parts).cast("int"))
+    others = variants.select("look_key", F.col("raw_key").alias("other_key"), F.col("first_id").alias("other_id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = members.join(others, ["look_key", "part"]).where("raw_key <> other_key and id <> other_id")
     return pairs.select(F.least("id", "other_id").alias("left_id"), F.greatest("id", "other_id").alias("right_id")).distinct()
 
 
-#: Known values are broadcast up to this many rows; beyond it the join is shuffled.
+#: Known values are broadcast up to this many rows, each an id and two digests (under 100 bytes); beyond it, a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def known_value_matches(known: DataFrame, rows: DataFrame, known_id: str, row_id: str, value: str) -> DataFrame:
     """left_id (known) and right_id (row) for values that look the same yet differ. The known side is broadcast only
-    while it has at most BROADCAST_ROWS rows."""
-    left = known.where(F.col(value).isNotNull()).select(F.col(known_id).alias("left_id"), F.col(value).alias("known_value"), digest(consistent(F.col(value))).alias("look_key"))
-    right = rows.where(F.col(value).isNotNull()).select(F.col(row_id).alias("right_id"), F.col(value).alias("row_value"), digest(consistent(F.col(value))).alias("look_key"))
+    while it has at most BROADCAST_ROWS rows; beyond, it is looked up by a join that splits off hot values."""
+
+    def keyed(df, key, name, raw):
+        return df.where(F.col(value).isNotNull()).select(F.col(key).alias(name), digest(F.col(value)).alias(raw), digest(consistent(F.col(value))).alias("look_key"))
+
+    left, right = keyed(known, known_id, "left_id", "known_key"), keyed(rows, row_id, "right_id", "row_key")
     if left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        left = F.broadcast(left)
-    return right.join(left, "look_key").where("known_value <> row_value").select("left_id", "right_id").distinct()
+        both = right.join(F.broadcast(left), "look_key")
+    else:
+        right = durable(right)
+        lists = left.groupBy("look_key").agg(F.collect_list(F.struct("left_id", "known_key")).alias("known"))
+        lists = durable(lists.join(right.groupBy("look_key").agg(F.count("*").alias("n_rows")), "look_key"))
+        both = attach(right, lists, "look_key", "n_rows").select("right_id", "row_key", F.inline("known"))
+    return both.where("known_key <> row_key").select("left_id", "right_id").distinct()

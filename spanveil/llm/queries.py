@@ -47,6 +47,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union([x.select(F.lit(n).alias("field_name"), "left_id", "right_id") for n, x in (("text", texts), ("value", values))])
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership in classes of texts that look the same: linear however many distinct texts a class has."""
+    return lookalike.look_alike_classes(table(prepare(spark), sf_dir, "samples"), "sample_id", "text").withColumnRenamed("row_id", "sample_id")
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     parts = (("text", "samples", "sample_id", "text"), ("value", "fragments", "fragment_id", "value"))
@@ -98,7 +103,7 @@ def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.select(F.col("page").alias("doc_id"), "link_part", "n_words", "function_part", "slope", "residual", "heavy_part")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_statistics, p3_found, p3_forms, p4_found, p4_redacted, p5_found, p5_report, p5_sample, p6_ids, p7_found, p8_found, p8_curves)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_statistics, p3_found, p3_classes, p3_forms, p4_found, p4_redacted, p5_found, p5_report, p5_sample, p6_ids, p7_found, p8_found, p8_curves)}
 
 _QUOTA = """
 WITH label AS (

@@ -309,3 +309,39 @@ def test_cards_and_accounts_are_bounded_and_left_alone():
     text = "Карта 4111 1111 1111 1111, счёт 40817810099910004312, тел. +7 916 123-45-67"
     assert pii.redact(text) == "Карта 4111 1111 1111 1111, счёт 40817810099910004312, тел. [PHONE]"
     assert pii.redact(text, pii.KINDS + pii.FINANCIAL) == "Карта [CARD], счёт [ACCOUNT], тел. [PHONE]"
+
+
+def test_forms_agree_with_composition_over_all_characters():
+    """Composed and decomposed writings have one form, for every character there is; the quick check misses none."""
+    import re
+    import unicodedata
+
+    safe = re.compile(f"[{lookalike.SAFE}]")
+    for cp in range(0x80, 0x30000):
+        c = chr(cp)
+        if unicodedata.category(c) in ("Cn", "Cs", "Co"):
+            continue
+        for x in (c, "a" + c):
+            assert lookalike.canonical(unicodedata.normalize("NFD", x)) == lookalike.canonical(x), hex(cp)
+        if safe.match(c) and not 0x400 <= cp < 0x530:
+            assert lookalike.canonical("bd" + c) == "bd" + c
+    for a, b in (("ﬁn", "fin"), ("𝐀𝐁c", "ABc"), ("αbc", "abc"), ("Ӏvan", "Ivan"), ("ɡood", "good")):
+        assert lookalike.canonical(a) == lookalike.canonical(b)
+    assert lookalike.canonical("l") != lookalike.canonical("I")
+
+
+def test_classes_are_linear_and_pairs_whole(spark, monkeypatch):
+    """2 000 spellings of one text give 2 001 rows of membership; pairs in parts lose none."""
+    n = 2000
+    texts = ["".join(chr(0x200B) if i >> b & 1 else chr(0x200C) for b in range(11)) + "текст" for i in range(n)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, texts[0], None, "иное"])], "id long, text string")
+    rows = lookalike.look_alike_classes(df, "id", "text").collect()
+    assert len(rows) == n + 1 and {r.class_id for r in rows} == {0}
+    few = df.where("id < 60 or id >= 2000")
+    monkeypatch.setattr(lookalike, "PART", 7)
+    pairs = {(r.left_id, r.right_id) for r in lookalike.look_alike_pairs(few, "id", "text").collect()}
+    assert pairs == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(a, 2000) for a in range(1, 60)}
+    monkeypatch.setattr(lookalike, "BROADCAST_ROWS", 1)
+    known = spark.createDataFrame([(1, "текст"), (2, "иное"), (3, "текст​")], "kid long, text string")
+    wide = {(r.left_id, r.right_id) for r in lookalike.known_value_matches(known, few, "kid", "id", "text").collect()}
+    assert wide == {(k, i) for k in (1, 3) for i in [*range(60), 2000]}
