@@ -69,16 +69,27 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame]]:
-    targets = [tuple(r) for r in table(prepare(spark), sf_dir, "sample_targets").select("field_name", "stratum", "target_permille", "min_rows", "sample_permille").limit(quota.MAX_STRATA + 1).collect()]
-    return [(n, *quota.sample_by_target(table(spark, sf_dir, t), i, c, [x[1:] for x in targets if x[0] == n])) for n, t, i, c in SAMPLED]
+    wanted = table(prepare(spark), sf_dir, "sample_targets").select("field_name", "stratum", "target_permille", "min_rows", "sample_permille")
+    out = []
+    for n, t, i, c in SAMPLED:
+        # One row more than may be: then `plan` refuses the targets instead of losing some.
+        mine = [tuple(r) for r in wanted.where(F.col("field_name") == n).drop("field_name").limit(quota.MAX_STRATA + 1).collect()]
+        out.append((n, *quota.sample_by_target(table(spark, sf_dir, t), i, c, mine)))
+    return out
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union([r.where("taken < wanted").select(F.lit(n).alias("field_name"), "stratum") for n, _, r in _samples(spark, sf_dir)])
+    return _union([r.where("available < wanted and taken < wanted").select(F.lit(n).alias("field_name"), "stratum") for n, _, r in _samples(spark, sf_dir)])
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union([r.select(F.lit(n).alias("field_name"), "stratum", "available", "wanted", "taken") for n, _, r in _samples(spark, sf_dir)])
+    """What is missing to the targets: rows of each stratum that are wanted and not there."""
+    return _union([r.select(F.lit(n).alias("field_name"), "stratum", "available", "wanted", F.greatest(F.col("wanted") - F.col("available"), F.lit(0)).alias("missing"), (F.col("taken") <= F.col("available")).alias("drawn_once")) for n, _, r in _samples(spark, sf_dir)])
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and drawn shares of each stratum, in thousandths, and the gap between them."""
+    return _union([r.select(F.lit(n).alias("field_name"), "stratum", "taken", "target_share", "share", (F.col("share") - F.col("target_share")).alias("gap")) for n, _, r in _samples(spark, sf_dir)])
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +114,7 @@ def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.select(F.col("page").alias("doc_id"), "link_part", "n_words", "function_part", "slope", "residual", "heavy_part")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_statistics, p3_found, p3_classes, p3_forms, p4_found, p4_redacted, p5_found, p5_report, p5_sample, p6_ids, p7_found, p8_found, p8_curves)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_statistics, p3_found, p3_classes, p3_forms, p4_found, p4_redacted, p5_found, p5_report, p5_shares, p5_sample, p6_ids, p7_found, p8_found, p8_curves)}
 
 _QUOTA = """
 WITH label AS (
@@ -140,5 +151,5 @@ ORACLES: dict[str, str] = {
     "p1_found": _COPIES + "SELECT record_id, sample_id AS copy_id FROM record WHERE sample_id <> record_id",
     "p1_records": _COPIES + "SELECT record_id, n_copies FROM record WHERE sample_id = record_id UNION ALL SELECT sample_id, 1 FROM samples WHERE coalesce(payload_id = '' OR text = '', true)",
     "p5_found": _QUOTA + "SELECT field_name, stratum FROM report WHERE available < wanted",
-    "p5_report": _QUOTA + "SELECT field_name, stratum, available, wanted, least(available, wanted) AS taken FROM report",
+    "p5_report": _QUOTA + "SELECT field_name, stratum, available, wanted, greatest(wanted - available, 0) AS missing, true AS drawn_once FROM report",
 }

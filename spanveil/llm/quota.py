@@ -1,10 +1,13 @@
 """A sample with given shares of categories, a minimum from small ones, and a report of targets out of reach.
 
-Method. Label counts are the only moments taken from the data, aggregated on the executors. Floors and strata that
-are too small are fixed first; for the rest, inclusion probabilities come from Newton iterations on the dual of
-exponential tilting. The sample is then drawn by the pivotal method: rows duel in buckets of bounded size, and the
-at most one undecided row of each bucket and stratum goes on to a last round, so that each stratum gets exactly its
-number of rows. Draws depend on a seed and the row id only, so a lost executor gives the same sample again.
+Method. Label counts are the only moments taken from the data, aggregated on the executors. The planned number of rows
+is shared among the strata by exponential tilting: of all allocations between floors and what is there, the one nearest to
+the target shares (by divergence). Newton iterations on the dual find the common multiplier; strata that reach a
+bound stay there, so what a small stratum lacks, or gets above its share by its floor, is taken over by the free ones in
+proportion to their targets. The sample is drawn with the resulting probabilities by the pivotal method: rows duel in
+buckets of bounded size, and the at most one undecided row of each bucket and stratum goes on to a last round, so that
+each stratum gets exactly its number of rows. Draws depend on a seed and the row id only, so a lost executor gives the
+same sample again. The report names wanted and available rows of each stratum and the gap between target and drawn share.
 
 Defined results: NULL and blank labels count as MISSING. Strata without a target are not sampled. Empty tables give
 a report in which nothing is available. Rows that repeat an id are drawn as one row each, with the same chance.
@@ -34,22 +37,43 @@ def stratum_of(label: Column) -> Column:
     return F.when(F.coalesce(clean, F.lit("")) == "", F.lit(MISSING)).otherwise(clean)
 
 
-def tilt(available: np.ndarray, wanted: np.ndarray, base: float, tolerance: float = 1e-10, rounds: int = 200) -> np.ndarray:
-    """Inclusion probabilities min(1, base * exp(multiplier)) whose expected counts are `wanted`, for strata with
-    0 < wanted < available: Newton iterations with steps of at most one from below."""
-    lam = np.zeros(len(wanted))
+def tilt(shares: np.ndarray, low: np.ndarray, high: np.ndarray, size: float, tolerance: float = 1e-12, rounds: int = 200) -> np.ndarray:
+    """Rows of each stratum, clip(share * exp(multiplier), low, high), that sum up to `size`: Newton iterations on the
+    dual of exponential tilting, kept inside a bracket. If no multiplier reaches `size`, all strata are at a bound."""
+    at = lambda m: np.clip(shares * np.exp(m), low, high)
+    if not len(shares) or low.sum() >= size:
+        return low.astype(float)
+    if high[shares > 0].sum() + low[shares <= 0].sum() <= size:
+        return np.where(shares > 0, high, low).astype(float)
+    least, most = -60.0, 60.0
+    mu = float(np.clip(np.log(size / shares.sum()), least, most))
     for _ in range(rounds):
-        moment = available * base * np.exp(lam)
-        gap = (wanted - moment) / moment
-        if np.all(np.abs(gap) < tolerance):
+        rows = at(mu)
+        gap = rows.sum() - size
+        if abs(gap) <= tolerance * size:
             break
-        lam += np.clip(gap, -1.0, 1.0)
-    return np.minimum(1.0, base * np.exp(lam))
+        least, most = (least, mu) if gap > 0 else (mu, most)
+        slope = rows[(rows > low) & (rows < high)].sum()
+        step = mu - gap / slope if slope > 0 else least
+        mu = step if least < step < most else (least + most) / 2
+    return at(mu)
+
+
+def whole(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whole numbers with the same rounded sum, the largest remainders rounded up, ties by place."""
+    out = np.floor(rows + 1e-9)
+    left = int(round(rows.sum() - out.sum()))
+    order = sorted(range(len(rows)), key=lambda i: (out[i] - rows[i], i))
+    for i in order:
+        if left > 0 and out[i] + 1 <= high[i]:
+            out[i] += 1
+            left -= 1
+    return np.clip(out, low, high).astype(int)
 
 
 def plan(df: DataFrame, label: str, targets: list[tuple[str, int, int, int]]) -> list[dict]:
-    """For (stratum, target_permille, min_rows, sample_permille): what is available, wanted, and with which
-    probability a row of the stratum is drawn."""
+    """For (stratum, target_permille, min_rows, sample_permille): what is available, what is wanted (the larger of floor
+    and share), how many rows are drawn, and with which probability a row of the stratum is drawn."""
     names = [t[0] for t in targets]
     if len(set(names)) != len(names) or len(names) > MAX_STRATA:
         raise ValueError("strata must be distinct and at most MAX_STRATA")
@@ -57,18 +81,13 @@ def plan(df: DataFrame, label: str, targets: list[tuple[str, int, int, int]]) ->
     counted = df.select(F.when(s.isin(names), s).alias("s")).groupBy("s").count().collect()  # at most MAX_STRATA + 1 rows
     have = {r["s"]: r["count"] for r in counted}
     total = sum(have.values())
-    rows = [{"stratum": n, "available": have.get(n, 0), "wanted": max(m, total * sp * tp // 1_000_000), "p": 0.0, "base": sp / 1000} for n, tp, m, sp in targets]
-    for r in rows:
-        if r["wanted"] >= r["available"]:
-            r["p"] = 1.0
-    free = [r for r in rows if 0 < r["wanted"] < r["available"]]
-    if free:
-        base = max(_TINY, min(1.0, free[0]["base"]))
-        p = tilt(np.array([r["available"] for r in free], float), np.array([r["wanted"] for r in free], float), base)
-        for r, x in zip(free, p):
-            # The dual's solution, with the last rounding errors taken out so that stratum sums are whole numbers.
-            assert abs(x * r["available"] - r["wanted"]) < 1e-3 * max(1, r["wanted"])
-            r["p"] = r["wanted"] / r["available"]
+    rows = [{"stratum": n, "permille": tp, "available": have.get(n, 0), "wanted": max(m, total * sp * tp // 1_000_000)} for n, tp, m, sp in targets]
+    there = np.array([r["available"] for r in rows], float)
+    floors = np.minimum([m for _, _, m, _ in targets], there)
+    shares = np.array([total * sp * tp / 1_000_000 for _, tp, _, sp in targets], float)
+    drawn = whole(tilt(shares, floors, there, float(np.floor(shares.sum()))), floors, there)
+    for r, n in zip(rows, drawn.tolist()):
+        r["rows"], r["p"] = n, min(1.0, n / r["available"]) if r["available"] else 0.0
     return rows
 
 
@@ -99,7 +118,7 @@ def _duels(ids, strata, chances, draws, end: bool):
 
 def draw(df: DataFrame, row_id: str, label: str, planned: list[dict], seed: int = 17) -> DataFrame:
     """row_id and stratum of the rows drawn."""
-    kept = [r for r in planned if r["available"] and r["wanted"]]
+    kept = [r for r in planned if r["rows"]]
     if not kept:
         return df.select(F.col(row_id).alias("row_id"), stratum_of(F.col(label)).alias("stratum")).where(F.lit(False))
     spark = df.sparkSession
@@ -153,11 +172,13 @@ def _unzip(rows):
 
 
 def sample_by_target(df: DataFrame, row_id: str, label: str, targets: list[tuple[str, int, int, int]], seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(sample, report): the rows drawn (row_id, stratum), and for each target what was available, wanted, taken."""
+    """(sample, report): the rows drawn (row_id, stratum), and for each target what was available, wanted, taken, and its
+    target share and share of the sample in thousandths."""
     planned = plan(df, label, targets)
     sample = draw(df, row_id, label, planned, seed)
     spark = df.sparkSession
-    asked = spark.createDataFrame([(r["stratum"], r["available"], r["wanted"]) for r in planned], "stratum string, available long, wanted long")
+    all_rows, all_shares = max(1, sum(r["rows"] for r in planned)), max(1, sum(r["permille"] for r in planned))
+    asked = spark.createDataFrame([(r["stratum"], r["available"], r["wanted"], 1000.0 * r["permille"] / all_shares) for r in planned], "stratum string, available long, wanted long, target_share double")
     taken = sample.groupBy("stratum").agg(F.count("*").alias("taken"))
-    report = asked.join(taken, "stratum", "left").select("stratum", "available", "wanted", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
-    return sample, report
+    report = asked.join(F.broadcast(taken), "stratum", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    return sample, report.withColumn("share", F.round(1000 * F.col("taken") / all_rows, 6)).select("stratum", "available", "wanted", "taken", "target_share", "share")

@@ -39,7 +39,7 @@ def test_empty_tables(texts):
     ):
         assert df.collect() == []
     sample, report = quota.sample_by_target(none, "id", "key", [("a", 500, 1, 100)])
-    assert sample.collect() == [] and [tuple(r) for r in report.collect()] == [("a", 0, 1, 0)]
+    assert sample.collect() == [] and [tuple(r)[:4] for r in report.collect()] == [("a", 0, 1, 0)]
 
 
 def test_defined_values(texts):
@@ -58,4 +58,4 @@ def test_all_null_columns(spark):
     assert format_copies.copies(df, "id", "key", "text").count() == 0 and pii.found_kinds(df, "id", "text").count() == 0
     assert format_copies.records_with_copies(df, "id", "key", "text").agg(F.sum("n_copies")).collect()[0][0] == 2
     _, report = quota.sample_by_target(df, "id", "key", [(quota.MISSING, 1000, 1, 1000)])
-    assert [tuple(r) for r in report.collect()] == [(quota.MISSING, 2, 2, 2)]
+    assert [tuple(r)[:4] for r in report.collect()] == [(quota.MISSING, 2, 2, 2)]
