@@ -2,7 +2,8 @@
 
 Method. Byte-identical raw rows are collapsed first, with counts. Only the distinct survivors are brought to
 canonical text (letters and digits in lower case; a text made wholly of labelled fields also as its sorted fields),
-and these are grouped again on the full canonical text, summing the counts.
+and these are grouped again on the full canonical text, summing the counts. Grouping and checkpoints hold the 256-bit
+digest of the whole canonical text in its place, so texts are shuffled once, by the first step only.
 
 Defined results: a row whose key or text is NULL or empty is a record of its own with one copy. Repeated row ids
 count as rows. Empty tables give empty results. Other columns are not looked at.
@@ -59,18 +60,19 @@ def canonical_records(df: DataFrame, row_id: str, key: str, text: str) -> tuple[
     k, t = F.col(key), F.col(text)
     rows = df.where((k != "") & (t != ""))
     distinct = rows.groupBy(k.alias("k"), t.alias("t")).agg(F.min(row_id).alias("first_id"), F.count("*").alias("n_rows"))
-    shaped = distinct.select("first_id", "n_rows", digest(F.col("k"), F.col("t")).alias("raw_key"), F.concat(letters_and_digits(F.col("k")), F.lit("\x03"), letters_and_digits(F.col("t"))).alias("plain"), F.concat(letters_and_digits(F.col("k")), F.lit("\x03"), field_form(F.col("t"))).alias("fields"))
+    shaped = distinct.select("first_id", "n_rows", digest(F.col("k"), F.col("t")).alias("raw_key"), letters_and_digits(F.col("k")).alias("key"), letters_and_digits(F.col("t")).alias("plain"), field_form(F.col("t")).alias("fields"))
+    form_key = F.when(F.col("fields").isNotNull(), digest(F.lit("fields"), F.col("key"), F.col("fields")))
+    shaped = shaped.select("first_id", "n_rows", "raw_key", digest(F.lit("plain"), F.col("key"), F.col("plain")).alias("plain_key"), form_key.alias("form_key"))
     survivors = durable(shaped)
     # One row for each canonical text; it lists the field forms that share it (more than one only where two texts
     # split the same letters into different fields).
-    plain = survivors.groupBy("plain").agg(F.min("first_id").alias("first_id"), F.sum("n_rows").alias("n_rows"), F.array_sort(F.collect_set("fields")).alias("forms"))
-    plain = plain.withColumn("canon", F.coalesce(F.get("forms", F.lit(0)), F.col("plain")))
-    links = plain.where(F.size("forms") > 1).select(F.col("canon").alias("a"), F.explode("forms").alias("b")).where("a <> b").distinct()
+    plain = survivors.groupBy("plain_key").agg(F.min("first_id").alias("first_id"), F.sum("n_rows").alias("n_rows"), F.array_sort(F.collect_set("form_key")).alias("forms"))
+    plain = plain.withColumn("canon_key", F.coalesce(F.get("forms", F.lit(0)), F.col("plain_key")))
+    links = plain.where(F.size("forms") > 1).select(F.col("canon_key").alias("a"), F.explode("forms").alias("b")).where("a <> b").distinct()
     plain = _joined_forms(plain, links)
-    canon = durable(plain.select(digest(F.col("plain")).alias("plain_key"), digest(F.col("canon")).alias("canon_key"), "first_id", "n_rows"))
+    canon = durable(plain.select("plain_key", "canon_key", "first_id", "n_rows"))
     records = canon.groupBy("canon_key").agg(F.min("first_id").alias("record_id"), F.sum("n_rows").alias("n_copies"))
-    keyed = survivors.select("raw_key", "n_rows", "first_id", digest(F.col("plain")).alias("plain_key"))
-    return records, attach_canon(keyed, canon)
+    return records, attach_canon(survivors.select("raw_key", "n_rows", "first_id", "plain_key"), canon)
 
 
 def attach_canon(keyed: DataFrame, canon: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def _joined_forms(plain: DataFrame, links: DataFrame) -> DataFrame:
         root = step.drop("moved")
         if not step.where("moved").limit(1).collect():
             break
-    return plain.join(root, plain.canon == root.form, "left").withColumn("canon", F.coalesce("root", "canon")).drop("form", "root")
+    return plain.join(root, plain.canon_key == root.form, "left").withColumn("canon_key", F.coalesce("root", "canon_key")).drop("form", "root")
 
 
 def records_with_copies(df: DataFrame, row_id: str, key: str, text: str) -> DataFrame:
