@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.names import latin_names, russian_forms
 from spanveil.functions.validators import inn_valid, luhn_valid, snils_valid
-from spanveil.llm.lookalike import MARKED, canonical_words, compiled
+from spanveil.llm.lookalike import MARKED, SAFE, canonical_words, compiled
 from spanveil.runtime import spread
 
 KINDS = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "NAME")
@@ -125,7 +125,7 @@ def folded(text: str) -> tuple[str, list[int] | None]:
         return text, None
     table, changing, _ = compiled()
     places = None
-    if changing.search(text) or MARKED.search(text):
+    if _UNSAFE.search(text) and (changing.search(text) or MARKED.search(text)):
         out: list[str] = []
         places = []
         for i, c in enumerate(text):
@@ -139,11 +139,14 @@ def folded(text: str) -> tuple[str, list[int] | None]:
                 out.append(x)
                 places.append(i)
         text = "".join(out)
-    if _MIXED.search(text):
+    if _BESIDE.search(text):
         text = _MIXED.sub(_one_script, text)
     return text, places
 
 
+_UNSAFE = re.compile(f"[^{SAFE}]")
+#: Letters of two scripts side by side, and words that have such.
+_BESIDE = re.compile("(?<=[A-Za-zÀ-ɏ])[Ѐ-ԯͰ-Ͽ]|(?<=[Ѐ-ԯͰ-Ͽ])[A-Za-zÀ-ɏ]|[Ͱ-Ͽ]")
 _MIXED = re.compile("(?:[A-Za-zÀ-ɏ]+[Ѐ-ԯͰ-Ͽ]|[Ѐ-ԯͰ-Ͽ]+[A-Za-zÀ-ɏ])[A-Za-zÀ-ɏЀ-ԯͰ-Ͽ]*|[Ͱ-Ͽ]+")
 
 

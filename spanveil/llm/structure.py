@@ -1,13 +1,15 @@
 """Text quality statistics of each document, and whether it is running prose, a list, a table or junk.
 
 Method. Words, signs and line structure of a text are counted by class: connecting words, prepositions, verb-like and
-other words, words no language makes, repeats, numbers, sentence ends, separators, list marks and so on. The
-resulting distribution is compared by Jensen-Shannon divergence with profiles of prose and of other structures; the
-text gets the nearest profile. Which words no language makes is told from letter pairs: their frequencies are
-counted over all texts first (a table of bounded size, one row for each pair of letters).
+other words, words no language makes, repeats, numbers, sentence ends, separators, list marks and so on. A text has a
+second, small distribution: whether it has items, columns, labelled values, and whether nothing runs between its items.
+Both are compared by Jensen-Shannon divergence with profiles of prose and of other structures (a list has items for sure,
+a table columns, a form labels, and in prose something runs); the text gets the profile of the least sum. Which words
+no language makes is told from letter pairs: their frequencies are counted over all texts first.
 
 Defined results: NULL and empty texts have zero counts, no structure (NULL) and are not reported. Texts of a single
-word are compared like others. Categories are not used.
+word are compared like others. Categories are not used. Words with letters of scripts beyond U+0800 are never held for
+impossible: their letter pairs are not counted.
 """
 
 from __future__ import annotations
@@ -99,12 +101,15 @@ class Letters:
         self.log = {p: math.log(n / first[p[0]]) for p, n in counts.items()}
         self.least = -9.0
         self.known: dict[str, float] = {}
-        self.kinds: dict[str, tuple[str, bool]] = {}
+        self.kinds: dict[str, tuple[str, bool, float]] = {}
 
-    def kind(self, word: str) -> tuple[str, bool]:
-        """The class of a word by itself, and whether it is a verb for sure; kept, as words repeat."""
+    def kind(self, word: str) -> tuple[str, bool, float]:
+        """The class of a word by itself, whether it is a verb for sure, and the mean log frequency of its letter pairs
+        (0 for a word that is never held for impossible); kept, as words repeat."""
         verb = bool(VERB.search(word))
-        got = ("connect" if word in CONNECT else "place" if word in PLACE else "verb" if verb else "word"), verb and bool(SURE_VERB.search(word)) and word not in CONNECT and word not in PLACE
+        own = "connect" if word in CONNECT else "place" if word in PLACE else "verb" if verb else "word"
+        known = own in ("connect", "place") or len(word) < ODD_LETTERS or not judged_word(word)
+        got = own, verb and bool(SURE_VERB.search(word)) and own not in ("connect", "place"), 0.0 if known else self.total(word) / (len(word) + 1)
         if len(self.kinds) > 200_000:
             self.kinds.clear()
         self.kinds[word] = got
@@ -123,11 +128,13 @@ class Letters:
 
     def mean(self, words: list[str]) -> float:
         """Mean log frequency of the letter pairs of longer words."""
-        long = [w for w in words if len(w) >= ODD_LETTERS]
+        long = [w for w in words if len(w) >= ODD_LETTERS and judged_word(w)]
         return sum(map(self.total, long)) / (sum(map(len, long)) + len(long)) if long else 0.0
 
-    def odd(self, word: str, below: float) -> bool:
-        return len(word) >= ODD_LETTERS and self.total(word) / (len(word) + 1) < below
+
+def judged_word(word: str) -> bool:
+    """Whether all letters are of alphabets below U+0800, which bounds the table of letter pairs by their sizes."""
+    return word.isascii() or max(word) < "\u0800"
 
 
 def _case_noise(w: str) -> bool:
@@ -149,15 +156,16 @@ def statistics(text: str | None, letters: Letters) -> tuple:
 
 
 def counted(text: str | None, letters: Letters) -> tuple:
-    """The basic counts of a text (six values), its class counts, and which structures it can have at all."""
+    """The basic counts of a text (six values), its class counts, and its traits."""
     if not text:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0), None, None
-    broken = wrongly_decoded(text)
     look = folded(text)[0].replace("\\r", "\n").replace("\\n", "\n")
     got = tokens(look)
     words = [t.lower() for k, t in got if k == "word"]
     times = Counter(words)
     n = len(words)
+    # Each letter read wrongly leaves one of two capitals.
+    broken = not text.isascii() and 4 * (text.count("Р") + text.count("С")) > sum(map(len, words)) and wrongly_decoded(text)
     counts = dict.fromkeys(CLASSES, 0)
     often = {w for w, c in times.items() if n >= 6 and c > REPEAT_SHARE * n and c > 2} if n else set()
     senseless = SENSELESS_WORD if n >= 5 and letters.mean(words) < SENSELESS_BELOW else ODD_BELOW
@@ -167,30 +175,33 @@ def counted(text: str | None, letters: Letters) -> tuple:
     before = None
     start = True
     for i, (kind, t) in enumerate(got):
-        if start and _MARK.match(t + " ") and kind in ("symbol", "data") or start and kind == "data" and t.isdigit() and i + 1 < len(got) and got[i + 1][1] in (")", "."):
-            nxt = got[i + 1][1] if i + 1 < len(got) else ""
-            counts["mark"] += t not in "—>" or 1
-            start = nxt in ")." and kind == "data"
-            before = "mark"
-            continue
-        if before == "mark" and t in (")", ".") and start:
-            start = False
-            continue
-        start = False
         if kind == "word":
+            start = False
+            before = kind
             w = t.lower()
             if broken:
                 c = "odd"
             elif w in often:
                 c = "repeat"
             else:
-                c, certain = kinds.get(w) or letters.kind(w)
-                if c != "connect" and c != "place" and (letters.odd(w, senseless) or not (w == t or t.istitle() or t.isupper()) and _case_noise(t)):
+                c, certain, mean = kinds.get(w) or letters.kind(w)
+                if mean < senseless or c != "connect" and c != "place" and not (w == t or t.istitle() or t.isupper()) and _case_noise(t):
                     c = "odd"
                 elif certain:
                     sure += 1
             counts[c] += 1
-        elif kind == "line":
+            continue
+        if start and _MARK.match(t + " ") and kind in ("symbol", "data") or start and kind == "data" and t.isdigit() and i + 1 < len(got) and got[i + 1][1] in (")", "."):
+            nxt = got[i + 1][1] if i + 1 < len(got) else ""
+            counts["mark"] += t not in "—>" or 1
+            start = nxt in ")." and kind == "data"
+            before = "mark"
+            continue
+        if before == "mark" and t in (")", ".") and start:
+            start = False
+            continue
+        start = False
+        if kind == "line":
             start = True
             nxt = got[i + 1] if i + 1 < len(got) else None
             if before not in ("end", "comma", None) or nxt and nxt[0] == "symbol" and _MARK.match(nxt[1] + " "):
@@ -216,18 +227,24 @@ def counted(text: str | None, letters: Letters) -> tuple:
     still = items >= 3 and not counts["connect"] and not sure and 4 * counts["verb"] <= items and counts["place"] < 0.2 * n
     if still:
         counts["break"] += soft
-    # What a structure cannot do without: items, columns, labelled values.
-    able = {"prose": not still, "junk": True, "list": counts["mark"] >= 3 or counts["break"] >= 2 or counts["comma"] >= 3, "table": counts["sep"] >= 4 or counts["comma"] >= 6 and counts["break"] >= 2, "fields": counts["field"] >= 2}
+    # The second distribution: items, columns, labelled values, and that nothing runs.
+    traits = {"items": counts["mark"] >= 3 or counts["break"] >= 2 or counts["comma"] >= 3, "columns": counts["sep"] >= 4 or counts["comma"] >= 6 and counts["break"] >= 2, "labels": counts["field"] >= 2, "still": still}
     bare = "".join(look.split())
-    signs, digits = len(_SIGN.findall(bare)), len(_DIGIT.findall(bare))
+    signs, digits = len("".join(_SIGN.findall(bare))), len("".join(_DIGIT.findall(bare)))
     lines = [x.rstrip() for x in look.split("\n") if x.strip()]
     basic = (n, sum(map(len, words)) / n if n else 0.0, signs / max(1, len(bare)), digits / max(1, len(bare)), sum(x[-1] in ".!?…" for x in lines) / max(1, len(lines)), (counts["connect"] + counts["place"]) / max(1, n))
-    return basic, [counts[c] for c in CLASSES], able
+    return basic, [counts[c] for c in CLASSES], [traits[x] for x in TRAITS]
 
 
-_SIGN, _DIGIT = re.compile(r"[\W_]"), re.compile(r"\d")
+_SIGN, _DIGIT = re.compile(r"[\W_]+"), re.compile(r"\d+")
 _NAMES = [name.partition(" ")[0] for name in PROFILES]
 _SHARES = np.array(list(PROFILES.values()), float) / 100
+TRAITS = ("items", "columns", "labels", "still")
+# The traits a structure has or lacks for sure; of the others its profile says nothing.
+SURE_TRAITS = {"list": {"items": 1}, "table": {"columns": 1}, "fields": {"labels": 1}, "prose": {"still": 0}, "junk": {}}
+#: By profile and trait, whether it is sure, and its value.
+_SURE = np.array([[t in SURE_TRAITS[n] for t in TRAITS] for n in _NAMES], float)
+_VALUE = np.array([[SURE_TRAITS[n].get(t, 0) for t in TRAITS] for n in _NAMES], float)
 
 
 def divergences(shares: np.ndarray) -> np.ndarray:
@@ -242,26 +259,26 @@ def divergences(shares: np.ndarray) -> np.ndarray:
     return (part(p, m) + part(q, m)) / 2
 
 
+def trait_divergences(traits: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row of traits from each profile's, summed over what the profile is sure
+    of: for two certain values it is 0 if they agree and 1 if they do not."""
+    return (np.abs(traits[:, None, :] - _VALUE[None, :, :]) * _SURE[None, :, :]).sum(axis=-1)
+
+
 def nearest(rows: list[tuple]) -> list[tuple]:
-    """Basic counts, distance to prose, distance to the nearest other profile, and the structure of each row. A
-    structure that a text cannot have is at distance one, unless it is prose and there is no other."""
+    """Basic counts, divergence from prose, divergence from the nearest other profile, and the structure of each row."""
     at = [i for i, r in enumerate(rows) if r[1] is not None]
     out = [(*r[0], None, None, None) for r in rows]
     if not at:
         return out
     shares = np.array([rows[i][1] for i in at], float)
-    d = divergences(shares / shares.sum(axis=1, keepdims=True))
-    for i, x in zip(at, d.tolist()):
-        able = rows[i][2]
-        best: dict[str, float] = {}
-        for name, v in zip(_NAMES, x):
-            if (able[name] or name == "prose") and v < best.get(name, 9.0):
-                best[name] = v
-        prose = best.pop("prose")
-        if not able["prose"] and best:
-            prose = 1.0
-        other = min(best, key=best.get)
-        out[i] = (*rows[i][0], prose, best[other], "prose" if prose <= best[other] else other)
+    d = divergences(shares / shares.sum(axis=1, keepdims=True)) + trait_divergences(np.array([rows[i][2] for i in at], float))
+    prose = np.array([n == "prose" for n in _NAMES])
+    near, other = d[:, prose].min(axis=1), d[:, ~prose]
+    best = other.argmin(axis=1)
+    names = [n for n in _NAMES if n != "prose"]
+    for i, p, o, k in zip(at, near.tolist(), other.min(axis=1).tolist(), best.tolist()):
+        out[i] = (*rows[i][0], p, o, "prose" if p <= o else names[k])
     return out
 
 
@@ -286,26 +303,34 @@ def columns(look: str) -> bool:
 
 
 def letter_pairs(df: DataFrame, text: str) -> dict[str, int]:
-    """Counts of letter pairs over the words of all texts. Each task counts its own rows; what is gathered is one row
-    for each pair of letters, at most PAIRS of them."""
+    """Counts of letter pairs over the words of all texts, of alphabets below U+0800. Each task counts its own rows; what
+    is gathered is one row for each pair of letters of one word: bounded by the sizes of these alphabets, not by
+    the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+
+        def flush():
+            for w, n in words.items():
+                if judged_word(w):
+                    for p in pairs_of(w):
+                        seen[p] += n
+            words.clear()
+
         for b in batches:
-            words: Counter[str] = Counter()
             for t in b.column(0).to_pylist():
-                words.update(re.findall(r"[^\W\d_]+", t.lower()))
-            for w, n in words.items():
-                for p in pairs_of(w):
-                    seen[p] += n
+                words.update(_LETTERS.findall(t.lower()))
+            if len(words) > 100_000:
+                flush()
+        flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pair", "n"])
 
     counted = df.where(F.col(text) != "").select(text).mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return {r["pair"]: r["n"] for r in counted.orderBy(F.desc("n"), "pair").limit(PAIRS).collect()}
+    return {r["pair"]: r["n"] for r in counted.collect()}
 
 
-#: Letter pairs held by the driver: those of two alphabets are under 3 000.
-PAIRS = 20_000
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def text_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:

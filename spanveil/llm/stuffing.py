@@ -1,13 +1,13 @@
 """Pages of repeated keywords, link lists or product tags.
 
-Method. Links, anchors and tags are taken out and weighed. The words left are counted for each page, and SQL windows
-turn the counts into a rank-frequency curve, whose slope, residual and heavy head are fitted, and into a spectrum: the
-parts of the text that words of a count of 1, 2 to 3, 4 to 7 and so on make up. A page is compared with prose of
-its script and length: pages with enough function words and few heavy words, numbers and links, whatever else the table
-holds. Flagged are pages that are mostly links or tags, and pages whose curve is extreme (far steeper, or
-far off its line, or of another spectrum) while repeated words make up much of the text. A curve that is level at a high
-count has no slope and no residual; its spectrum tells it. Price lists, contents and glossaries, which repeat words too,
-are told by their plain numbers and function words.
+Method. The words of each page are counted, and SQL windows turn the counts into a rank-frequency curve, whose slope,
+residual and heavy head are fitted, and into a spectrum: the parts of the text that words of a count of 1, 2 to 3, 4 to 7
+and so on make up. Links, anchors and tags count as one word that is repeated as often as words fit into their length.
+A page is compared with prose of its script and length: pages with enough function words and few heavy words, numbers and
+links, whatever else the table holds. Flagged are pages whose curve is extreme (far steeper, or far off its line, or of
+another spectrum) while repeated words or links make up much of the text. A curve that is level at a high count has no
+slope and no residual; its spectrum tells it. Price lists, contents and glossaries, which repeat words too, are told by
+their plain numbers and function words.
 
 Everything is computed inside the JVM. The texts are shuffled once, by page; counts, windows and fits reuse that
 partitioning, so no group of a hot word or site is ever gathered.
@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 from spanveil.llm.structure import CONNECT, PLACE
 from spanveil.runtime import durable
 
+#: Every loop is possessive and stops where the next link may begin: no recursion, and time linear in the text.
 LINK = (
-    r"(?is)<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+"
-    r"|(?<![\p{L}\p{Nd}_-])[\p{L}\p{Nd}_-]+(?:\.[\p{L}\p{Nd}_-]+)+/\S*|#[\p{L}\p{Nd}_]+"
+    r"(?is)<a\b[^<>]*+>[^<]*+(?:<(?!/?a\b)[^<]*+)*+</a>|\[[^\]\[\n]*+\]\([^)\s\[]*+\)|(?:https?://|www\.)\S++"
+    r"|(?<![\p{L}\p{Nd}_-])(?<![\p{L}\p{Nd}_-]\.)[\p{L}\p{Nd}_-]++(?:\.[\p{L}\p{Nd}_-]++)++/\S*+|#[\p{L}\p{Nd}_]++"
 )
+TAG = r"<[^<>]++>"
+#: Scripts that are compared with their own prose, by the first letter of a word.
+SCRIPTS = (("latin", r"^\p{IsLatin}"), ("cyrillic", r"^\p{IsCyrillic}"), ("greek", r"^\p{IsGreek}"), ("arabic", r"^\p{IsArabic}"), ("han", r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))
 WORD = r"\p{L}+"
 #: Function words, and words of amounts, which price lists repeat.
 FUNCTION = sorted(CONNECT | PLACE)
@@ -35,6 +39,8 @@ AMOUNT = ["руб", "рублей", "рубля", "коп", "тыс", "млн",
 HEAVY_TIMES, HEAVY_SHARE = 4, 0.03
 #: Share of a page that links must take to be the greater part.
 LINK_PART = 0.5
+#: Characters of links that count as one word, and the divergence of the spectrum with them that tells a page of links.
+LINK_WORD, LINK_DIVERGENT = 6, 0.3
 #: How much steeper than prose of the same length the curve must be, and how steep at least.
 STEEPER, STEEP = 0.25, 0.5
 #: How much farther off its line than prose the curve must be, and the Jensen-Shannon divergence of its spectrum.
@@ -48,9 +54,8 @@ HEAVY_PART, HEAVY_WEAK = 0.4, 0.24
 FEW_FUNCTION, FEW_NUMBERS = 0.16, 0.25
 #: Part of function words from which a page is made of sentences, though they repeat.
 SENTENCE_FUNCTION = 0.28
-LEAST_WORDS = 12
-#: Prose: links and heavy words are under these parts.
-PROSE_LINKS, PROSE_HEAVY = 0.2, 0.1
+#: Prose: links and heavy words are under these parts, of so many words at least.
+PROSE_LINKS, PROSE_HEAVY, PROSE_WORDS = 0.2, 0.1, 12
 #: Weight of prose one class of length away, of prose of the other script, and of each row of CURVE, in pages.
 NEARBY, OTHER_SCRIPT, FIXED_WEIGHT = 1 / 64, 0.05, 0.05
 #: Slope, residual and spectrum of prose by length class: means of the prose in sf0.1, classes 9 and 10 interpolated.
@@ -75,22 +80,22 @@ def _solid(c: Column) -> Column:
 def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row for each page with text: link_part, n_words, function_part, number_part, figure_part (numbers and
     words of amounts), slope, residual, heavy_part,
-    repeated_part, spectrum (NULL without content words), script and length class."""
+    repeated_part, spectrum (NULL without content words), link_spectrum (with links as a word), script and length class."""
     page = df.where(F.col(text) != "").select(F.col(doc_id).alias("page"), F.col(text).alias("t"))
     # The one shuffle of texts; all that follows is partitioned by page.
     page = page.repartition("page")
-    rest = F.regexp_replace(F.regexp_replace("t", LINK, " "), r"<[^>]+>", " ")
+    rest = F.regexp_replace(F.regexp_replace("t", LINK, " "), TAG, " ")
     page = page.select("page", _solid(F.col("t")).alias("size"), rest.alias("rest"))
-    page = page.select("page", "size", _solid(F.col("rest")).alias("left"), F.regexp_count("rest", F.lit(r"(?<![\p{L}\p{Nd}])\p{Nd}[\p{Nd}.,:/-]*(?![\p{L}\p{Nd}])")).alias("numbers"), F.lower("rest").alias("rest"))
+    page = page.select("page", "size", _solid(F.col("rest")).alias("left"), F.regexp_count("rest", F.lit(r"(?<![\p{L}\p{Nd}])\p{Nd}[\p{Nd}.,:/-]*+(?![\p{L}\p{Nd}])")).alias("numbers"), F.lower("rest").alias("rest"))
     words = page.select("page", F.explode_outer(F.regexp_extract_all("rest", F.lit(WORD), F.lit(0))).alias("w"), "size", "left", "numbers")
     counted = words.groupBy("page", "w").agg(F.count("w").alias("n"), F.max("size").alias("size"), F.max("left").alias("left"), F.max("numbers").alias("numbers"))
     function = F.col("w").isin(FUNCTION)
     content = ~function & ~F.col("w").isin(AMOUNT) & (F.length("w") > 2)
-    counted = counted.select("page", "n", "size", "left", "numbers", F.coalesce(function, F.lit(False)).alias("function"), F.coalesce(content, F.lit(False)).alias("content"), F.coalesce(F.col("w").rlike("^[a-z]"), F.lit(False)).alias("latin"), F.coalesce(F.col("w").isin(AMOUNT), F.lit(False)).alias("amount"))
+    counted = counted.select("page", "n", "size", "left", "numbers", F.coalesce(function, F.lit(False)).alias("function"), F.coalesce(content, F.lit(False)).alias("content"), _script(F.col("w")).alias("script"), F.coalesce(F.col("w").isin(AMOUNT), F.lit(False)).alias("amount"))
     # Words of the same count lie side by side on the curve: one row for each count of a page.
     level = counted.groupBy("page", F.when(F.col("content"), F.col("n")).alias("n")).agg(
         F.count("*").alias("m"), F.max("size").alias("size"), F.max("left").alias("left"), F.max("numbers").alias("numbers"), F.sum("n").alias("all_words"),
-        F.sum(F.when(F.col("function"), F.col("n")).otherwise(0)).alias("function_words"), F.sum(F.when(F.col("latin"), F.col("n")).otherwise(0)).alias("latin_words"),
+        F.sum(F.when(F.col("function"), F.col("n")).otherwise(0)).alias("function_words"), *[F.sum(F.when(F.col("script") == n, F.col("n")).otherwise(0)).alias(f"{n}_words") for n, _ in SCRIPTS],
         F.sum(F.when(F.col("amount"), F.col("n")).otherwise(0)).alias("amount_words"),
     )
     curve = Window.partitionBy("page").orderBy(F.desc_nulls_last("n")).rowsBetween(Window.unboundedPreceding, 0)
@@ -104,7 +109,7 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     heavy = k & (F.col("n") >= HEAVY_TIMES) & (F.col("n") >= HEAVY_SHARE * F.col("content_words"))
     fit = level.groupBy("page").agg(
         F.max("size").alias("size"), F.max("left").alias("left"), F.max("numbers").alias("numbers"), F.sum("all_words").alias("n_words"), F.sum("function_words").alias("function_words"),
-        F.sum("latin_words").alias("latin_words"), F.sum("amount_words").alias("amount_words"), F.max("content_words").alias("content_words"), F.sum("m_here").cast("double").alias("k"),
+        *[F.sum(f"{n}_words").alias(f"{n}_words") for n, _ in SCRIPTS], F.sum("amount_words").alias("amount_words"), F.max("content_words").alias("content_words"), F.sum("m_here").cast("double").alias("k"),
         F.sum(F.when(k, sx)).alias("sx"), F.sum(F.when(k, sxx)).alias("sxx"), F.sum(F.when(k, y * F.col("m"))).alias("sy"), F.sum(F.when(k, y * y * F.col("m"))).alias("syy"), F.sum(F.when(k, y * sx)).alias("sxy"),
         F.sum(F.when(heavy, F.col("n") * F.col("m")).otherwise(0)).alias("heavy_words"),
         F.sum(F.when(k & (F.col("n") >= HEAVY_TIMES), F.col("n") * F.col("m")).otherwise(0)).alias("repeated_words"),
@@ -113,6 +118,8 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     vxx, vxy, vyy = F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("k") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("k") * F.col("syy") - F.col("sy") * F.col("sy")
     fitted = (F.col("k") >= 3) & (vxx > 0)
     one = F.lit(1.0)
+    links = F.ceil((F.col("size") - F.col("left")) / LINK_WORD)
+    link_octave = F.least(F.floor(F.log2(F.greatest(links, F.lit(1)))), F.lit(SPECTRUM - 1))
     return fit.select(
         "page", F.when(F.col("size") > 0, 1 - F.col("left") / F.col("size")).otherwise(0.0).alias("link_part"), "n_words",
         (F.col("function_words") / F.greatest(F.col("n_words"), one)).alias("function_part"), (F.col("numbers") / F.greatest(F.col("n_words") + F.col("numbers"), one)).alias("number_part"),
@@ -120,10 +127,15 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.when(fitted, vxy / vxx).otherwise(0.0).alias("slope"), F.when(fitted, F.sqrt(F.greatest(vyy - vxy * vxy / vxx, F.lit(0.0))) / F.col("k")).otherwise(0.0).alias("residual"),
         (F.col("heavy_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("heavy_part"), (F.col("repeated_words") / F.greatest(F.col("content_words"), F.lit(1))).alias("repeated_part"),
         F.when(F.col("content_words") > 0, F.array(*[F.col(f"s{i}") / F.col("content_words") for i in range(SPECTRUM)])).alias("spectrum"),
-        F.when(2 * F.col("latin_words") > F.col("n_words"), "latin").otherwise("other").alias("script"), F.floor(F.log2(F.greatest(F.col("n_words"), one))).alias("length_class"),
+        F.when(F.col("content_words") + links > 0, F.array(*[(F.col(f"s{i}") + F.when(link_octave == i, links).otherwise(0)) / (F.col("content_words") + links) for i in range(SPECTRUM)])).alias("link_spectrum"),
+        F.coalesce(*[F.when(2 * F.col(f"{n}_words") > F.col("n_words"), n) for n, _ in SCRIPTS], F.lit("other")).alias("script"), F.floor(F.log2(F.greatest(F.col("n_words"), one))).alias("length_class"),
     )
 
 
+def _script(word: Column) -> Column:
+    return F.coalesce(*[F.when(word.rlike(rule), name) for name, rule in SCRIPTS], F.lit("other"))
+
+
 def _log_sum(x: str) -> Column:
     """The sum of log r over the ranks up to x, by Stirling's series."""
     v = F.greatest(F.col(x).cast("double"), F.lit(1.0))
@@ -148,7 +160,7 @@ def prose_expected(curves: DataFrame) -> DataFrame:
     of the prose of each class are smoothed over length: a class weighs by its pages, a neighbour NEARBY times as much
     for each class of distance. Prose of the other script and the fixed CURVE, which weigh little, count where
     there is none nearby. At most two scripts and as many classes as a page length has bits."""
-    prose = (F.col("function_part") >= FEW_FUNCTION) & (F.col("number_part") < FEW_NUMBERS) & (F.col("link_part") < PROSE_LINKS) & (F.col("heavy_part") < PROSE_HEAVY) & (F.col("n_words") >= LEAST_WORDS)
+    prose = (F.col("function_part") >= FEW_FUNCTION) & (F.col("number_part") < FEW_NUMBERS) & (F.col("link_part") < PROSE_LINKS) & (F.col("heavy_part") < PROSE_HEAVY) & (F.col("n_words") >= PROSE_WORDS)
     values = ["slope", "residual", *[f"s{i}" for i in range(SPECTRUM)]]
     flat = curves.select("script", "length_class", prose.alias("prose"), "slope", "residual", *[F.col("spectrum")[i].alias(f"s{i}") for i in range(SPECTRUM)])
     known = flat.groupBy("script", "length_class").agg(F.count(F.when(F.col("prose") & F.col("s0").isNotNull(), 1)).cast("double").alias("weight"), *[F.avg(F.when(F.col("prose") & F.col("s0").isNotNull(), F.col(v))).alias(v) for v in values])
@@ -168,20 +180,20 @@ def judged(curves: DataFrame) -> DataFrame:
     broadcast."""
     expected = prose_expected(curves)
     out = curves.join(F.broadcast(expected), ["script", "length_class"]).withColumn("steeper", F.col("expected") - F.col("slope")).withColumn("off_line", F.col("residual") - F.col("expected_residual"))
-    out = out.withColumn("divergence", _divergence(F.col("spectrum"), F.col("expected_spectrum"))).drop("expected_spectrum")
+    out = out.withColumn("divergence", _divergence(F.col("spectrum"), F.col("expected_spectrum"))).withColumn("link_divergence", _divergence(F.col("link_spectrum"), F.col("expected_spectrum"))).drop("expected_spectrum")
     few_numbers = F.col("number_part") < FEW_NUMBERS
     loose = (F.col("function_part") < FEW_FUNCTION) & few_numbers
-    enough = F.col("n_words") >= LEAST_WORDS
     steep = (F.col("slope") <= -STEEP) & (F.col("steeper") >= STEEPER) & (F.col("figure_part") < 2 * FEW_NUMBERS)
     divergent = (F.col("divergence") >= DIVERGENT) & few_numbers
     # Lists of goods with prices and sentences said again and again are off the line of prose, too, so these two ask
     # for few numbers and fewer function words than sentences have.
     keyed = few_numbers & (F.col("function_part") < SENTENCE_FUNCTION)
-    extreme = enough & (steep | ((F.col("off_line") >= OFF_LINE) | divergent) & keyed)
+    extreme = steep | ((F.col("off_line") >= OFF_LINE) | divergent) & keyed
     keywords = extreme & ((F.col("heavy_part") >= HEAVY_PART) | (F.col("heavy_part") >= HEAVY_WEAK) & loose)
-    many = enough & divergent & loose & (F.col("repeated_part") >= REPEATED_PART)
+    many = divergent & loose & (F.col("repeated_part") >= REPEATED_PART)
     both = extreme & (F.col("link_part") + (1 - F.col("link_part")) * F.col("heavy_part") >= LINK_PART) & loose
-    return out.withColumn("stuffed", (F.col("link_part") >= LINK_PART) | keywords | many | both)
+    linked = (F.col("link_part") >= LINK_PART) & (F.col("link_divergence") >= LINK_DIVERGENT)
+    return out.withColumn("stuffed", linked | keywords | many | both)
 
 
 def stuffed_pages(df: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -368,3 +368,11 @@ def test_classes_are_linear_and_pairs_whole(spark, monkeypatch):
     known = spark.createDataFrame([(1, "текст"), (2, "иное"), (3, "текст​")], "kid long, text string")
     wide = {(r.left_id, r.right_id) for r in lookalike.known_value_matches(known, few, "kid", "id", "text").collect()}
     assert wide == {(k, i) for k in (1, 3) for i in [*range(60), 2000]}
+
+
+def test_link_patterns_are_safe_and_short_pages_judged(spark):
+    """Long dotted paths, unclosed tags and brackets neither overflow the stack nor take square time; pages of few words
+    and pages of links alone are judged."""
+    rows = [(1, "a." * 20_000 + "b/x"), (2, "<a " * 50_000), (3, "[" * 100_000), (4, "[a](" * 30_000), (5, "a." * 100_000), (6, "<" * 100_000), (7, "купить купить купить купить дёшево"), (8, "http://a.b/c http://a.b/d"), (9, "Он ушёл домой и лёг спать.")]
+    found = {r[0] for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
+    assert {1, 7, 8} <= found and 9 not in found
