@@ -173,27 +173,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Matches whose places are summed up in one go; the sums of the blocks are then carried over.
+BLOCK = 64
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Each match of a pattern that takes at least one character, as (start, end, value), by place. Places come from
-    the lengths of what stands between, so all of it stays inside the JVM."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    the lengths of what stands between, so all of it stays inside the JVM. They are summed up in blocks, so that the cost
+    stays in proportion to the number of matches."""
+    span = "struct<start:int,end:int,value:string>"
+    none = F.array().cast(f"array<{span}>")
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
+    def block(pairs):
+        return lambda i: F.aggregate(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def carried(acc, b):
+        moved = F.transform(b["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
     def placed(found):
         pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("value"))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"])).otherwise(none)
+        blocks = let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), block(p)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span}>>").alias("out"))
+        return F.when(F.size(found) > 0, F.flatten(F.aggregate(blocks, zero, carried, lambda a: a["out"]))).otherwise(none)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 # What may stand between the digit groups of one number.
 SEPARATORS = r" \t\x{a0}\x{202f}\-\x{2013}\x{2014}\x{2011}./()\\№#"
-RUN = rf"[\p{{IsLatin}}\p{{IsCyrillic}}][0-9]+|\+?[0-9]+(?:[{SEPARATORS}]{{1,3}}[0-9]+)*"
+#: Possessive, so that the loop neither recurses nor goes back: any number of groups is safe.
+RUN = rf"[\p{{IsLatin}}\p{{IsCyrillic}}][0-9]++|\+?[0-9]++(?:[{SEPARATORS}]{{1,3}}+[0-9]++)*+"
 
 
 def digit_runs(text: Column) -> Column:

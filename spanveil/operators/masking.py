@@ -30,12 +30,12 @@ def full_ws(value: Column) -> Column:
 
 def partial(value: Column) -> Column:
     """The first and last two letters or digits and all signs stay; with fewer than six of them, all stars."""
-    chars = F.split(value, "")
-    solid = r"[\p{L}\p{Nd}]"
-    n = F.length(F.regexp_replace(value, rf"[^\p{{L}}\p{{Nd}}]", ""))
-    before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"[^\p{L}\p{Nd}]", ""))
-    masked = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(solid) & (before(i) >= 2) & (before(i) < n - 2), "*").otherwise(c)), "")
-    return F.when(n < 6, full(value)).otherwise(masked)
+    solid, other = r"[\p{L}\p{Nd}]", r"[^\p{L}\p{Nd}]"
+    head = F.regexp_extract(value, rf"^{other}*+{solid}{other}*+{solid}", 0)
+    tail = F.regexp_extract(value, rf"{solid}{other}*+{solid}{other}*+$", 0)
+    n = F.length(F.regexp_replace(value, other, ""))
+    middle = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
+    return F.when(n < 6, full(value)).otherwise(F.concat(head, F.regexp_replace(middle, solid, "*"), tail))
 
 
 def initials(value: Column) -> Column:
@@ -86,10 +86,17 @@ def spliced(text: Column, parts: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, preset: Column) -> Column:
-    """(text, placeholders) under one preset. Synthetic values need `mask_synthetic`."""
-    tokens = numbered(with_values(text, spans))
-    parts = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by_preset(s["value"], preset, s["type"], s["token"]).alias("put")))
-    return F.struct(spliced(text, parts).alias("text"), F.when(preset == "token", F.transform(tokens, lambda s: F.struct(s["token"].alias("token"), s["value"].alias("value"), s["type"].alias("type")))).alias("placeholders"))
+    """(text, placeholders) under one preset. Synthetic values need `mask_synthetic`. Values are numbered under the token
+    preset only."""
+    valued = with_values(text, spans)
+    none = F.lit(None).cast("string")
+    tokens = F.when(preset == "token", numbered(valued)).otherwise(F.transform(valued, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["value"].alias("value"), none.alias("token"))))
+
+    def both(tokens):
+        parts = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by_preset(s["value"], preset, s["type"], s["token"]).alias("put")))
+        return F.struct(spliced(text, parts).alias("text"), F.when(preset == "token", F.transform(tokens, lambda s: F.struct(s["token"].alias("token"), s["value"].alias("value"), s["type"].alias("type")))).alias("placeholders"))
+
+    return t.let(tokens, both)
 
 
 def mask_synthetic(df: DataFrame, text: str, spans: str, into: str = "masked") -> DataFrame:

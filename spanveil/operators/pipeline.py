@@ -2,57 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import text as t
-from spanveil.operators import masking, numeric, patterns, spans, words
+from spanveil.operators import masking, onepass, patterns, spans, words
 from spanveil.runtime import spread
 from spanveil.schema import ALL_TYPES, SPANS
 
-#: What each detector can find, in the order in which they run.
-NUMERIC = ("PHONE", "CARD", "SNILS", "INN", "DRIVER_LICENSE", "PASSPORT", "DEPT_CODE", "POSTCODE", "CVV", "PIN")
-WORDS = tuple(k for kinds, _ in words.READERS for k in kinds)
-DOCUMENTS = ("SNILS", "FOREIGN_PASSPORT", "BIRTH_CERT", "MILITARY_ID", "RESIDENCE_PERMIT")
-EXTRAS = ("ACCOUNT", "OMS", "PLATE", "VIN", "IP_ADDRESS")
-
-
-#: Pattern detectors and what they can find.
-PATTERN_PARTS = (("number", NUMERIC), ("email", ("EMAIL",)), ("driver", ("DRIVER_LICENSE",)), ("document", DOCUMENTS), ("extra", EXTRAS))
-_BUILT: dict[tuple[int, str], Column] = {}
-
-
-def _part(name: str) -> Column:
-    """A detector as an expression over _body, _low and _runs. Building one takes thousands of calls to the JVM, so
-    each is built once for a JVM. Texts that cannot hold anything skip it."""
-    key = (id(SparkContext._jvm), name)
-    if key not in _BUILT:
-        body, low, runs = F.col("_body"), F.col("_low"), F.col("_runs")
-        make = {
-            "runs": lambda: t.digit_runs(body), "number": lambda: F.when(body.rlike("[0-9]"), numeric.number_spans(body, low, runs)), "email": lambda: F.when(body.contains("@"), patterns.email_spans(body)),
-            "driver": lambda: F.when(body.rlike("[0-9]{6}"), patterns.driver_letter_spans(low)), "document": lambda: F.when(body.rlike("[0-9]{5}"), patterns.document_spans(low, runs)),
-            "extra": lambda: F.when(body.rlike("[0-9]"), patterns.extra_spans(body, low, runs)),
-        }
-        _BUILT[key] = make[name]()
-    return _BUILT[key]
+NUMERIC, DOCUMENTS, EXTRAS = words.NUMERIC, words.DOCUMENTS, words.EXTRAS
+WORDS = ("FIO", "DOB", "ISSUE_DATE", "ADDRESS", "BIRTH_PLACE", "ISSUER", "CITIZENSHIP", "CARDHOLDER")
 
 
 def detected(df: DataFrame, text: str, types: tuple[str, ...] = ALL_TYPES, custom: tuple[patterns.CustomType, ...] = (), as_of_year: int = 2026, date_mode: str = "pii_context", into: str = "spans") -> DataFrame:
-    """`df` with all findings. Detectors none of whose types are wanted are left out of the plan; texts without a
-    digit or an at-sign skip the pattern detectors. NULL and empty texts have an empty array."""
-    wanted = set(types)
-    parts = [_part(name) for name, kinds in PATTERN_PARTS if wanted & set(kinds)]
-    parts += [patterns.custom_spans(F.col("_low"), c) for c in custom]
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = spread(df).withColumn("_body", body).withColumn("_low", t.lower_same_width(F.col("_body"))).withColumn("_runs", _part("runs"))
-    if wanted & set(WORDS):
-        out = out.withColumn("_words", words.word_spans(F.col(text), tuple(k for k in WORDS if k in wanted), as_of_year, date_mode))
-        parts.append(F.col("_words"))
+    """`df` with all findings. Readers none of whose types are wanted do not run. NULL and empty texts have an empty
+    array."""
+    out = spread(df)
     none = F.array().cast(SPANS)
-    found = F.concat(*[F.coalesce(p.cast(SPANS), none) for p in parts]) if parts else none
-    names = [*types, *[c.name.upper() for c in custom]]
-    return out.withColumn(into, F.filter(found, lambda s: s["type"].isin(names))).drop("_body", "_low", "_runs", "_words")
+    wanted = tuple(types)
+    if not custom:
+        return out.withColumn(into, words.found_spans(F.col(text), wanted, as_of_year, date_mode))
+    low = t.lower_same_width(F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn("_low", low).withColumn("_found", words.found_spans(F.col(text), wanted, as_of_year, date_mode) if wanted else none)
+    parts = [F.col("_found"), *[F.coalesce(patterns.custom_spans(F.col("_low"), c), none) for c in custom]]
+    return out.withColumn(into, F.concat(*parts)).drop("_low", "_found")
 
 
 def settled(df: DataFrame, spans_col: str = "spans", min_conf: Column | float = 0.6, allowed: Column | None = None, date_mode: Column | None = None) -> DataFrame:
@@ -65,14 +38,22 @@ def settled(df: DataFrame, spans_col: str = "spans", min_conf: Column | float =
     return df.withColumn("_r", spans.resolved(s, min_conf)).withColumn("kept", F.col("_r.kept")).withColumn("dropped", F.col("_r.dropped")).drop("_r")
 
 
-def mask(df: DataFrame, text: str, preset: str = "full", types: tuple[str, ...] = ALL_TYPES, min_conf: float = 0.6, custom: tuple[patterns.CustomType, ...] = ()) -> DataFrame:
-    """`df` with masked, placeholders, counts, kept, dropped and degraded. NULL stays NULL."""
-    out = settled(detected(df, text, types, custom), "spans", min_conf)
-    out = out.withColumn("counts", spans.counts_by_type(F.col("kept"))).withColumn("degraded", F.exists("spans", lambda s: s["reason"] == "failed"))
-    if preset == "synthetic":
-        return masking.mask_synthetic(out, text, "kept").withColumn("placeholders", F.lit(None).cast("array<struct<token:string,value:string,type:string>>")).drop("spans")
-    out = out.withColumn("_m", masking.masked(F.col(text), F.col("kept"), F.lit(preset)))
-    return out.withColumn("masked", F.col("_m.text")).withColumn("placeholders", F.col("_m.placeholders")).drop("_m", "spans")
+def mask(df: DataFrame, text: str, preset: str | Column = "full", types: tuple[str, ...] = ALL_TYPES, min_conf: float | Column = 0.6, custom: tuple[patterns.CustomType, ...] = (), allowed: Column | None = None, date_mode: Column | None = None) -> DataFrame:
+    """`df` with masked, placeholders, counts, kept, dropped and degraded. NULL stays NULL. Preset, confidence, allowed
+    types and date mode may be columns, so each row can have its own policy. Types of the user's own are found inside the
+    JVM and masked there, too."""
+    if custom:
+        out = settled(detected(df, text, types, custom), "spans", min_conf, allowed, date_mode)
+        out = out.withColumn("degraded", F.exists("spans", lambda s: s["reason"] == "failed"))
+        if preset == "synthetic":
+            out = masking.mask_synthetic(out, text, "kept").withColumn("placeholders", F.lit(None).cast("array<struct<token:string,value:string,type:string>>"))
+        else:
+            out = out.withColumn("_m", masking.masked(F.col(text), F.col("kept"), F.lit(preset) if isinstance(preset, str) else preset)).withColumn("masked", F.col("_m.text")).withColumn("placeholders", F.col("_m.placeholders")).drop("_m")
+        return out.withColumn("counts", spans.counts_by_type(F.col("kept"))).drop("spans")
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    out = spread(df).withColumn("_p", onepass.one_pass(F.col(text), as_column(preset), as_column(min_conf), allowed, date_mode, tuple(types)))
+    out = out.select("*", *[F.col(f"_p.{c}").alias(c) for c in ("kept", "dropped", "masked", "placeholders", "degraded")]).drop("_p")
+    return out.withColumn("counts", spans.counts_by_type(F.col("kept")))
 
 
 def explain(df: DataFrame, doc_id: str, text: str, **kw) -> DataFrame:

@@ -1,116 +1,36 @@
 """Findings that need word-by-word reading: names, dates, addresses, places of birth, issuers, citizenship, card
-holders. One Arrow function reads each text once and gives all of them; a failure in one reader drops its types only.
+holders. One Arrow function reads each text once and gives these and the findings among numbers and patterns; a failure
+in one reader drops its types only.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.names import PATRONYMIC, SURNAME, latin_names, russian_forms
 from spanveil.functions.text import NUMBER_WORDS
+from spanveil.operators import numeric, patterns, people, places
+from spanveil.operators.scan import Look, any_in, nearly_equal
 from spanveil.schema import ANCHORED, HIGH, MEDIUM, SPANS
 
 Found = Iterator[tuple[int, int, str, float, str]]
 _TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("conf", pa.float64()), ("reason", pa.string())]))
 TRIM = " \t\r\n .,;:!?\"'«»()[]{}<>№#-–—/\\"
 
-# Words that stand before a name.
-NAME_ANCHORS = ("фио", "ф.и.о", "клиент", "заявител", "гражданин", "гражданк", "держател", "плательщик", "получател", "отправител", "абонент", "сотрудник", "меня зовут", "на имя", "client", "name")
-STREET_BEFORE = re.compile(r"(?:ул|улиц\w*|пер|переул\w*|пр-т|просп\w*|наб|площад\w*|пл|им|имени|ооо|оао|ао|ип|банк\w*)\.?\s*[«\"]?$")
-_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-
-
-def names(text: str, low: str) -> Found:
-    """Runs of neighbouring name words, longest shape first."""
-    russian, latin = russian_forms(), latin_names()
-    words = []
-    for m in _WORD.finditer(text):
-        w, l = m[0], low[m.start() : m.end()]
-        if len(w) == 1 and w.isupper():
-            role = "i" if text[m.end() : m.end() + 1] == "." else ""
-        elif PATRONYMIC.match(l):
-            role = "p"
-        elif l in russian or l in latin:
-            role = "n"
-        elif SURNAME.search(l) and len(l) > 3 or w[0].isupper() and not _cyrillic(l) and len(l) > 2:
-            role = "s"
-        else:
-            role = ""
-        words.append((m.start(), m.end(), role, w))
-    k, n = 0, len(words)
-    while k < n:
-        if not words[k][2]:
-            k += 1
-            continue
-        # How many name words stand side by side from here on.
-        reach = 1
-        while reach < 3 and k + reach < n and words[k + reach][2] and _beside(text, words[k + reach - 1][1], words[k + reach][0]):
-            reach += 1
-        took = 0
-        for size in range(reach, 0, -1):
-            part = words[k : k + size]
-            conf = _shape("".join(x[2] for x in part), part, low)
-            if not conf:
-                continue
-            s, e = part[0][0], part[-1][1]
-            if part[-1][2] == "i":
-                e += 1
-            if STREET_BEFORE.search(low[max(0, s - 15) : s]) or "\n" in text[s:e]:
-                continue
-            yield s, e, "FIO", conf[0], conf[1]
-            took = size
-            break
-        k += took or 1
-
-
-def _cyrillic(word: str) -> bool:
-    return "\u0400" <= word[0] <= "\u04ff"
-
-
-def _beside(text: str, a: int, b: int) -> bool:
-    return 0 < b - a <= 3 and not text[a:b].strip(" \t .")
-
-
-#: Sequences of roles that can be a name: surname, given name, patronymic, initial.
-SHAPES = frozenset(("snp", "nps", "nnp", "npn", "sip", "sii", "iis", "np", "pn", "sn", "ns", "si", "is", "p", "n", "s"))
-
-
-def _shape(roles: str, part: list, low: str) -> tuple[float, str] | None:
-    if roles not in SHAPES:
-        return None
-    same_case = len({(x[3][0].isupper(), x[3].isupper() and len(x[3]) > 1) for x in part if x[2] != "i"}) == 1
-    cyrillic = [_cyrillic(x[3]) for x in part]
-    if len(set(cyrillic)) > 1:
-        return None
-    if roles in ("snp", "nps", "nnp", "npn", "sip", "sii", "iis"):
-        if roles in ("sii", "iis") and not part[0 if roles == "sii" else 2][3][0].isupper():
-            return None
-        return HIGH, "fio:triple"
-    if roles in ("np", "pn"):
-        return HIGH, "fio:name_patronymic"
-    if roles in ("sn", "ns") and same_case:
-        surname = part[roles.index("s")][3]
-        return (HIGH, "fio:pair") if surname[0].isupper() else (MEDIUM, "fio:lower_pair")
-    if roles in ("si", "is") and part[roles.index("s")][3][0].isupper() and cyrillic[0]:
-        return ANCHORED, "fio:initial"
-    if roles == "p":
-        return ANCHORED, "fio:patronymic"
-    if roles in ("n", "s") and part[0][3][0].isupper() and cyrillic[0]:
-        left = low[max(0, part[0][0] - 24) : part[0][0]]
-        if any(a in left for a in NAME_ANCHORS):
-            return ANCHORED, "fio:anchor"
-    return None
-
-
 # Stems of month names by number.
 MONTHS = {"январ": 1, "феврал": 2, "март": 3, "апрел": 4, "ма": 5, "июн": 6, "июл": 7, "август": 8, "сентябр": 9, "октябр": 10, "ноябр": 11, "декабр": 12, "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12}
 _NUMERIC_DATE = re.compile(r"(?<![\d.])(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})(?![\d]|\.\d)|(?<!\d)(\d{4})([./-])(\d{1,2})\6(\d{1,2})(?!\d)")
-_WORD_DATE = re.compile(r"(?<!\d)(\d{1,2})(?:-?го|th|st|nd|rd)?\s+([a-zа-яё]{3,10})\.?,?\s+(\d{4})(?!\d)(?:\s*(?:года|год|г\.?))?|(?<!\w)([a-z]{3,9})\s+(\d{1,2})(?:th|st|nd|rd)?,?\s+(\d{4})(?!\d)")
+_WORD_DATE = re.compile(r"(?<!\d)(\d{1,2})(?:-?го|th|st|nd|rd)?\s{1,4}([a-zа-яё]{3,10})\.?,?\s{1,4}(\d{4})(?!\d)(?:\s{0,2}(?:года|год|г\.?))?")
+_MONTH_FIRST = re.compile(r"(?<!\w)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6})\s{1,4}(\d{1,2})(?:th|st|nd|rd)?,?\s{1,4}(\d{4})(?!\d)")
+#: Stems without which no month is written in words.
+MONTH_SIGNS = tuple(m for m in MONTHS if m != "ма") + ("май", "мая", "мае")
 BIRTH = ("рожд", "родил", "д.р", "д/р", "г.р", "г. р", "born", "birth", "dob")
 ISSUED = ("выдан", "выдач", "issued", "date of issue")
 DOCUMENT = ("паспорт", "passport", "удостоверени", "свидетельств", "документ")
@@ -118,9 +38,13 @@ NO_DATE = ("срок", "договор", "заявк", "заказ", "плате
 PERSONAL = ("клиент", "гражданин", "фио", "паспорт", "снилс", "инн", "прожива")
 
 
-def dates(text: str, low: str, as_of_year: int, mode: str) -> Found:
+def dates(look: Look, as_of_year: int, mode: str) -> Found:
     """Valid calendar dates, told apart by the nearest anchor."""
-    for m in _NUMERIC_DATE.finditer(low):
+    low, runs = look.low, look.runs
+    sizes = {g for r in runs for g in r.groups}
+    wordy = any_in(low, MONTH_SIGNS)
+    triples = any(len(r.groups) > 2 and not _DATE_SEPS.isdisjoint(r.seps) for r in runs)
+    for m in _NUMERIC_DATE.finditer(low) if triples else ():
         if m[1]:
             day, month, year = int(m[1]), int(m[3]), _year(m[4], as_of_year)
             if month > 12 and day <= 12:
@@ -129,13 +53,49 @@ def dates(text: str, low: str, as_of_year: int, mode: str) -> Found:
             year, month, day = _year(m[5], as_of_year), int(m[7]), int(m[8])
         if year and _valid(year, month, day):
             yield from _dated(m.start(), m.end(), low, mode)
-    for m in _WORD_DATE.finditer(low):
-        day, word, year = (int(m[1]), m[2], int(m[3])) if m[1] else (int(m[5]), m[4], int(m[6]))
-        month = next((n for stem, n in MONTHS.items() if word.startswith(stem) and len(word) - len(stem) <= 3), 0)
-        if month and 1900 <= year <= as_of_year and _valid(year, month, day):
+    for m in _COMPACT.finditer(low) if 8 in sizes else ():
+        # Eight digits are a date only behind a word for one.
+        if _near_date(low, m.start()):
+            for day, month, year in ((m[0][:2], m[0][2:4], m[0][4:]), (m[0][6:], m[0][4:6], m[0][:4])):
+                if 1900 <= int(year) <= as_of_year and _valid(int(year), int(month), int(day)):
+                    yield from _dated(m.start(), m.end(), low, mode)
+                    break
+    english = any_in(low, _ENGLISH)
+    worded = [(m, m[1], m[2], m[3]) for m in (_WORD_DATE.finditer(low) if 4 in sizes else ())] + [(m, m[2], m[1], m[3]) for m in (_MONTH_FIRST.finditer(low) if english and 4 in sizes else ())]
+    for m, day, word, year in worded:
+        month = month_of(word)
+        if month and 1900 <= int(year) <= as_of_year and _valid(int(year), month, int(day)):
             yield from _dated(m.start(), m.end(), low, mode)
-    for start, end in spelled_dates(low, as_of_year):
-        yield from _dated(start, end, low, mode)
+    if wordy:
+        for start, end in spelled_dates(low, as_of_year):
+            yield from _dated(start, end, low, mode)
+    if 4 in sizes and any_in(low, ("рожд", "г.р", "г. р", "г р", "гр")):
+        for m in _BIRTH_YEAR.finditer(low):
+            if int(m[0]) <= as_of_year:
+                yield from _dated(m.start(), m.end(), low, mode)
+
+
+@lru_cache(10_000)
+def month_of(word: str) -> int:
+    """The number of the month a word names, misspelt by one edit behind its first three letters at most; else 0."""
+    for stem, n in MONTHS.items():
+        if word.startswith(stem) and len(word) - len(stem) <= 3 and (stem != "ма" or word in ("май", "мая", "маю", "маем", "мае")):
+            return n
+    if len(word) >= 5:
+        for stem, n in MONTHS.items():
+            if len(stem) >= 4 and word[:3] == stem[:3] and any(nearly_equal(word, stem + end) for end in (("а", "я", "ь", "е", "") if stem[0] > "z" else ("",))):
+                return n
+    return 0
+
+
+_DATE_SEPS = frozenset("./-")
+_ENGLISH = tuple(m[:3] for m in MONTHS if m[0] < "z")
+_COMPACT = re.compile(r"(?<![\d./-])\d{8}(?![\d./-])")
+
+
+def _near_date(low: str, start: int) -> bool:
+    left = low[max(0, start - 32) : start]
+    return any_in(left, ("дата", "рожд", "д.р", "выдан", "выдач", "date", "birth", "dob", "issued")) and not re.search(r"\d", left[max(map(left.rfind, ("дат", "рожд", "д.р", "выда", "date", "birth", "dob", "issued"))) :])
 
 
 # Stems of ordinal numbers by value; cardinal ones are shared with the column functions.
@@ -155,7 +115,7 @@ def _number_word(word: str) -> int | None:
 
 
 def spelled_dates(low: str, as_of_year: int) -> Iterator[tuple[int, int]]:
-    """Dates whose day and year are written in words, and bare birth years."""
+    """Dates whose day and year are written in words."""
     for m in _MONTH_WORD.finditer(low):
         left = [w for w in re.finditer(r"[а-яё]+", low[max(0, m.start() - 40) : m.start()])][-2:]
         offset = max(0, m.start() - 40)
@@ -179,9 +139,6 @@ def spelled_dates(low: str, as_of_year: int) -> Iterator[tuple[int, int]]:
         month = next((n for stem, n in MONTHS.items() if m[0].startswith(stem)), 0)
         if 1900 <= total + part <= as_of_year and day and _valid(total + part, month, day):
             yield start, end
-    for m in _BIRTH_YEAR.finditer(low):
-        if int(m[0]) <= as_of_year:
-            yield m.start(), m.end()
 
 
 def _year(digits: str, as_of_year: int) -> int:
@@ -214,31 +171,13 @@ def _dated(s: int, e: int, low: str, mode: str) -> Found:
         yield s, e, "DOB", MEDIUM, f"dob:{mode}"
 
 
-# Words of address parts.
-STREET = "улица улице улицы ул переулок переулке пер проезд проезде пр-д проспект проспекте просп пр-т пр-кт шоссе ш набережная наб бульвар бульваре б-р площадь площади пл аллея аллее тупик тракт".split()
-SETTLEMENT = "г гор город города городе с село пос посёлок поселок п дер деревня д ст станица пгт".split()
-_S = "|".join(sorted(map(re.escape, STREET), key=len, reverse=True))
-_T = "|".join(sorted(map(re.escape, SETTLEMENT), key=len, reverse=True))
-_N = r"[^\W\d_][\w-]*"
-_ADDRESS = re.compile(
-    rf"(?:(?<!\d)\d{{6}},?\s+)?(?:(?<!\w)(?:(?:{_T})\.?\s+)?{_N}(?:\s+(?:обл\w*|край|район))?,\s*){{0,3}}"
-    rf"(?<![\w-])(?:(?:{_S})(?![\w-])\.?\s*{_N}(?:\s+{_N}){{0,2}}?|{_N}\s+(?:{_S})(?![\w-])\.?)"
-    rf"(?:\s*,?\s*(?:д(?:ом)?\b\.?\s*)?\d{{1,4}}(?:[/-]\d{{1,4}})?[а-я]?\b)(?:\s*,?\s*(?:корп\w*|стр\w*|кв\w*|оф\w*|к)\b\.?\s*\d{{1,4}})*"
-)
-
-
-def addresses(text: str, low: str) -> Found:
-    for m in _ADDRESS.finditer(low):
-        a, b = _trim(text, m.start(), m.end())
-        line = text.rfind("\n", a, b)
-        yield max(a, line + 1), b, "ADDRESS", HIGH, "address:street_house"
-
-
 BIRTH_PLACE = re.compile(r"(?:место рождения|место рожд\.?|м\.\s?р\.|уроженец|уроженка|родил(?:ся|ась) в|place of birth|born in)[\s:=—–|(«-]{0,5}(?:в\s+)?")
 _PLACE = re.compile(r"(?:(?:г|гор|город|с|село|пос|дер|деревня|обл|респ)\b\.?\s*)?[^\W\d_][\w-]*(?:\s+(?:обл\w*|край|район\w*|респ\w*))?(?:,\s*(?:г|гор|город|с|село|пос)\b\.?\s*[^\W\d_][\w-]*)?")
 
 
 def birth_places(text: str, low: str) -> Found:
+    if not any_in(low, ("рожд", "р.", "урожен", "родил", "birth", "born")):
+        return
     for m in BIRTH_PLACE.finditer(low):
         v = _PLACE.match(low, m.end())
         if v and v.end() - v.start() <= 60:
@@ -253,6 +192,8 @@ _ISSUER_END = re.compile(r"[.;\n\r(]|,\s*(?!район|област|участо
 
 
 def issuers(text: str, low: str) -> Found:
+    if not any_in(low, ("выда", "орган", "паспорт", "passport")):
+        return
     taken = 0
     for m in ISSUER_ANCHOR.finditer(low):
         end = _ISSUER_END.search(low, m.end())
@@ -274,6 +215,8 @@ COUNTRY = ("росси", "рф", "российск", "казахст", "бела
 
 
 def citizenships(text: str, low: str) -> Found:
+    if not any_in(low, ("граждан", "citizen")):
+        return
     for m in CITIZENSHIP.finditer(low):
         words = list(re.finditer(r"[^\W\d_][\w-]*", low[m.end() : m.end() + 60]))[:4]
         hit = [w for w in words if w[0].startswith(COUNTRY)]
@@ -287,11 +230,14 @@ _LATIN_NAME = re.compile(r"(?<![\w.@-])[A-Z][A-Z'-]+(?:\s[A-Z][A-Z'-]+){1,2}(?![
 CARD_NEAR = re.compile(r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)|(?<!\d)(?:0[1-9]|1[0-2])/\d\d(?!\d)|visa|mastercard|maestro")
 
 
+_HOLDER_NAME = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)?(?:[ ][^\W\d_]+(?:[-'][^\W\d_]+)?){0,2}")
+
+
 def holders(text: str, low: str) -> Found:
-    for m in HOLDER.finditer(low):
-        v = re.match(r"[^\W\d_]+(?:[-'][^\W\d_]+)?(?:[ ][^\W\d_]+(?:[-'][^\W\d_]+)?){0,2}", text[m.end() :])
+    for m in HOLDER.finditer(low) if any_in(low, ("держател", "владел", "имя", "holder", "name on")) else ():
+        v = _HOLDER_NAME.match(text, m.end())
         if v:
-            yield m.end(), m.end() + v.end(), "CARDHOLDER", HIGH, "cardholder:anchor"
+            yield m.end(), v.end(), "CARDHOLDER", HIGH, "cardholder:anchor"
     for m in _LATIN_NAME.finditer(text):
         if CARD_NEAR.search(low[max(0, m.start() - 120) : m.end() + 120]):
             yield m.start(), m.end(), "CARDHOLDER", ANCHORED, "cardholder:near_card"
@@ -305,38 +251,79 @@ def _trim(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-READERS: tuple[tuple[tuple[str, ...], Callable], ...] = (
-    (("FIO",), names), (("DOB", "ISSUE_DATE"), dates), (("ADDRESS",), addresses), (("BIRTH_PLACE",), birth_places),
-    (("ISSUER",), issuers), (("CITIZENSHIP",), citizenships), (("CARDHOLDER",), holders),
-)
+def _plain(reader):
+    return lambda look: reader(look.text, look.low)
+
+
+NUMERIC = ("PHONE", "CARD", "SNILS", "INN", "DRIVER_LICENSE", "PASSPORT", "DEPT_CODE", "POSTCODE", "CVV", "PIN")
+DOCUMENTS = ("SNILS", "FOREIGN_PASSPORT", "BIRTH_CERT", "MILITARY_ID", "RESIDENCE_PERMIT")
+EXTRAS = ("ACCOUNT", "OMS", "PLATE", "VIN", "IP_ADDRESS")
+#: Name, what it can find, reader. In the order in which they run, which decides between equal spans.
+READERS: list[tuple[str, tuple[str, ...], Callable]] = [
+    ("number", NUMERIC, numeric.numbers), ("email", ("EMAIL",), patterns.emails), ("name", ("FIO",), people.names), ("date", ("DOB", "ISSUE_DATE"), None), ("address", ("ADDRESS",), places.addresses),
+    ("birth_place", ("BIRTH_PLACE",), _plain(birth_places)), ("issuer", ("ISSUER",), _plain(issuers)), ("citizenship", ("CITIZENSHIP",), _plain(citizenships)),
+    ("driver_letters", ("DRIVER_LICENSE",), patterns.driver_letters), ("holder", ("CARDHOLDER",), _plain(holders)), ("document", DOCUMENTS, patterns.documents), ("extra", EXTRAS, patterns.extras),
+]
+
 
+def register(name: str, types: tuple[str, ...], reader: Callable[[Look], Found]) -> None:
+    """Adds a reader, or puts another one in the place of that name. Readers run inside executors, so it must be
+    registered before a query is built, and its module must be there on the executors."""
+    entry = (name, tuple(types), reader)
+    for k, (n, _, _) in enumerate(READERS):
+        if n == name:
+            READERS[k] = entry
+            return
+    READERS.append(entry)
 
-def read(text: str | None, wanted: frozenset[str], as_of_year: int, mode: str) -> list[dict]:
+
+def read(text: str | None, wanted: frozenset[str], as_of_year: int, mode: str, readers: list | None = None) -> list[tuple]:
     """All findings of one text. NULL and empty texts have none."""
     if not text:
         return []
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    look = Look(text)
     out = []
-    for types, reader in READERS:
+    for name, types, reader in READERS if readers is None else readers:
         if not wanted.intersection(types):
             continue
         try:
-            found = list(reader(text, low, as_of_year, mode) if reader is dates else reader(text, low))
-        except (ValueError, IndexError, KeyError, RecursionError):
+            found = list(dates(look, as_of_year, mode) if reader is None else reader(look))
+        except Exception:  # noqa: BLE001
             # The text's other types stay; the failure shows as a finding of no length, which resolution drops.
             found = [(0, 0, types[0], 0.0, "failed")]
-        out += [{"start": s, "end": e, "type": k, "conf": c, "reason": r} for s, e, k, c, r in found if k in wanted]
+        out += [x for x in found if x[2] in wanted]
     return out
 
 
-def word_spans(text: Column, wanted: tuple[str, ...], as_of_year: int = 2026, date_mode: str = "pii_context") -> Column:
-    types = frozenset(wanted)
+_FIELDS = ("start", "end", "type", "conf", "reason")
+
+
+def as_array(rows: list[list[tuple]]) -> pa.Array:
+    """Lists of spans as one Arrow array, column by column."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    columns = list(zip(*itertools.chain.from_iterable(rows))) or [()] * 5
+    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TYPE.value_type)], fields=list(_TYPE.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets), items)
+
+
+def found_spans(text: Column, wanted: tuple[str, ...], as_of_year: int = 2026, date_mode: str = "pii_context") -> Column:
+    """All findings of the wanted types: one Arrow call that reads each text once."""
+    types, readers = frozenset(wanted), list(READERS)
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
-        return pa.array([read(x, types, as_of_year, date_mode) for x in texts.to_pylist()], _TYPE)
+        return as_array([read(x, types, as_of_year, date_mode, readers) for x in texts.to_pylist()])
 
     # Marked so, the optimiser neither repeats nor moves the call: each text is read once.
     return spans.asNondeterministic()(text)
+
+
+def number_singles(text: Column) -> Column:
+    """Findings among numbers, each number by itself."""
+
+    @F.arrow_udf(SPANS)
+    def spans(texts: pa.Array) -> pa.Array:
+        return as_array([list(numeric.singles(Look(x))) if x else [] for x in texts.to_pylist()])
+
+    return spans.asNondeterministic()(text)

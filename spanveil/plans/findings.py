@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import text as t
 from spanveil.functions import validators as v
-from spanveil.operators import chat, context, masking, patterns, pipeline, policy, spans, subjects
+from spanveil.operators import chat, context, masking, patterns, pipeline, policy, spans, subjects, words
+from spanveil.plans import number_sql
 from spanveil.plans.registry import query
 from spanveil.runtime import table
 
@@ -56,18 +57,37 @@ def d_emails(spark, d):
     return s.select("doc_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), t.byte_offset(F.col("text"), F.col("s.start")).alias("start_byte"), t.cut(F.col("text"), F.col("s.start"), F.col("s.end")).alias("value"))
 
 
-@query()
+def _findings(df, key):
+    return df.select(key, F.explode("spans").alias("s")).select(key, "s.*")
+
+
+@query(number_sql.number_sql("samples", "sample_id", "text"))
 def d_numbers(spark, d):
-    """Findings among numbers, with their reasons; no Python in the plan."""
-    out = pipeline.detected(table(spark, d, "samples").select("sample_id", "text"), "text", pipeline.NUMERIC)
-    return out.select("sample_id", F.explode("spans").alias("s")).select("sample_id", "s.*")
+    """What each number of a sample is by itself: phones, cards, pension and tax numbers, licences, passports, codes."""
+    s = table(spark, d, "samples").select("sample_id", "text")
+    return _findings(s.withColumn("spans", words.number_singles(F.col("text"))), "sample_id")
 
 
 @query()
-def d_documents(spark, d):
-    """Accounts, insurance, plates, vehicles, network addresses and other documents."""
-    out = pipeline.detected(table(spark, d, "samples").select("sample_id", "text"), "text", pipeline.EXTRAS + pipeline.DOCUMENTS + ("DRIVER_LICENSE",))
-    return out.select("sample_id", F.explode("spans").alias("s")).select("sample_id", "s.*")
+def d_number_series(spark, d):
+    """Numbers written in parts: passports with words between series and number or glued to a date, codes in pairs."""
+    out = pipeline.detected(table(spark, d, "samples").select("sample_id", "text"), "text", ("PASSPORT", "PIN"))
+    return _findings(out, "sample_id").where(F.col("reason").isin("passport:series_number_words", "passport:after_date", "pin:split_pair"))
+
+
+@query(number_sql.document_sql("samples", "sample_id", "text"))
+def d_document_numbers(spark, d):
+    """Accounts, insurance numbers and documents told by a number and an anchor before it."""
+    out = pipeline.detected(table(spark, d, "samples").select("sample_id", "text"), "text", ("ACCOUNT", "OMS", "SNILS", "FOREIGN_PASSPORT", "RESIDENCE_PERMIT"))
+    reasons = ("account:anchor", "oms:anchor", "oms:anchor_luhn", "snils:extra_anchor", "foreign_passport:anchor", "residence_permit:anchor")
+    return _findings(out, "sample_id").where(F.col("reason").isin(*reasons))
+
+
+@query()
+def d_document_shapes(spark, d):
+    """Plates, vehicles, network addresses, licences with letters, birth certificates and military cards."""
+    out = pipeline.detected(table(spark, d, "samples").select("sample_id", "text"), "text", ("PLATE", "VIN", "IP_ADDRESS", "DRIVER_LICENSE", "BIRTH_CERT", "MILITARY_ID"))
+    return _findings(out, "sample_id").where(~F.col("reason").startswith("driver:"))
 
 
 @query()
@@ -101,9 +121,8 @@ def p_explained(spark, d):
 def p_masked_by_policy(spark, d):
     """Samples masked under the policy of their system: types, confidence, date mode and preset."""
     s = policy.joined(table(spark, d, "samples").select("sample_id", "system_id", "text"), table(spark, d, "systems"))
-    out = pipeline.settled(pipeline.detected(s, "text"), "spans", F.col("min_conf"), F.col("types"), F.col("date_mode"))
-    m = out.withColumn("m", masking.masked(F.col("text"), F.col("kept"), F.col("preset")))
-    return m.select("sample_id", "system_id", "preset", F.col("m.text").alias("masked"), F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"))
+    out = pipeline.mask(s, "text", F.col("preset"), min_conf=F.col("min_conf"), allowed=F.col("types"), date_mode=F.col("date_mode"))
+    return out.select("sample_id", "system_id", "preset", "masked", F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"))
 
 
 @query()

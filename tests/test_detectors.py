@@ -1,10 +1,14 @@
 """Exact spans, in the manner of table tests: text, then type and value of each finding."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from spanveil.operators import context, patterns, pipeline
 from spanveil.functions import text as t
+from spanveil.operators import context, masking, numeric, patterns, pipeline, words
+from spanveil.operators.scan import Look
+from spanveil.schema import ALL_TYPES
 
 CASES = [
     ("Паспорт 4509 123456 выдан ОВД", [("PASSPORT", "4509 123456"), ("ISSUER", "ОВД")]),
@@ -76,12 +80,83 @@ def test_custom_types(spark):
             patterns.CustomType("x", bad).check()
 
 
-def test_detectors_are_pruned(spark):
-    df = spark.createDataFrame([("a@b.ru",)], "text string")
-    plan = pipeline.detected(df, "text", ("EMAIL", "PHONE"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_readers_are_pruned_and_registered(spark):
+    """Readers of other types do not run, one more can be registered, and a failing one loses its own types only."""
+    df = spark.createDataFrame([("a@b.ru, код ZX-9, тел. +7 916 123-45-67",)], "text string")
     plan = pipeline.mask(df, "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1
+    before = list(words.READERS)
+    try:
+        words.register("zx", ("ZX",), lambda look: [(look.text.find("ZX"), look.text.find("ZX") + 4, "ZX", 0.9, "zx:shape")])
+        words.register("email", ("EMAIL",), lambda look: 1 / 0)
+        row = pipeline.mask(df, "text", types=("PHONE", "ZX")).collect()[0]
+        assert sorted(s["type"] for s in row["kept"]) == ["PHONE", "ZX"] and not row["degraded"]
+        row = pipeline.mask(df, "text", types=("PHONE", "EMAIL")).collect()[0]
+        assert [s["type"] for s in row["kept"]] == ["PHONE"] and row["degraded"]
+    finally:
+        words.READERS[:] = before
+
+
+#: One hundred thousand repeats of what each pattern may loop over.
+LONG = ["1 ", "1-", "a.", "a@", "@a.", "+7 ", "А1 ", "ул. ", "Иван ", "А. ", "[A", "<a ", "(1", ". ", "ё-", "01.01.", "01.01.1990 "]
+
+
+def test_patterns_are_stack_safe_and_linear(spark):
+    """Long repeats neither end the JVM nor take square time, in the column functions and in the readers."""
+    df = spark.createDataFrame([(x * 100_000,) for x in LONG], "text string").repartition(4)
+    x = F.col("text")
+    sizes = df.select(F.size(t.digit_runs(x)).alias("runs"), F.size(patterns.email_spans(x)).alias("mail"), F.size(t.tokens(x)).alias("tokens"), F.size(t.sentences(x)).alias("sentences"), F.size(t.letter_words(x)).alias("words"), t.has_life_years(x).alias("years"))
+    assert len(sizes.collect()) == len(LONG)
+    for text in LONG:
+        start = time.process_time()
+        words.read(text * 20_000, frozenset(ALL_TYPES), 2026, "any")
+        assert time.process_time() - start < 20, text
+
+
+def test_places_of_many_matches(spark):
+    """Places are summed up in blocks: they agree with a plain search for any number of matches."""
+    import re
+
+    texts = [" ".join(f"a{i}" for i in range(n)) for n in (0, 1, 63, 64, 65, 128, 1000)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", t.matches(F.col("text"), "[0-9]++").alias("m")).collect()
+    for r in rows:
+        assert [(m["start"], m["end"], m["value"]) for m in r["m"]] == [(*m.span(), m[0]) for m in re.finditer("[0-9]+", r["text"])]
+
+
+def test_one_pass_agrees_with_the_steps(spark):
+    """The one Arrow call and the column functions resolve and mask alike."""
+    texts = [x for x, _ in CASES if x] + ["Иван Петров, Иван Петров и Анна Белова, тел. 8 916 123 45 67, 89161234567", "паспорт 4509 123456 4509 123456"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    steps = pipeline.settled(pipeline.detected(df, "text"))
+    for preset in ("full", "full_ws", "partial", "initials", "token"):
+        one = {r["i"]: r for r in pipeline.mask(df, "text", preset).collect()}
+        for r in steps.withColumn("m", masking.masked(F.col("text"), F.col("kept"), F.lit(preset))).collect():
+            got = one[r["i"]]
+            assert (got["masked"], got["kept"], got["dropped"], got["placeholders"]) == (r["m"]["text"], r["kept"], r["dropped"], r["m"]["placeholders"])
+
+
+def test_number_series(spark):
+    """Numbers written in parts, glued to dates, and parts of longer numbers."""
+    cases = {
+        "Паспорт серия 27-12 номер 564508": [("PASSPORT", "27-12 номер 564508")], "Белова К.А. 1977-12-17 75 52 040112": [("PASSPORT", "75 52 040112")],
+        "Григорьев 26-08-1990 7943 № 275956": [("PASSPORT", "7943"), ("PASSPORT", "275956")], "PIN-code: 07 и 26": [("PIN", "07")], "пин-код: 07: 26": [("PIN", "07"), ("PIN", "26")],
+        "код подразделения 635.159. 938.772": [("DEPT_CODE", "635.159")], "телефн 916 123 45 67": [("PHONE", "916 123 45 67")], "г. Тверь, ул. Мира, 170100": [("POSTCODE", "170100")],
+    }
+    for text, wanted in cases.items():
+        found = [(k, text[s:e]) for s, e, k, _, _ in numeric.numbers(Look(text))]
+        assert found == wanted, text
+
+
+def test_names_addresses_and_dates(spark):
+    cases = {
+        "Договор подписал Сергей Зайчик вчера": ("FIO", "Сергей Зайчик"), "Позвонила Анна Викторовна": ("FIO", "Анна Викторовна"), "Ответственный: Иванов А.П.": ("FIO", "Иванов А.П."), "Ivan Petrov called": ("FIO", "Ivan Petrov"),
+        "Уважаемый Зубрик, ждём вас": ("FIO", "Зубрик"), "Вчера Татьяна пришла": ("FIO", "Татьяна"), "фамилия иванченко": ("FIO", "иванченко"), "Пришёл Кузнецов": ("FIO", "Кузнецов"),
+        "живёт на ул. Садовая 12/3, кв. 7 (Тверская обл.)": ("ADDRESS", "ул. Садовая 12/3, кв. 7 (Тверская обл.)"), "адрес: Ленинский проспект, 15": ("ADDRESS", "Ленинский проспект, 15"), "дом 5 по ул. Победы, г. Орёл": ("ADDRESS", "дом 5 по ул. Победы, г. Орёл"),
+        "lives at 12 Baker Street now": ("ADDRESS", "12 Baker Street"), "родился 5 янворя 1985 года": ("DOB", "5 янворя 1985 года"), "дата рождения 12031985": ("DOB", "12031985"), "born March 5, 1985": ("DOB", "March 5, 1985"),
+    }
+    for text, wanted in cases.items():
+        found = [(x[2], text[x[0] : x[1]]) for x in words.read(text, frozenset(("FIO", "ADDRESS", "DOB")), 2026, "pii_context")]
+        assert wanted in found, (text, found)
 
 
 def test_context_exclusions(spark):
