@@ -100,3 +100,8 @@ def plausible_id(value: Column) -> Column:
 
 def domain_zone(value: Column) -> Column:
     return value.rlike(r"\.[\p{L}]{2,}$")
+
+
+def looks_like_year(value: Column) -> Column:
+    """Four digits of the last or this century."""
+    return value.rlike("^(?:19|20)[0-9]{2}$")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import text as t
 from spanveil.operators import masking, pipeline
+from spanveil.runtime import durable
 
 
 def masked_turns(df: DataFrame, conversation: str, turn: str, text: str, **kw) -> DataFrame:
@@ -27,7 +28,20 @@ def masked_turns(df: DataFrame, conversation: str, turn: str, text: str, **kw) -
     return out.withColumn("masked", masking.spliced(F.col(text), put)).withColumn("placeholders", F.array_distinct(F.transform(put, lambda p: F.struct(p["put"].alias("token"), p["value"].alias("value"), p["type"].alias("type"))))).drop("parts")
 
 
+def merged_mappings(loaded: DataFrame, fresh: DataFrame, conversation: str) -> DataFrame:
+    """Placeholders (conversation, token, value) of what is stored and of new turns; of one token the new value stays. A
+    grouped maximum over the union: no conversation is gathered in one row."""
+    both = loaded.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    return both.groupBy(conversation, "token").agg(F.max_by("value", "_new").alias("value"))
+
+
 def restored_answers(answers: DataFrame, masked: DataFrame, conversation: str, text: str) -> DataFrame:
-    """Answers with the conversation's placeholders put back."""
-    table = masked.select(conversation, F.explode("placeholders").alias("p")).distinct().groupBy(conversation).agg(F.array_sort(F.collect_set("p")).alias("placeholders"))
-    return masking.restored(answers.join(table, conversation, "left"), text, "placeholders")
+    """Answers with the conversation's placeholders put back. Only the placeholders that an answer names are joined to it,
+    so a conversation's whole list never lies in one row."""
+    named = answers.withColumn("_row", F.monotonically_increasing_id())
+    tokens = F.transform(F.regexp_extract_all(F.upper(text), F.lit(r"[\[({<]([\p{Lu}_]+_[0-9]++)[\])}>]"), F.lit(1)), lambda x: F.concat(F.lit("["), x, F.lit("]")))
+    named = durable(named.withColumn("_tokens", F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))))
+    table = masked.select(conversation, F.explode("placeholders").alias("p")).groupBy(conversation, F.upper("p.token").alias("token")).agg(F.min("p").alias("p"))
+    asked = named.select("_row", conversation, F.explode("_tokens").alias("token"))
+    found = asked.join(table, [conversation, "token"]).groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("placeholders"))
+    return masking.restored(named.join(found, "_row", "left").drop("_row", "_tokens"), text, "placeholders")

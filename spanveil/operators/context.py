@@ -49,6 +49,16 @@ def _last(win: Column, stems: list[str]) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1)["start"]).otherwise(-1)
 
 
+def street_before(low: Column, span: Column) -> Column:
+    """Whether a kind of street stands right before a span."""
+    return _marker(t.cut(low, span["start"] - STREET, span["start"]), STREET_MARKERS)
+
+
+def common_word(value: Column) -> Column:
+    """Whether a value is one ordinary word."""
+    return (F.size(t.letter_words(value)) == 1) & t.plain(value).isin(COMMON_WORDS)
+
+
 def excluded(text: Column, low: Column, spans: Column, rules: Exclusions) -> Column:
     """`spans` with a `why` each: NULL for those that stay."""
     marks = t.matches(low, rf"(?<![\p{{L}}\p{{Nd}}])(?:{t.quoted(ORGANISATIONS)})\p{{L}}{{0,3}}(?!\p{{L}})")
@@ -82,7 +92,8 @@ def excluded(text: Column, low: Column, spans: Column, rules: Exclusions) -> Col
 
     def figure(s, value):
         before = F.substring(text, F.lit(1), s["start"])
-        paragraph_start = F.length(before) - F.length(F.regexp_extract(before, r"(?s)((?:(?!\n[ \t\r]*\n).)*)$", 1))
+        # What stands behind the last blank line.
+        paragraph_start = F.length(before) - F.length(F.element_at(F.split(before, r"\n[ \t\r]*+\n", -1), -1))
         rest = F.substring(low, paragraph_start + 1, F.length(low))
         paragraph = F.element_at(F.split(rest, r"\n[ \t\r]*\n", 2), 1)
         end = paragraph_start + F.length(paragraph)
@@ -101,8 +112,8 @@ def excluded(text: Column, low: Column, spans: Column, rules: Exclusions) -> Col
         return (
             F.when(F.array_contains(allowed, t.plain(value)), "allow_list")
             .when((s["type"] != "IP_ADDRESS") & v.ipv4(value, leading_zeros=True), "network_address")
-            .when(fio & (F.size(t.letter_words(value)) == 1) & t.plain(value).isin(COMMON_WORDS), "common_word")
-            .when(fio & _marker(left(STREET), STREET_MARKERS), "street_name")
+            .when(fio & common_word(value), "common_word")
+            .when(fio & street_before(low, s), "street_name")
             .when(fio & figure(s, value), "public_figure")
             .when(number & wins(REQUISITE, REQUISITES), "org_requisites")
             .when(number & wins(REFERENCE, REFERENCES), "reference_number")

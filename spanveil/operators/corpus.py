@@ -51,7 +51,11 @@ def round_robin(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in an order that depends on seed and id only."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)
+    return df.orderBy(shuffle_key(key, seed), key)
+
+
+def shuffle_key(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
 
 
 def holdout(number: Column) -> Column:

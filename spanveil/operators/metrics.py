@@ -53,9 +53,9 @@ def sampled(df: DataFrame, number: Column, every: int, bad: Column) -> DataFrame
 def redacted_log_value(value: Column) -> Column:
     """A log value with what may be personal replaced: e-mails, six digits or more, two capitalised words, and the end
     of values over 512 bytes."""
-    v = F.regexp_replace(value, r"[\p{L}\p{Nd}._+-]+@[\p{L}\p{Nd}.-]+", "[email]")
-    v = F.regexp_replace(v, r"\+?[0-9](?:[ .()-]?[0-9]){5,}", "[number]")
-    v = F.regexp_replace(v, r"[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+)?", "[name]")
+    v = F.regexp_replace(value, r"(?<![\p{L}\p{Nd}._+-])[\p{L}\p{Nd}._+-]++@[\p{L}\p{Nd}.-]++", "[email]")
+    v = F.regexp_replace(v, r"\+?[0-9](?:[ .()-]?+[0-9]){5,}+", "[number]")
+    v = F.regexp_replace(v, r"[А-ЯЁ][а-яё]++\s++[А-ЯЁ][а-яё]++(?:\s++[А-ЯЁ][а-яё]++)?", "[name]")
     v = F.regexp_replace(v, r"\b[A-Z]{2,}\s+[A-Z]{2,}\b", "[name]")
     return F.when(F.octet_length(v) > 512, F.concat(F.substring(v, 1, 128), F.lit("…"))).otherwise(v)
 

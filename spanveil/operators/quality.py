@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import text as t
+from spanveil.operators.masking import spliced
 
 #: What a quality slice may lose against its baseline, a false-positive rate may gain, and a timing may change.
 QUALITY_TOLERANCE, FALSE_TOLERANCE, TIMING_TOLERANCE = 0.005, 0.5, 0.25
@@ -30,10 +32,11 @@ def changed_share(original: Column, changed: Column, start: Column, end: Column)
 
 def outside_changes(original: Column, changed: Column, gold: Column) -> Column:
     """Changed characters outside all labelled spans; NULL if the length changed."""
-    diff = F.zip_with(F.split(original, ""), F.split(changed, ""), lambda x, y: x != y)
-    inside = lambda i: F.exists(gold, lambda g: (g["start"] <= i) & (i < g["end"]))
-    marked = F.transform(diff, lambda d, i: d & ~inside(i))
-    return F.when(F.length(original) == F.length(changed), F.size(F.filter(marked, lambda d: d)))
+    # The labelled characters are cut out of both texts first, so the cost is that of the text plus that of the labels.
+    by = F.array_sort(gold, lambda a, b: a["start"] - b["start"])
+    parts = F.transform(by, lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), F.lit("").alias("put")))
+    a, b = (F.split(spliced(x, parts), "") for x in (original, changed))
+    return F.when(F.length(original) == F.length(changed), F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d)))
 
 
 def scored(fragments: DataFrame) -> DataFrame:
@@ -76,6 +79,58 @@ def longest_bad_run(df: DataFrame, keys: list[str], order: list[str], state: Col
     return runs.groupBy(*keys).agg(F.max("run").alias("longest"))
 
 
+#: Characters up to which two texts of different lengths are aligned.
+ALIGNED = 1500
+
+
+def mask_share(original: str | None, masked: str | None) -> float | None:
+    """The share of a value that masking hides. Of equal length in bytes: the characters that differ by place. Else the part
+    outside the longest common subsequence; of values too long to align, 1 if the original is gone and 0 if it stands
+    in the result. NULL without an original; an empty original is hidden."""
+    if original is None:
+        return None
+    if not original:
+        return 1.0
+    masked = masked or ""
+    if len(original.encode()) == len(masked.encode()) and len(original) == len(masked):
+        return sum(a != b for a, b in zip(original, masked)) / len(original)
+    if max(len(original), len(masked)) > ALIGNED:
+        return 0.0 if original in masked else 1.0
+    # One row of the alignment is a number whose bits tell where the length of the common part rises.
+    where: dict[str, int] = {}
+    for i, c in enumerate(original):
+        where[c] = where.get(c, 0) | 1 << i
+    full = row = (1 << len(original)) - 1
+    for c in masked:
+        hit = row & where.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return 1 - (len(original) - bin(row).count("1")) / len(original)
+
+
+def mask_score(original: Column, masked: Column) -> Column:
+    """Column form of `mask_share`; values of equal length are compared inside the JVM, where no alignment is needed."""
+
+    @F.arrow_udf("double")
+    def aligned(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([mask_share(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+    return aligned(original, masked)
+
+
+def false_rates(negatives: DataFrame, key: str, text: str, kept: str) -> DataFrame:
+    """name and percent of characters covered by findings, for texts that hold no personal data, by category."""
+    covered = F.aggregate(kept, F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    g = negatives.groupBy(F.col(key).alias("name")).agg(F.sum(covered).alias("c"), F.sum(F.length(text)).alias("n"))
+    return g.select("name", (100.0 * F.coalesce("c", F.lit(0)) / F.greatest("n", F.lit(1))).alias("percent"))
+
+
+def false_gate(now: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Rates of false findings (name, percent) against a baseline: ok, worse by FALSE_TOLERANCE points, new, or missing."""
+    j = now.select("name", F.col("percent").alias("now")).join(baseline.select("name", F.col("percent").alias("before")), "name", "full_outer")
+    verdict = F.when(F.col("now").isNull(), "missing").when(F.col("before").isNull(), "new").when(F.col("now") > F.col("before") + FALSE_TOLERANCE, "worse").otherwise("ok")
+    return j.withColumn("verdict", verdict)
+
+
 def quality_gate(now: DataFrame, baseline: DataFrame) -> DataFrame:
     """(slice, name, mean_share) against a baseline: ok, worse, new, or missing, which fails."""
     j = now.select("slice", "name", F.col("mean_share").alias("now")).join(baseline.select("slice", "name", F.col("mean_share").alias("before")), ["slice", "name"], "full_outer")

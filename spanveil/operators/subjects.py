@@ -4,6 +4,7 @@ computed within the row, as a text's findings are few; no shuffle."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -35,6 +36,7 @@ def link(text: str | None, spans: list[dict] | None) -> list[dict]:
         inside = hit
         forms.append((at, form if hit else None))
         at += len(line) + 1
+    starts = [a for a, _ in forms]
     out = []
     parent = list(range(len(spans)))
 
@@ -46,8 +48,8 @@ def link(text: str | None, spans: list[dict] | None) -> list[dict]:
 
     first: dict[tuple, int] = {}
     for i, s in enumerate(spans):
-        sentence = sum(e <= s["start"] for e in stops)
-        block = [f for a, f in forms if a <= s["start"]][-1]
+        sentence = bisect_right(stops, s["start"])
+        block = forms[bisect_right(starts, s["start"]) - 1][1]
         value = " ".join(text[s["start"] : s["end"]].lower().split())
         out.append({"sentence": sentence, "form": block, "value": value})
         for key in (("s", sentence), ("f", block), ("v", value)):
@@ -70,8 +72,9 @@ def links(text: Column, spans: Column) -> Column:
     return run(text, spans, F.size(spans))
 
 
-def edges_of(text: str | None, spans: list[dict] | None) -> list[dict]:
-    """(a, b, basis, conf) for each two spans that share a sentence, a questionnaire or a value, by basis."""
+def edges_of(text: str | None, spans: list[dict] | None, clique: bool = False) -> list[dict]:
+    """(a, b, basis, conf) for spans that share a sentence, a questionnaire or a value, by basis: each with the first of its
+    group, so there are no more links than spans; with `clique`, each two."""
     linked = link(text, spans)
     out = []
     for basis, conf in (("sentence", SENTENCE_CONF), ("form", SURE_CONF), ("value", SURE_CONF)):
@@ -80,16 +83,16 @@ def edges_of(text: str | None, spans: list[dict] | None) -> list[dict]:
             if x[basis] not in (None, ""):
                 groups.setdefault(x[basis], []).append(i)
         name = {"form": "anchor", "value": "repeat"}.get(basis, basis)
-        out += [{"a": a, "b": b, "basis": name, "conf": conf} for g in groups.values() for k, a in enumerate(g) for b in g[k + 1 :]]
+        out += [{"a": a, "b": b, "basis": name, "conf": conf} for g in groups.values() for k, a in enumerate(g if clique else g[:1]) for b in g[k + 1 :]]
     return out
 
 
-def edges(text: Column, spans: Column) -> Column:
+def edges(text: Column, spans: Column, clique: bool = False) -> Column:
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("basis", pa.string()), ("conf", pa.float64())]))
 
     @F.arrow_udf("array<struct<a:int,b:int,basis:string,conf:double>>")
     def run(texts: pa.Array, sets: pa.Array, _: pa.Array) -> pa.Array:
-        return pa.array([edges_of(x, s) for x, s in zip(texts.to_pylist(), sets.to_pylist())], kind)
+        return pa.array([edges_of(x, s, clique) for x, s in zip(texts.to_pylist(), sets.to_pylist())], kind)
 
     # Referred to twice, the spans are computed before the call and not inside its arguments.
     return run(text, spans, F.size(spans))

@@ -146,9 +146,10 @@ def k_holdout(spark, d):
     return table(spark, d, "samples").groupBy(corpus.holdout(F.col("sample_id")).alias("held_out")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT sample_id, category, md5('7:' || sample_id) AS place FROM samples")
 def k_shuffled(spark, d):
-    return corpus.shuffled(table(spark, d, "samples").select("sample_id", "category"), "sample_id", 7)
+    """A shuffle by seed and id; rows come in the order of `place`."""
+    return corpus.shuffled(table(spark, d, "samples").select("sample_id", "category", corpus.shuffle_key("sample_id", 7).alias("place")), "sample_id", 7)
 
 
 @query(

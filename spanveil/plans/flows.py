@@ -44,11 +44,15 @@ def s_capture_corpus(spark, d):
 
 
 @query(
-    """SELECT system_id, 'date_mode' AS fault FROM systems WHERE coalesce(date_mode, 'pii_context') NOT IN ('pii_context', 'anchor_only', 'any', 'all')
-    UNION ALL SELECT system_id, 'preset' FROM systems WHERE coalesce(preset, 'full') NOT IN ('full', 'full_ws', 'partial', 'initials', 'token', 'synthetic')"""
+    """WITH b AS (SELECT system_id, CASE WHEN length(system_id) % 3 = 0 THEN 'sometimes' ELSE date_mode END AS date_mode, CASE WHEN length(system_id) % 2 = 0 THEN 'blur' ELSE preset END AS preset FROM systems)
+    SELECT system_id, 'date_mode' AS fault FROM b WHERE coalesce(date_mode, 'pii_context') NOT IN ('pii_context', 'anchor_only', 'any', 'all') AND coalesce(preset, 'full') IN ('full', 'full_ws', 'partial', 'initials', 'token', 'synthetic')
+    UNION ALL SELECT system_id, 'preset' FROM b WHERE coalesce(preset, 'full') NOT IN ('full', 'full_ws', 'partial', 'initials', 'token', 'synthetic')"""
 )
 def s_policy_faults(spark, d):
-    return policy.faults(table(spark, d, "systems"))
+    """Faults of policies, a part of which is made faulty first."""
+    s, n = table(spark, d, "systems"), F.length("system_id")
+    s = s.withColumn("date_mode", F.when(n % 3 == 0, "sometimes").otherwise(F.col("date_mode"))).withColumn("preset", F.when(n % 2 == 0, "blur").otherwise(F.col("preset")))
+    return policy.faults(s)
 
 
 @query()
@@ -60,11 +64,10 @@ def w_routed(spark, d):
     first = table(spark, d, "samples").where("text <> ''").groupBy("payload_id").agg(F.min(F.struct("sample_id", "system_id", "text")).alias("x"))
     r = first.select("payload_id", F.col("x.system_id").alias("system"), F.col("x.text").alias("payload"))
     store = durable(mapping.mappings_of(pipeline.mask(r, "payload"), KEY, now))
-    rules = policy.with_defaults(systems).select(F.col("system_id").alias("system"), "preset", "on_unknown_id")
     back = store.select("payload_id", "system", F.col("mask").alias("payload"))
     foreign = back.withColumn("system", F.lit("another"))
-    asked = r.unionByName(back).unionByName(foreign).join(F.broadcast(rules), "system", "left").withColumn("demask", F.lit(True))  # one row for each system
-    asked = asked.fillna({"preset": "full", "on_unknown_id": "404"}).withColumn("preset", F.lit("full"))
+    asked = policy.joined(r.unionByName(back).unionByName(foreign), systems, "system").withColumn("demask", F.lit(True))
+    asked = asked.withColumn("preset", F.lit("full"))
     out = mapping.routed(asked, store, KEY, now)
     return out.groupBy("action", "status").agg(F.count("*").alias("n"))
 
@@ -91,7 +94,17 @@ def w_load(spark, d):
     return metrics.sliding_sum(table(spark, d, "captures"), "captured_at", F.col("payload_len"), "15 seconds", "5 seconds")
 
 
-@query()
+_BOUNDS = [0.0, *metrics.BUCKETS]
+_COUNTS = ", ".join(f"count(*) FILTER (took_ms > {lo} AND took_ms <= {hi}) AS b{i}" for i, (lo, hi) in enumerate(zip(_BOUNDS, _BOUNDS[1:])))
+_BELOW = lambda i: " + ".join(["0", *[f"b{k}" for k in range(i)]])
+_LATENCY = " ".join(f"WHEN {_BELOW(i + 1)} >= 0.95::DOUBLE * n THEN {lo}::DOUBLE + {hi - lo}::DOUBLE * (0.95::DOUBLE * n - ({_BELOW(i)})) / greatest(b{i}, 1)" for i, (lo, hi) in enumerate(zip(_BOUNDS, _BOUNDS[1:])))
+
+
+@query(
+    f"""WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 20 SECOND, captured_at) - INTERVAL 40 SECOND, time_bucket(INTERVAL 20 SECOND, captured_at), INTERVAL 20 SECOND)) AS window_start, took_ms FROM captures WHERE took_ms IS NOT NULL),
+    g AS (SELECT window_start, count(*) AS n, {_COUNTS} FROM w GROUP BY 1)
+    SELECT window_start, n, CASE {_LATENCY} ELSE {metrics.BUCKETS[-1]}::DOUBLE END AS quantile FROM g"""
+)
 def w_latency(spark, d):
     """A sliding quantile from histogram buckets."""
     return metrics.sliding_quantile(table(spark, d, "captures"), "captured_at", "took_ms", 0.95, "60 seconds", "20 seconds")
@@ -124,7 +137,8 @@ def w_coalesced(spark, d):
 @query("SELECT capture_id, captured_at FROM captures ORDER BY captured_at DESC, capture_id LIMIT 1000")
 def w_evicted(spark, d):
     """A store at capacity keeps what expires last: the limit is the feature."""
-    return table(spark, d, "captures").select("capture_id", "captured_at").orderBy(F.desc("captured_at"), "capture_id").limit(1000)
+    c = table(spark, d, "captures").select(F.col("capture_id").alias("payload_id"), F.col("captured_at").alias("expires_at"))
+    return mapping.kept_at_capacity(c, 1000).select(F.col("payload_id").alias("capture_id"), F.col("expires_at").alias("captured_at"))
 
 
 @query(
@@ -134,6 +148,11 @@ def w_capacity(spark, d):
     return table(spark, d, "captures").groupBy("system_id").agg(metrics.capacity_ratio(F.col("payload_len"), 24, 3600.0).alias("ratio"))
 
 
-@query()
+@query(
+    r"""WITH v AS (SELECT sample_id, regexp_replace(regexp_replace(regexp_replace(text, '[\p{L}\p{Nd}._+-]+@[\p{L}\p{Nd}.-]+', '[email]', 'g'), '\+?[0-9](?:[ .()-]?[0-9]){5,}', '[number]', 'g'),
+      '[А-ЯЁ][а-яё]+[ \t\n\x0b\f\r]+[А-ЯЁ][а-яё]+(?:[ \t\n\x0b\f\r]+[А-ЯЁ][а-яё]+)?', '[name]', 'g') AS v FROM samples),
+    w AS (SELECT sample_id, regexp_replace(regexp_replace(regexp_replace(v, '([^\p{L}\p{Nd}_])', '\1' || chr(1), 'g'), '(^|[^\p{L}\p{Nd}_])[A-Z]{2,}(?:[ \t\n\x0b\f\r]\x01)+[A-Z]{2,}($|[^\p{L}\p{Nd}_])', '\1[name]\2', 'g'), '\x01', '', 'g') AS v FROM v)
+    SELECT sample_id, CASE WHEN strlen(v) > 512 THEN substring(v, 1, 128) || '…' ELSE v END AS value FROM w"""
+)
 def w_log_values(spark, d):
     return table(spark, d, "samples").select("sample_id", metrics.redacted_log_value(F.col("text")).alias("value"))

@@ -97,9 +97,9 @@ def t_anchors(spark, d):
     return table(spark, d, "documents").select("doc_id", t.longest_anchor(F.lower("text"), _ANCHORS).alias("anchor"), t.has_life_years(F.col("text")).alias("life_years"))
 
 
-@query("SELECT doc_id, substring(repeat(text, ceil(3000 / greatest(length(text), 1))::INT), 1, 3000) AS inflated FROM documents WHERE length(text) BETWEEN 1 AND 3000")
+@query("SELECT doc_id, substring(repeat(text, ceil(3000 / greatest(length(text), 1))::INT), 1, 3000) AS inflated FROM documents WHERE length(text) >= 1")
 def t_inflated(spark, d):
-    return table(spark, d, "documents").where(F.length("text").between(1, 3000)).select("doc_id", t.inflated(F.col("text"), F.lit(3000)).alias("inflated"))
+    return table(spark, d, "documents").where(F.length("text") >= 1).select("doc_id", t.inflated(F.col("text"), F.lit(3000)).alias("inflated"))
 
 
 _D = "regexp_replace(value, '[^0-9]', '', 'g')"

@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from spanveil.plans import aggregates, findings, flows, primitives, sets  # noqa: E402, F401
+from spanveil.plans import aggregates, findings, flows, labelled, primitives, sets  # noqa: E402, F401
