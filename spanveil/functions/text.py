@@ -175,6 +175,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 #: Matches whose places are summed up in one go; the sums of the blocks are then carried over.
 BLOCK = 64
+MARK = "\x01"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -196,19 +197,22 @@ def matches(text: Column, pattern: str) -> Column:
         moved = F.transform(b["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
         return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
-    def placed(found):
-        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("value"))
+    def placed(pieces):
+        # Gap, value, gap, value, ..., gap.
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / 2).cast("int") - 1), lambda i: F.struct(F.get(pieces, 2 * i).alias("gap"), F.get(pieces, 2 * i + 1).alias("value")))
         blocks = let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), block(p)))
         zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span}>>").alias("out"))
-        return F.when(F.size(found) > 0, F.flatten(F.aggregate(blocks, zero, carried, lambda a: a["out"]))).otherwise(none)
+        return F.when(F.size(pieces) > 1, F.flatten(F.aggregate(blocks, zero, carried, lambda a: a["out"]))).otherwise(none)
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    # One pass of the pattern: matches are put between marks, which no text holds after the first step.
+    marked = F.regexp_replace(F.translate(text, MARK, "\x02"), F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+    return let(F.split(marked, MARK, -1), placed)
 
 
 # What may stand between the digit groups of one number.
 SEPARATORS = r" \t\x{a0}\x{202f}\-\x{2013}\x{2014}\x{2011}./()\\№#"
 #: Possessive, so that the loop neither recurses nor goes back: any number of groups is safe.
-RUN = rf"[\p{{IsLatin}}\p{{IsCyrillic}}][0-9]++|\+?[0-9]++(?:[{SEPARATORS}]{{1,3}}+[0-9]++)*+"
+RUN = rf"(?<=[\p{{IsLatin}}\p{{IsCyrillic}}])[0-9]++|\+?[0-9]++(?:[{SEPARATORS}]{{1,3}}+[0-9]++)*+"
 
 
 def digit_runs(text: Column) -> Column:
@@ -216,12 +220,11 @@ def digit_runs(text: Column) -> Column:
     alone, without the letter. (start, end, value, digits, pattern, seps, plus)."""
 
     def run(m):
-        lead = m["value"].rlike(r"^[\p{IsLatin}\p{IsCyrillic}]").cast("int")
-        value = F.substring(m["value"], lead + 1, F.length(m["value"]))
+        value = m["value"]
         groups = F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")
         seps = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(value, r"^\+", ""), "[0-9]", ""), ""))), "")
         return F.struct(
-            (m["start"] + lead).alias("start"), m["end"].alias("end"), value.alias("value"), digits_only(value).alias("digits"),
+            m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), digits_only(value).alias("digits"),
             F.array_join(F.transform(groups, lambda g: F.length(g).cast("string")), "-").alias("pattern"), seps.alias("seps"), value.startswith("+").alias("plus"),
         )
 

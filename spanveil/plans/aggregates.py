@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanveil.operators import corpus, generate, masking, metrics, quality
 from spanveil.plans.registry import query
-from spanveil.runtime import table
+from spanveil.runtime import spread, table
 
 _TYPE = "coalesce(upper(trim(type)), '(none)')"
 _SHARE = r"""(length(pm) - length(replace(pm, '*', '')) - (length(value) - length(replace(value, '*', '')))) / greatest(length(value), 1)::DOUBLE"""
@@ -16,7 +16,7 @@ _PARTIAL = rf"""CASE WHEN {_SOLID.format("value")} < 6 THEN repeat('*', length(v
 
 
 def _shares(spark, d):
-    f = table(spark, d, "fragments")
+    f = spread(table(spark, d, "fragments"))
     share = quality.changed_share(F.col("value"), masking.partial(F.col("value")), F.lit(0), F.length("value"))
     return f.select(F.coalesce(F.upper(F.trim("type")), F.lit("(none)")).alias("type"), "system_id", "found_at", share.alias("share"))
 

@@ -9,7 +9,7 @@ from spanveil.functions import validators as v
 from spanveil.operators import chat, context, masking, patterns, pipeline, policy, spans, subjects, words
 from spanveil.plans import number_sql
 from spanveil.plans.registry import query
-from spanveil.runtime import table
+from spanveil.runtime import spread, table
 
 _SEP = r" \t\x{a0}\x{202f}\-\x{2013}\x{2014}\x{2011}./()\\№#"
 _RUN = rf"[\p{{Latin}}\p{{Cyrillic}}][0-9]+|\+?[0-9]+(?:[{_SEP}]{{1,3}}[0-9]+)*"
@@ -37,12 +37,13 @@ def masked_documents_by_type(spark, d):
 )
 def d_shapes(spark, d):
     """E-mails, numbers with a card's control digit and international phones, by shape alone."""
-    docs = table(spark, d, "documents").select("source", "text")
-    runs = t.digit_runs(F.col("text"))
-    card = F.transform(F.filter(runs, lambda r: F.length(r["digits"]).between(13, 19) & v.luhn(r["digits"])), lambda r: F.struct(F.lit("CARD").alias("type"), F.length(r["value"]).alias("n")))
-    phone = F.transform(F.filter(runs, lambda r: r["plus"] & F.length(r["digits"]).between(10, 15)), lambda r: F.struct(F.lit("PHONE").alias("type"), F.length(r["value"]).alias("n")))
+    docs = spread(table(spark, d, "documents")).select("source", "text")
+    card = lambda r: F.length(r["digits"]).between(13, 19) & v.luhn(r["digits"])
+    phone = lambda r: r["plus"] & F.length(r["digits"]).between(10, 15)
+    named = lambda runs, kind, keep: F.transform(F.filter(runs, keep), lambda r: F.struct(F.lit(kind).alias("type"), F.length(r["value"]).alias("n")))
+    numbers = t.let(t.digit_runs(F.col("text")), lambda runs: F.concat(named(runs, "CARD", card), named(runs, "PHONE", phone)))
     mail = F.transform(patterns.email_spans(F.col("text")), lambda s: F.struct(s["type"].alias("type"), (s["end"] - s["start"]).alias("n")))
-    return docs.select("source", F.explode(F.concat(mail, card, phone)).alias("x")).groupBy("source", "x.type").agg(F.count("*").alias("findings"), F.sum("x.n").alias("chars"))
+    return docs.select("source", F.explode(F.concat(mail, numbers)).alias("x")).groupBy("source", "x.type").agg(F.count("*").alias("findings"), F.sum("x.n").alias("chars"))
 
 
 @query(
@@ -52,7 +53,7 @@ def d_shapes(spark, d):
     SELECT doc_id, s::INT AS start_char, (s + length(v))::INT AS end_char, strlen(substring(text, 1, s::INT))::INT AS start_byte, v AS value FROM p"""
 )
 def d_emails(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").contains("@"))
+    docs = spread(table(spark, d, "documents")).where(F.col("text").contains("@"))
     s = docs.select("doc_id", "text", F.explode(patterns.email_spans(F.col("text"))).alias("s"))
     return s.select("doc_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), t.byte_offset(F.col("text"), F.col("s.start")).alias("start_byte"), t.cut(F.col("text"), F.col("s.start"), F.col("s.end")).alias("value"))
 
@@ -106,7 +107,7 @@ REQUEST_NUMBER = patterns.CustomType("request_no", r"[тзк]-[0-9]{4,6}", ancho
 )
 def d_custom(spark, d):
     """A type of the user's own: request numbers."""
-    s = table(spark, d, "samples").where("text is not null").select("sample_id", F.lower("text").alias("low"))
+    s = spread(table(spark, d, "samples")).where("text is not null").select("sample_id", F.lower("text").alias("low"))
     s = s.select("sample_id", "low", F.explode(patterns.custom_spans(F.col("low"), REQUEST_NUMBER)).alias("s"))
     return s.select("sample_id", t.cut(F.col("low"), F.col("s.start"), F.col("s.end")).alias("value")).groupBy("sample_id", "value").agg(F.count("*").alias("n"))
 

@@ -8,7 +8,7 @@ from spanveil.functions import text as t
 from spanveil.functions import validators as v
 from spanveil.operators import corpus, quality
 from spanveil.plans.registry import query
-from spanveil.runtime import table
+from spanveil.runtime import spread, table
 
 _ANCHORS = ("паспорт", "номер", "заявка", "заявки", "договор", "срок ответа", "request", "account statement", "карта")
 _SEP = r" \t\x{a0}\x{202f}\-\x{2013}\x{2014}\x{2011}./()\\№#"
@@ -26,7 +26,7 @@ def t_char_classes(spark, d):
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9]+|\p{Cyrillic}+|\p{Latin}+'))::INT AS n_words FROM documents""")
 def t_tokens(spark, d):
     kept = F.filter(t.tokens(F.col("text")), lambda x: t.char_class(x).isin("digit", "cyrillic", "latin"))
-    return table(spark, d, "documents").select("doc_id", F.size(kept).alias("n_words")).withColumn("n_words", F.when(F.col("n_words") >= 0, F.col("n_words")))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(kept).alias("n_words")).withColumn("n_words", F.when(F.col("n_words") >= 0, F.col("n_words")))
 
 
 @query(
@@ -39,7 +39,7 @@ def t_tokens(spark, d):
       array_to_string(list_transform(regexp_extract_all(v, '[0-9]+'), lambda g: length(g)::VARCHAR), '-') AS pattern, (v[1] = '+') AS plus FROM q"""
 )
 def t_digit_runs(spark, d):
-    runs = table(spark, d, "documents").select("doc_id", F.explode(t.digit_runs(F.col("text"))).alias("r"))
+    runs = spread(table(spark, d, "documents")).select("doc_id", F.explode(t.digit_runs(F.col("text"))).alias("r"))
     return runs.select("doc_id", F.col("r.start").alias("start_char"), F.col("r.end").alias("end_char"), "r.digits", "r.pattern", "r.plus")
 
 
@@ -50,7 +50,7 @@ def t_digit_runs(spark, d):
 )
 def t_value_forms(spark, d):
     x = F.col("value")
-    return table(spark, d, "fragments").select("fragment_id", t.trimmed(x).alias("trimmed"), t.plain(x).alias("plain"), t.digits_only(x).alias("digits"), t.fold_alike(x).alias("folded"))
+    return spread(table(spark, d, "fragments")).select("fragment_id", t.trimmed(x).alias("trimmed"), t.plain(x).alias("plain"), t.digits_only(x).alias("digits"), t.fold_alike(x).alias("folded"))
 
 
 @query(
@@ -123,7 +123,7 @@ def _sum(weights, at="d"):
 )
 def v_checks(spark, d):
     x, n = F.col("value"), t.digits_only(F.col("value"))
-    return table(spark, d, "fragments").select(
+    return spread(table(spark, d, "fragments")).select(
         "fragment_id", v.luhn(n).alias("luhn"), v.inn(n).alias("inn"), v.snils(n).alias("snils"), v.toll_free(n).alias("toll_free"), v.ipv4(x).alias("ipv4"),
         v.placeholder(x).alias("placeholder"), v.vin(x).alias("vin"), v.plausible_id(x).alias("plausible_id"),
     )
@@ -157,7 +157,7 @@ def v_record_faults(spark, d):
       substring(text, list_position(starts, a), coalesce(list_position(starts, b), length(text) + 1) - list_position(starts, a)) AS value FROM p"""
 )
 def v_span_slices(spark, d):
-    s = table(spark, d, "samples").where("text <> ''").select("sample_id", "text", F.explode("spans").alias("s"))
+    s = spread(table(spark, d, "samples")).where("text <> ''").select("sample_id", "text", F.explode("spans").alias("s"))
     c = quality.char_span(F.col("text"), F.col("s.start_byte"), F.col("s.end_byte"))
     s = s.withColumn("c", c)
     return s.select("sample_id", "s.type", "s.start_byte", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), t.cut(F.col("text"), F.col("c.start"), F.col("c.end")).alias("value"))

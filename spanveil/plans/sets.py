@@ -9,7 +9,7 @@ from spanveil.functions import text as t
 from spanveil.functions import validators as v
 from spanveil.operators import masking, policy, spans
 from spanveil.plans.registry import query
-from spanveil.runtime import table
+from spanveil.runtime import spread, table
 from spanveil.schema import ALL_TYPES, DOCUMENT, EXTRA, MANDATORY, PRIORITY
 
 _TYPE = "upper(trim(type))"
@@ -120,7 +120,7 @@ _SOLID = r"length(regexp_replace({}, '[^\p{{L}}\p{{Nd}}]', '', 'g'))"
 )
 def m_presets(spark, d):
     x = F.col("value")
-    return table(spark, d, "fragments").select("fragment_id", masking.full(x).alias("full_mask"), masking.full_ws(x).alias("full_ws"), masking.partial(x).alias("partial_mask"), masking.initials(x).alias("initials"))
+    return spread(table(spark, d, "fragments")).select("fragment_id", masking.full(x).alias("full_mask"), masking.full_ws(x).alias("full_ws"), masking.partial(x).alias("partial_mask"), masking.initials(x).alias("initials"))
 
 
 @query(
