@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import lru_cache
 
@@ -61,6 +62,44 @@ def forms(name: str) -> set[str]:
     return out | {x.replace("ё", "е") for x in out}
 
 
+def cases(word: str) -> list[str]:
+    """The genitive, dative, accusative, instrumental and prepositional of a word of a Russian name, by its ending."""
+    low = word.lower()
+    if not low or not "\u0400" <= low[0] <= "\u04ff" or len(low) < 3:
+        return []
+    stem, two = word[:-1], word[:-2]
+    if low.endswith(("ова", "ева", "ёва", "ина", "ына")):
+        ends = [stem + e for e in ("ой", "у")]
+    elif low.endswith("ая"):
+        ends = [two + e for e in ("ой", "ую")]
+    elif low.endswith(("ий", "ый", "ой")):
+        ends = [two + e for e in ("ого", "ому", "им", "ым", "ом")]
+    elif low.endswith(("ов", "ев", "ёв", "ин", "ын")):
+        ends = [word + e for e in ("а", "у", "ым", "е")]
+    elif low.endswith("ия"):
+        ends = [stem + e for e in ("и", "ю", "ей")]
+    elif low.endswith(("а", "я")):
+        soft = low[-1] == "я"
+        ends = [stem + e for e in (("и", "е", "ю", "ей") if soft else ("ы", "и", "е", "у", "ой", "ей"))]
+    elif low.endswith(("й", "ь")):
+        ends = [stem + e for e in ("я", "ю", "ем", "е")]
+    elif low[-1] in "бвгджзклмнпрстфхцчшщ":
+        ends = [word + e for e in ("а", "у", "ом", "ем", "е")]
+    else:
+        ends = []
+    return ends
+
+
+def declined(name: str) -> list[str]:
+    """A name of up to three words in other cases, each word in each of its forms."""
+    parts = name.split()
+    forms_of = [[p, *cases(p)] for p in parts]
+    if not parts or len(parts) > 3:
+        return []
+    out = [" ".join(x) for x in itertools.islice(itertools.product(*forms_of), 1, 512)]
+    return list(dict.fromkeys(out))
+
+
 @lru_cache(1)
 def russian_forms() -> frozenset[str]:
     """All case forms of the Russian given names."""

@@ -129,27 +129,30 @@ def fragmented(text: Column, shortest: int = 40, longest: int = 300) -> Column:
     return F.aggregate(t.sentences(text), empty, step, lambda a: F.when(F.length(a["open"]) >= shortest, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
 
 
-def injected(carriers_df: DataFrame, key: str, text: str, values: list[tuple[str, str]]) -> DataFrame:
-    """A made-up value put into each text at a word boundary, chosen by the id, with its span in bytes. `values` is a
-    parameter of bounded size: (type, value)."""
+def injected(carriers_df: DataFrame, key: str, text: str, values: list[tuple[str, str]], spans: str | None = None) -> DataFrame:
+    """A made-up value put into each text at a word boundary, chosen by the id, with its span in bytes. Spans that a text
+    has already (column `spans`) stay whole and are moved along. `values` is a parameter of bounded size: (type, value)."""
     kind = carriers_df.schema[key].dataType.simpleString()
+    layout = "array<struct<start_byte:int,end_byte:int,type:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from spanveil.operators.synthetic import fnv64
 
         span = pa.list_(pa.struct([("start_byte", pa.int32()), ("end_byte", pa.int32()), ("type", pa.string())]))
         for b in batches:
-            texts, spans = [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            texts, all_spans = [], []
+            for i, x, old in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 h = fnv64(str(i))
                 typ, value = values[h % len(values)]
-                places = [k + 1 for k, c in enumerate(x or "") if c == " "] or [0]
+                raw = (x or "").encode()
+                old = old or []
+                places = [k + 1 for k, c in enumerate(raw) if c == 32 and not any(s["start_byte"] < k + 1 < s["end_byte"] for s in old)] or [0]
                 at = places[(h >> 20) % len(places)]
-                x = x or ""
-                put = value + " "
-                start = len(x[:at].encode())
-                texts.append(x[:at] + put + x[at:])
-                spans.append([{"start_byte": start, "end_byte": start + len(value.encode()), "type": typ}])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts), pa.array(spans, span)], names=[key, "text", "spans"])
-
-    return carriers_df.select(key, F.col(text)).mapInArrow(run, f"`{key}` {kind}, text string, spans array<struct<start_byte:int,end_byte:int,type:string>>")
+                put = (value + " ").encode()
+                texts.append((raw[:at] + put + raw[at:]).decode())
+                moved = [{**s, "start_byte": s["start_byte"] + len(put), "end_byte": s["end_byte"] + len(put)} if s["start_byte"] >= at else s for s in old]
+                all_spans.append(sorted([*moved, {"start_byte": at, "end_byte": at + len(put) - 1, "type": typ}], key=lambda s: s["start_byte"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(all_spans, span)], names=[key, "text", "spans"])
+
+    have = (F.lit(None) if spans is None else F.col(spans)).cast(layout).alias("spans")
+    return carriers_df.select(key, F.col(text), have).mapInArrow(run, f"`{key}` {kind}, text string, spans {layout}")

@@ -114,23 +114,15 @@ def looks_masked(text: Column, preset: Column) -> Column:
 
 
 def restored(df: DataFrame, text: str, placeholders: str, into: str = "restored") -> DataFrame:
-    """Placeholders put back in one pass, longest first: written as they are, in lower case, or with other brackets."""
+    """Placeholders put back in one pass, longest first: written as they are, in lower case, with other brackets, or, for made-up
+    names, in another case."""
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+        from spanveil.operators.chat import put_back, table_of
 
         for b in batches:
-            texts = []
-            for x, pairs in zip(b.column(b.schema.get_field_index(text)).to_pylist(), b.column(b.schema.get_field_index(placeholders)).to_pylist()):
-                table = {}
-                for p in pairs or []:
-                    bare = p["token"][1:-1]
-                    for form in (p["token"], p["token"].lower(), f"({bare})", f"{{{bare}}}", f"<{bare}>"):
-                        table.setdefault(form, p["value"])
-                if x and table:
-                    rule = re.compile("|".join(re.escape(k) for k in sorted(table, key=len, reverse=True)))
-                    x = rule.sub(lambda m: table[m[0]], x)
-                texts.append(x)
+            pairs = b.column(b.schema.get_field_index(placeholders)).to_pylist()
+            texts = [put_back(x, table_of(p)) if x and p else x for x, p in zip(b.column(b.schema.get_field_index(text)).to_pylist(), pairs)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Upper bounds of the latency histogram in milliseconds.
@@ -17,6 +17,12 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.le", "c.n")
 
 
+def status_counts(df: DataFrame, status: str) -> DataFrame:
+    """Rows by status and by its class (2xx, 4xx and so on), with the share of all rows, in one aggregation."""
+    g = df.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
+    return g.select("status", F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx")).alias("class"), "n", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"))
+
+
 def sliding_sum(df: DataFrame, ts: str, value: Column, length: str, step: str) -> DataFrame:
     """A sum over windows of `length` that start every `step`."""
     return df.groupBy(F.window(ts, length, step)).agg(F.sum(value).alias("total")).select(F.col("window.start").alias("window_start"), "total")

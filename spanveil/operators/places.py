@@ -12,7 +12,7 @@ from spanveil.schema import ANCHORED, HIGH
 Found = Iterator[tuple[int, int, str, float, str]]
 
 # Words of address parts.
-STREET = "улица улице улицы ул переулок переулке пер проезд проезде пр-д проспект проспекте просп пр-т пр-кт шоссе ш набережная наб бульвар бульваре б-р площадь площади пл аллея аллее тупик тракт микрорайон мкр квартал линия".split()
+STREET = "улица улице улицы ул переулок переулке пер проезд проезде пр-д проспект проспекте просп пр-т пр-кт шоссе ш набережная наб бульвар бульваре б-р площадь площади пл аллея аллее тупик тракт микрорайон мкр квартал".split()
 SETTLEMENT = "г гор город города городе с село пос посёлок поселок п дер деревня д ст станица пгт хутор аул снт".split()
 REGION = "обл область области край края респ республика республики район района р-н округ".split()
 HOUSE = "дом д корпус корп к строение стр квартира кв офис оф подъезд этаж помещение пом владение вл литера лит".split()

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.operators.patterns import CustomType
 from spanveil.schema import ALL_TYPES, tier
 
 PRESETS = ("full", "full_ws", "partial", "initials", "token", "synthetic")
@@ -67,3 +68,56 @@ def set_preset(systems: DataFrame, system_id: str, preset: str) -> DataFrame:
 
 def _set(systems: DataFrame, system_id: str, column: str, value: Column) -> DataFrame:
     return systems.withColumn(column, F.when(F.col("system_id") == system_id, value).otherwise(F.col(column)))
+
+
+def set_enabled(systems: DataFrame, system_id: str, enabled: bool) -> DataFrame:
+    """A system switched on or off; systems without the column are on."""
+    return _set(_with(systems, "enabled", F.lit(True)), system_id, "enabled", F.lit(enabled))
+
+
+def set_allowed(systems: DataFrame, system_id: str, values: list[str]) -> DataFrame:
+    """The persons and values that a system lets through, blanks and repeats taken out."""
+    clean = list(dict.fromkeys(v.strip() for v in values if v.strip()))
+    none = F.array().cast("array<string>")
+    return _set(_with(systems, "allowed", none), system_id, "allowed", F.array(*[F.lit(v) for v in clean]).cast("array<string>"))
+
+
+def _with(systems: DataFrame, column: str, default: Column) -> DataFrame:
+    return systems if column in systems.columns else systems.withColumn(column, default)
+
+
+RULES = "name string, pattern string, group int, anchors array<string>, window int, validator string"
+
+
+def rules_table(spark, rules: list[CustomType]) -> DataFrame:
+    for r in rules:
+        r.check()
+    return spark.createDataFrame([(r.name.upper(), r.pattern, r.group, list(r.anchors), r.window, r.validator) for r in rules], RULES)
+
+
+def add_type(rules: DataFrame, rule: CustomType) -> DataFrame:
+    """The rules with one more type of the user's own, or another in the place of that name. What cannot be run is refused."""
+    rule.check()
+    if rule.name.upper() in ALL_TYPES:
+        raise ValueError(f"{rule.name} is a type of its own already")
+    return remove_type(rules, rule.name).unionByName(rules_table(rules.sparkSession, [rule]))
+
+
+def remove_type(rules: DataFrame, name: str) -> DataFrame:
+    return rules.where(F.col("name") != name.upper())
+
+
+def custom_types(rules: DataFrame) -> tuple[CustomType, ...]:
+    """The rules as detectors, by name; a table of rules is a configuration of bounded size."""
+    rows = rules.orderBy("name").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError("more rules than one plan can hold")
+    return tuple(CustomType(r["name"], r["pattern"], r["group"], tuple(r["anchors"] or ()), r["window"], r["validator"]) for r in rows)
+
+
+MAX_RULES = 200
+
+
+def listing(systems: DataFrame) -> DataFrame:
+    """Systems with their policies, by name."""
+    return with_defaults(systems).withColumn("n_types", F.when(F.size("types") == 0, len(ALL_TYPES)).otherwise(F.size("types"))).orderBy("system_id")

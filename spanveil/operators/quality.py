@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import text as t
 from spanveil.operators.masking import spliced
+from spanveil.runtime import durable
 
 #: What a quality slice may lose against its baseline, a false-positive rate may gain, and a timing may change.
 QUALITY_TOLERANCE, FALSE_TOLERANCE, TIMING_TOLERANCE = 0.005, 0.5, 0.25
@@ -62,21 +65,56 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 
 def exact_quantiles(df: DataFrame, key: str, value: str, qs: tuple[float, ...]) -> DataFrame:
-    """Nearest-rank quantiles of each key without gathering a key's values: ranks come from counts of distinct values,
-    so a hot key is one sort spread over the cluster."""
+    """Nearest-rank quantiles of each key. Counts of distinct values are summed up in classes of about equal size on a
+    logarithmic scale, a few thousand for each key whatever its rows; only the classes in which a quantile lies are then
+    ranked, so no task holds a key."""
     counted = df.where(F.col(value).isNotNull()).groupBy(key, value).count()
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = counted.withColumn("hi", F.sum("count").over(w)).withColumn("n", F.sum("count").over(Window.partitionBy(key)))
+    v = F.col(value).cast("double")
+    counted = durable(counted.withColumn("class", (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 64)).cast("int")))
+    over = Window.partitionBy(key)
+    classes = counted.groupBy(key, "class").agg(F.sum("count").alias("c"))
+    classes = classes.withColumn("n", F.sum("c").over(over)).withColumn("below", F.sum("c").over(over.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
     place = lambda q: F.floor(F.lit(q) * (F.col("n") - 1)) + 1
-    return ranked.groupBy(key).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("hi") >= place(q), F.col(value))).alias(f"p{int(q * 100)}") for q in qs])
-
-
-def longest_bad_run(df: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:
-    """The longest run of bad rows; rows that are neither good nor bad do not break it (state: good, bad, neutral)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("s", state).where("s <> 'neutral'").withColumn("block", F.sum(F.when(F.col("s") == "good", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.where("s = 'bad'").groupBy(*keys, "block").agg(F.count("*").alias("run"))
-    return runs.groupBy(*keys).agg(F.max("run").alias("longest"))
+    here = [(F.col("below") < place(q)) & (place(q) <= F.col("below") + F.col("c")) for q in qs]
+    wanted = classes.where(functools.reduce(lambda a, b: a | b, here)).select(key, "class", "n", "below")
+    a, b = counted.alias("a"), wanted.alias("b")
+    same = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("a.class") == F.col("b.class"))
+    joined = a.join(b, same).select(f"a.{key}", "a.class", f"a.{value}", "a.count", "b.n", "b.below")
+    ranked = joined.withColumn("hi", F.col("below") + F.sum("count").over(Window.partitionBy(key, "class").orderBy(value)))
+    least = [F.min(F.when(F.col("hi") >= place(q), F.col(value))).alias(f"p{int(q * 100)}") for q in qs]
+    return ranked.groupBy(key).agg(F.max("n").alias("n"), *least)
+
+
+def longest_bad_run(df: DataFrame, keys: list[str], order: list[str], state: Column, chunk: Column | None = None) -> DataFrame:
+    """The longest run of bad rows; rows that are neither good nor bad do not break it (state: good, bad, neutral).
+
+    `chunk` parts a key's rows in their order (by default, the hour of the first order column where that is a time): each
+    part is gone through by itself and gives one row (its longest run, the runs at its two ends), and these rows are put
+    together, so a hot key is spread over as many tasks as it has parts."""
+    if chunk is None:
+        chunk = F.date_trunc("hour", F.col(order[0]).cast("timestamp")) if dict(df.dtypes)[order[0]].startswith("timestamp") else F.lit(0)
+    parts = [*keys, "_chunk"]
+    w = Window.partitionBy(*parts).orderBy(*order)
+    marked = df.withColumn("s", state).where("s <> 'neutral'").withColumn("_chunk", chunk).withColumn("block", F.sum(F.when(F.col("s") == "good", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = marked.groupBy(*parts, "block").agg(F.sum(F.when(F.col("s") == "bad", 1).otherwise(0)).alias("run"))
+    ends = blocks.groupBy(*parts).agg(F.max("run").alias("best"), F.max("block").alias("goods"), F.max(F.when(F.col("block") == 0, F.col("run"))).alias("head"), F.max_by("run", "block").alias("tail"))
+    rows = F.array_sort(F.collect_list(F.struct("_chunk", "best", "goods", F.coalesce("head", F.lit(0)).alias("head"), "tail")))
+
+    def step(acc, x):
+        # A part without a good row lets a run pass through.
+        through = acc["open"] + x["head"]
+        return F.struct(F.greatest(acc["best"], x["best"], through).alias("best"), F.when(x["goods"] == 0, through).otherwise(x["tail"]).alias("open"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("best"), F.lit(0).cast("bigint").alias("open"))
+    out = ends.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.aggregate("rows", zero, step, lambda a: a["best"]).alias("longest"))
+    return out.where("longest > 0")
+
+
+def worst_examples(fragments: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The n fragments of each group that masking changed least; the limit is the feature. Spark prunes the ranking to
+    the first n of a group before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy("share", *[c for c in fragments.columns if c not in (*keys, "share")])
+    return fragments.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 #: Characters up to which two texts of different lengths are aligned.

@@ -171,14 +171,33 @@ def _dated(s: int, e: int, low: str, mode: str) -> Found:
         yield s, e, "DOB", MEDIUM, f"dob:{mode}"
 
 
-BIRTH_PLACE = re.compile(r"(?:место рождения|место рожд\.?|м\.\s?р\.|уроженец|уроженка|родил(?:ся|ась) в|place of birth|born in)[\s:=—–|(«-]{0,5}(?:в\s+)?")
+BIRTH_PLACE = re.compile(r"(?:место\s{1,3}рождения|место\s{1,3}рожд\.?|м\.\s?р\.|уроженец|уроженка|родил(?:ся|ась)\s{1,3}в|place of birth|born in)[\s:=—–|(\[«\"-]{0,5}(?:в\s{1,3})?")
 _PLACE = re.compile(r"(?:(?:г|гор|город|с|село|пос|дер|деревня|обл|респ)\b\.?\s*)?[^\W\d_][\w-]*(?:\s+(?:обл\w*|край|район\w*|респ\w*))?(?:,\s*(?:г|гор|город|с|село|пос)\b\.?\s*[^\W\d_][\w-]*)?")
 
 
+#: A value that stands before its anchor: at the start of a line, field or quotation, a dash or a bracket behind it.
+_VALUE_BEFORE = re.compile(r"(?:^|[\n:;|•«\"(])[ \t]{0,4}([^\n:;|•«»\"()—–]{2,60}?)[»\"]?[ \t]{0,4}(?:[—–-]|\()[ \t]{0,4}$")
+_ANCHOR_ENDS = re.compile(r"[ \t]{0,4}(?:\)|$|[\n\r.;|])")
+
+
+def _value_before(low: str, m: re.Match) -> tuple[int, int] | None:
+    """The value on the left of an anchor that has none on its right."""
+    end = m.end() - (len(m[0]) - len(m[0].rstrip(" \t\n\u00a0:=—–|([«\"-")))
+    if not _ANCHOR_ENDS.match(low, end):
+        return None
+    start = max(0, m.start() - 80)
+    v = _VALUE_BEFORE.search(low[start : m.start()])
+    return (start + v.start(1), start + v.end(1)) if v else None
+
+
 def birth_places(text: str, low: str) -> Found:
     if not any_in(low, ("рожд", "р.", "урожен", "родил", "birth", "born")):
         return
     for m in BIRTH_PLACE.finditer(low):
+        left = _value_before(low, m)
+        if left:
+            yield *left, "BIRTH_PLACE", HIGH, "birth_place:before_anchor"
+            continue
         v = _PLACE.match(low, m.end())
         if v and v.end() - v.start() <= 60:
             s, e = _trim(text, v.start(), v.end())
@@ -186,7 +205,7 @@ def birth_places(text: str, low: str) -> Found:
                 yield s, e, "BIRTH_PLACE", HIGH, "birth_place:anchor"
 
 
-ISSUER_ANCHOR = re.compile(r"(?:кем выдан|выдан[оа]?|орган выдачи|наименование органа)[\s:=—–|(«-]{0,5}")
+ISSUER_ANCHOR = re.compile(r"(?:кем\s{1,3}выдан|выдан[оа]?|орган\s{1,3}выдачи|наименование\s{1,3}органа)[\s:=—–|(\[«\"-]{0,5}")
 AGENCY = re.compile(r"(?<!\w)(?:овд|увд|гувд|мвд|умвд|гу\s+мвд|уфмс|оуфмс|фмс|отдел\w*\s+(?:внутренних|милиции|полиции|миграции|по вопросам миграции|уфмс|овд)|отделени\w*\s+\w+|паспортн\w+\s+стол\w*)")
 _ISSUER_END = re.compile(r"[.;\n\r(]|,\s*(?!район|област|участок|в\s)|\d{1,2}[./-]\d|\d{3}-\d{3}|код\s+подр|дата|$")
 
@@ -196,6 +215,11 @@ def issuers(text: str, low: str) -> Found:
         return
     taken = 0
     for m in ISSUER_ANCHOR.finditer(low):
+        left = _value_before(low, m)
+        if left and AGENCY.search(low, *left):
+            taken = left[1]
+            yield *left, "ISSUER", HIGH, "issuer:before_anchor"
+            continue
         end = _ISSUER_END.search(low, m.end())
         s, e = _trim(text, m.end(), min(end.start() if end else len(low), m.end() + 160))
         if s < e and AGENCY.search(low, s, e):
@@ -209,7 +233,7 @@ def issuers(text: str, low: str) -> Found:
             yield s, e, "ISSUER", ANCHORED, "issuer:agency_near_passport"
 
 
-CITIZENSHIP = re.compile(r"(?:гражданство|гражданства|гражданин|гражданка|citizenship|citizen of)[\s:=—–|(«-]{0,5}")
+CITIZENSHIP = re.compile(r"(?:гражданство|гражданства|гражданин|гражданка|citizenship|citizen of)[\s:=—–|(\[«\"-]{0,5}")
 # Beginnings of country names.
 COUNTRY = ("росси", "рф", "российск", "казахст", "белар", "белорус", "украин", "узбекист", "таджикист", "киргиз", "кыргыз", "армени", "азербайдж", "груз", "молдов", "туркм", "латви", "литв", "эстон", "герман", "франц", "китай", "китая", "турци", "израил", "сша", "польш", "russia", "kazakh", "belarus", "ukrain", "german", "без гражданства")
 
@@ -218,6 +242,10 @@ def citizenships(text: str, low: str) -> Found:
     if not any_in(low, ("граждан", "citizen")):
         return
     for m in CITIZENSHIP.finditer(low):
+        left = _value_before(low, m)
+        if left and any(w.startswith(COUNTRY) for w in low[left[0] : left[1]].split()):
+            yield *left, "CITIZENSHIP", HIGH, "citizenship:before_anchor"
+            continue
         words = list(re.finditer(r"[^\W\d_][\w-]*", low[m.end() : m.end() + 60]))[:4]
         hit = [w for w in words if w[0].startswith(COUNTRY)]
         if hit and words.index(hit[0]) <= 2:
@@ -255,13 +283,23 @@ def _plain(reader):
     return lambda look: reader(look.text, look.low)
 
 
+def _either(reader):
+    """Reads the text as it is and, where that gives nothing, with look-alike letters folded."""
+
+    def read_both(look):
+        found = list(reader(look.text, look.low))
+        return found or (list(reader(look.text, look.fold)) if look.fold != look.low else found)
+
+    return read_both
+
+
 NUMERIC = ("PHONE", "CARD", "SNILS", "INN", "DRIVER_LICENSE", "PASSPORT", "DEPT_CODE", "POSTCODE", "CVV", "PIN")
 DOCUMENTS = ("SNILS", "FOREIGN_PASSPORT", "BIRTH_CERT", "MILITARY_ID", "RESIDENCE_PERMIT")
 EXTRAS = ("ACCOUNT", "OMS", "PLATE", "VIN", "IP_ADDRESS")
 #: Name, what it can find, reader. In the order in which they run, which decides between equal spans.
 READERS: list[tuple[str, tuple[str, ...], Callable]] = [
     ("number", NUMERIC, numeric.numbers), ("email", ("EMAIL",), patterns.emails), ("name", ("FIO",), people.names), ("date", ("DOB", "ISSUE_DATE"), None), ("address", ("ADDRESS",), places.addresses),
-    ("birth_place", ("BIRTH_PLACE",), _plain(birth_places)), ("issuer", ("ISSUER",), _plain(issuers)), ("citizenship", ("CITIZENSHIP",), _plain(citizenships)),
+    ("birth_place", ("BIRTH_PLACE",), _either(birth_places)), ("issuer", ("ISSUER",), _either(issuers)), ("citizenship", ("CITIZENSHIP",), _either(citizenships)),
     ("driver_letters", ("DRIVER_LICENSE",), patterns.driver_letters), ("holder", ("CARDHOLDER",), _plain(holders)), ("document", DOCUMENTS, patterns.documents), ("extra", EXTRAS, patterns.extras),
 ]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import text as t
 from spanveil.functions import validators as v
-from spanveil.operators import chat, context, masking, quality, subjects
+from spanveil.operators import chat, context, masking, metrics, pipeline, policy, quality, subjects
 from spanveil.plans.registry import query
 from spanveil.runtime import scratch_path, table
 from spanveil.schema import SPANS
@@ -192,3 +192,56 @@ def s_audit(spark, d):
     """Audit rows hold sizes and digests, never values."""
     s = table(spark, d, "samples").where("text is not null").select(F.col("system_id").alias("system"), "payload_id", F.col("text").alias("payload"), F.create_map().cast("map<string,int>").alias("counts"), F.lit(False).alias("degraded"))
     return writers.audit_rows(s, "mask").groupBy(F.col("system").alias("system_id"), "payload_id", "bytes").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT CASE WHEN took_ms IS NULL THEN 500 WHEN payload_id IS NULL THEN 422 WHEN direction LIKE 'mask%' THEN 200 ELSE 404 END AS status FROM captures)
+    SELECT status, (status // 100) || 'xx' AS class, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM c GROUP BY status"""
+)
+def a_status(spark, d):
+    """Requests by a status that their columns tell, with shares."""
+    c = table(spark, d, "captures")
+    status = F.when(F.col("took_ms").isNull(), 500).when(F.col("payload_id").isNull(), 422).when(F.col("direction").startswith("mask"), 200).otherwise(404)
+    return metrics.status_counts(c.select(status.alias("status")), "status")
+
+
+@query(
+    r"""WITH s AS (SELECT coalesce(upper(trim(type)), '(none)') AS type, fragment_id, length(regexp_replace(value, '[^0-9]', '', 'g')) / greatest(length(value), 1)::DOUBLE AS share FROM fragments),
+    r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY share, fragment_id) AS rank FROM s) SELECT type, fragment_id, share, rank::INT AS rank FROM r WHERE rank <= 5"""
+)
+def k_worst_examples(spark, d):
+    """The five values of each type that starring digits hides least: the limit is the feature."""
+    f = table(spark, d, "fragments")
+    share = F.length(t.digits_only(F.col("value"))) / F.greatest(F.length("value"), F.lit(1))
+    s = f.select(F.coalesce(F.upper(F.trim("type")), F.lit("(none)")).alias("type"), "fragment_id", share.cast("double").alias("share"))
+    return quality.worst_examples(s, ["type"], 5)
+
+
+@query(
+    """WITH r AS (SELECT source AS name, 100.0 * sum(n) / greatest(sum(length(text)), 1)::DOUBLE AS percent, half FROM (SELECT source, text, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n, sample_id % 2 AS half FROM samples WHERE text <> '') GROUP BY source, half),
+    j AS (SELECT coalesce(a.name, b.name) AS name, a.percent AS now, b.percent AS before FROM (SELECT * FROM r WHERE half = 0) a FULL OUTER JOIN (SELECT * FROM r WHERE half = 1) b ON a.name = b.name)
+    SELECT name, CASE WHEN now IS NULL THEN 'missing' WHEN before IS NULL THEN 'new' WHEN now > before + 0.5 THEN 'worse' ELSE 'ok' END AS verdict FROM j"""
+)
+def a_false_gate(spark, d):
+    """Characters covered by digits, one half of the samples against the other, by source."""
+    s = table(spark, d, "samples").where("text <> ''").select("sample_id", F.coalesce("source", F.lit(None)).alias("source"), "text")
+    runs = F.transform(F.regexp_extract_all("text", F.lit("[0-9]"), F.lit(0)), lambda x: F.struct(F.lit(0).alias("start"), F.lit(1).alias("end")))
+    rates = lambda k: quality.false_rates(s.where(F.pmod("sample_id", F.lit(2)) == k).withColumn("kept", runs), "source", "text", "kept")
+    return quality.false_gate(rates(0), rates(1)).select("name", "verdict")
+
+
+@query()
+def a_sample_scores(spark, d):
+    """The whole path scored on the labelled samples: what of each labelled value is hidden, and what is hidden outside."""
+    s = _labelled(spark, d).withColumnRenamed("spans", "gold")
+    m = pipeline.mask(s, "text", "full")
+    each = m.select("sample_id", "text", "masked", F.explode("gold").alias("s"))
+    share = quality.changed_share(F.col("text"), F.col("masked"), F.col("s.start"), F.col("s.end"))
+    return each.select("s.type", share.alias("share")).groupBy("type").agg(F.count("*").alias("spans"), F.round(F.avg("share"), 4).alias("hidden"))
+
+
+@query("SELECT system_id, coalesce(preset, 'full') AS preset, CASE WHEN len(coalesce(types, [])) = 0 THEN 28 ELSE len(types) END::INT AS n_types, system_id <> 'crm' AS enabled FROM systems")
+def m_listing(spark, d):
+    """Systems with their policies after one of them was switched off."""
+    s = policy.set_enabled(table(spark, d, "systems"), "crm", False)
+    return policy.listing(s).join(s.select("system_id", "enabled"), "system_id").select("system_id", "preset", "n_types", "enabled")

@@ -34,9 +34,16 @@ def append_audit(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, rows: int = 1000) -> str:
-    """A report table of an aggregate; at most `rows` rows come to the driver."""
+    """A report table of an aggregate. At most `rows` rows come to the driver; a last line says that there are more."""
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if x is None else str(x) for x in r) + " |\n" for r in df.limit(rows).collect())
+    got = df.limit(rows + 1).collect()
+    more = f"\nOnly the first {rows} rows are shown.\n" if len(got) > rows else ""
+    return head + "".join("| " + " | ".join("" if x is None else str(x) for x in r) + " |\n" for r in got[:rows]) + more
+
+
+def report(df: DataFrame, path: str) -> None:
+    """A whole aggregate as JSON lines, written by the executors."""
+    df.write.mode("overwrite").json(path)
 
 
 def exposition(df: DataFrame, name: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanveil.operators import pipeline
+from spanveil.operators import pipeline, policy
 from spanveil.operators.mapping import TTL_SECONDS
 
 OUT = "payload_id string, system string, action string, result string"
@@ -60,6 +60,17 @@ def flow(masked: DataFrame, ttl_seconds: int = TTL_SECONDS, demask: bool = True)
     return masked.groupBy("payload_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def masked_by_rules(requests: DataFrame, rules_path: str, write, checkpoint: str):
+    """A streaming query that reads the table of rules anew for each batch, so that edits hold from the next one on.
+    `write` takes the masked batch and its number. Gives the started query."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rules = policy.custom_types(rows.sparkSession.read.parquet(rules_path))
+        write(pipeline.mask(rows, "payload", custom=rules), number)
+
+    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _starry(text: str | None) -> bool:
     solid = [c for c in text or "" if not c.isspace()]
     return bool(solid) and sum(c == "*" for c in solid) >= 0.5 * len(solid)
