@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanveil.runtime import attach, digest, durable
+from spanveil.runtime import attach, digest, durable, spread
 
 # Letters drawn alike. Each row is Latin letter, then the Cyrillic, Greek and further Latin letters of the
 # same shape.
@@ -259,7 +259,8 @@ PART = 1000
 def _variants(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """look_key, raw_key, first_id, n_rows of each distinct text that looks like another one, with n_variants, the number
     of distinct texts of its class."""
-    shaped = df.where(F.col(text).isNotNull()).select(F.col(row_id).alias("id"), digest(F.col(text)).alias("raw_key"), digest(consistent(F.col(text))).alias("look_key"))
+    texts = spread(df.where(F.col(text).isNotNull()).select(F.col(row_id).alias("id"), F.col(text).alias("t")))
+    shaped = texts.select("id", digest(F.col("t")).alias("raw_key"), digest(consistent(F.col("t"))).alias("look_key"))
     variants = durable(shaped.groupBy("look_key", "raw_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows")))
     several = variants.groupBy("look_key").agg(F.count("*").alias("n_variants"), F.min("first_id").alias("class_id")).where("n_variants > 1")
     # A class that holds a great part of all distinct texts is one key of many rows here.
@@ -301,7 +302,8 @@ def known_value_matches(known: DataFrame, rows: DataFrame, known_id: str, row_id
     while it has at most BROADCAST_ROWS rows; beyond, it is looked up by a join that splits off hot values."""
 
     def keyed(df, key, name, raw):
-        return df.where(F.col(value).isNotNull()).select(F.col(key).alias(name), digest(F.col(value)).alias(raw), digest(consistent(F.col(value))).alias("look_key"))
+        values = spread(df.where(F.col(value).isNotNull()).select(F.col(key).alias(name), F.col(value).alias("t")))
+        return values.select(name, digest(F.col("t")).alias(raw), digest(consistent(F.col("t"))).alias("look_key"))
 
     left, right = keyed(known, known_id, "left_id", "known_key"), keyed(rows, row_id, "right_id", "row_key")
     if left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
