@@ -17,6 +17,8 @@ Defined results: NULL and empty texts are never flagged. A page id that repeats
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ LINK = (
     r"|(?<![\p{L}\p{Nd}_-])(?<![\p{L}\p{Nd}_-]\.)[\p{L}\p{Nd}_-]++(?:\.[\p{L}\p{Nd}_-]++)++/\S*+|#[\p{L}\p{Nd}_]++"
 )
 TAG = r"<[^<>]++>"
-#: Scripts that are compared with their own prose, by the first letter of a word.
-SCRIPTS = (("latin", r"^\p{IsLatin}"), ("cyrillic", r"^\p{IsCyrillic}"), ("greek", r"^\p{IsGreek}"), ("arabic", r"^\p{IsArabic}"), ("han", r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))
+#: Scripts that are compared with their own prose, by the code point of a word's first letter.
+SCRIPTS = (("latin", ((0x41, 0x24F), (0x1E00, 0x1EFF))), ("greek", ((0x370, 0x3FF),)), ("cyrillic", ((0x400, 0x52F),)), ("arabic", ((0x600, 0x6FF),)), ("han", ((0x3040, 0x9FFF), (0xAC00, 0xD7A3))))
 WORD = r"\p{L}+"
 #: Function words, and words of amounts, which price lists repeat.
 FUNCTION = sorted(CONNECT | PLACE)
@@ -133,7 +135,9 @@ def page_curves(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _script(word: Column) -> Column:
-    return F.coalesce(*[F.when(word.rlike(rule), name) for name, rule in SCRIPTS], F.lit("other"))
+    first = F.ascii(word)
+    inside = lambda ranges: functools.reduce(lambda a, b: a | b, [first.between(lo, hi) for lo, hi in ranges])
+    return F.coalesce(*[F.when(inside(ranges), name) for name, ranges in SCRIPTS], F.lit("other"))
 
 
 def _log_sum(x: str) -> Column:
