@@ -189,7 +189,15 @@ def n_generated(spark, d):
     return generate.generated(spark, 5000, seed=3).select("id", "category", "text", F.size("spans").alias("n_spans"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?;])([ \t\n\x0b\f\r])', '\1' || chr(1) || '\2', 'g'), '\x01|\n'),
+        lambda x: regexp_replace(x, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, s, 1 AS i, s[1] AS held, NULL::VARCHAR AS done FROM s WHERE len(s) > 0
+      UNION ALL SELECT doc_id, s, i + 1, CASE WHEN closed THEN s[i + 1] ELSE joined END, CASE WHEN closed THEN held END
+      FROM (SELECT *, held || ' ' || s[i + 1] AS joined, length(held || ' ' || s[i + 1]) > 300 AND length(held) >= 40 AS closed FROM f WHERE i < len(s))),
+    p AS (SELECT doc_id, i, done AS piece FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, held FROM f WHERE i = len(s) AND length(held) >= 40)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, piece FROM p"""
+)
 def n_fragmented(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(corpus.fragmented(F.col("text"))).alias("pos", "piece"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanveil.operators import corpus, mapping, metrics, pipeline, policy
+from spanveil.operators import corpus, mapping, metrics, policy
 from spanveil.plans.registry import query
 from spanveil.runtime import durable, scratch_path, table
+from spanveil.schema import SPANS
 from spanveil.sources import readers
 from spanveil.streaming import requests
 
@@ -55,24 +56,37 @@ def s_policy_faults(spark, d):
     return policy.faults(s)
 
 
-@query()
+@query(
+    """WITH f AS (SELECT payload_id, arg_min(text, sample_id) AS text FROM samples WHERE text <> '' AND payload_id IS NOT NULL GROUP BY 1), n AS (SELECT count(*) AS p, count(*) FILTER (regexp_matches(text, '[0-9]')) AS m FROM f)
+    SELECT * FROM (SELECT 'mask_retry' AS action, 200 AS status, p + 2 * (p - m) AS n FROM n UNION ALL SELECT 'demask', 200, m FROM n UNION ALL SELECT 'forbidden', 403, m FROM n UNION ALL SELECT 'mask_store', 200, p FROM n
+      UNION ALL SELECT 'ambiguous', 200, p FROM n) WHERE n > 0"""
+)
 def w_routed(spark, d):
-    """Each text arrives twice, then its mask comes back, from its own system and from another: what is done with
-    each. The mappings are built first and kept in the shared folder, as their cipher differs with every run."""
+    """Each text arrives twice, then its mask comes back, from its own system and from another, then another text under
+    its id, then it comes under an unknown id: what is done with each. Masks star the digits here. The mappings are built
+    first and kept in the shared folder, as their cipher differs with every run."""
     systems = table(spark, d, "systems")
     now = F.lit("2026-01-01 00:00:00").cast("timestamp")
-    first = table(spark, d, "samples").where("text <> ''").groupBy("payload_id").agg(F.min(F.struct("sample_id", "system_id", "text")).alias("x"))
-    r = first.select("payload_id", F.col("x.system_id").alias("system"), F.col("x.text").alias("payload"))
-    store = durable(mapping.mappings_of(pipeline.mask(r, "payload"), KEY, now))
+    first = table(spark, d, "samples").where("text <> '' and payload_id is not null").groupBy("payload_id").agg(F.min(F.struct("sample_id", "system_id", "text")).alias("x"))
+    r = first.select("payload_id", F.coalesce("x.system_id", F.lit("none")).alias("system"), F.col("x.text").alias("payload"))
+    masked = r.withColumn("masked", F.regexp_replace("payload", "[0-9]", "*")).withColumn("kept", F.array().cast(SPANS)).withColumn("degraded", F.lit(False))
+    store = durable(mapping.mappings_of(masked, KEY, now))
     back = store.select("payload_id", "system", F.col("mask").alias("payload"))
     foreign = back.withColumn("system", F.lit("another"))
-    asked = policy.joined(r.unionByName(back).unionByName(foreign), systems, "system").withColumn("demask", F.lit(True))
-    asked = asked.withColumn("preset", F.lit("full"))
-    out = mapping.routed(asked, store, KEY, now)
-    return out.groupBy("action", "status").agg(F.count("*").alias("n"))
+    other = r.withColumn("payload", F.concat("payload", F.lit(" и ещё")))
+    unknown = r.withColumn("payload_id", F.concat("payload_id", F.lit("?")))
+    every = r.unionByName(back).unionByName(foreign).unionByName(other).unionByName(unknown)
+    asked = policy.joined(every, systems, "system").withColumn("demask", F.lit(True)).withColumn("preset", F.lit("full"))
+    return mapping.routed(asked, store, KEY, now).groupBy("action", "status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT payload_id, text, epoch_ms(created_at) AS at_, row_number() OVER (PARTITION BY payload_id ORDER BY created_at, sample_id) AS k FROM samples WHERE payload_id IS NOT NULL AND text <> ''),
+    f AS (SELECT payload_id, k, text AS orig, at_ + 900000 AS expires, 'mask_store' AS action FROM r WHERE k = 1
+      UNION ALL SELECT r.payload_id, r.k, CASE WHEN f.expires <= r.at_ THEN r.text ELSE f.orig END, CASE WHEN f.expires <= r.at_ THEN r.at_ + 900000 ELSE f.expires END,
+        CASE WHEN f.expires <= r.at_ THEN 'mask_store' WHEN r.text = f.orig THEN 'mask_retry' ELSE 'ambiguous' END FROM f JOIN r ON r.payload_id = f.payload_id AND r.k = f.k + 1)
+    SELECT action, count(*) AS n FROM f GROUP BY 1"""
+)
 def w_streamed(spark, d):
     """The request flow as a stream over the samples, worked off to its end: masked without state, then decided with
     state by payload_id. The output and the checkpoint lie in the shared folder."""

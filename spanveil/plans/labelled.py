@@ -58,17 +58,35 @@ def m_numbered(spark, d):
     return s.select("sample_id", m.alias("m")).select("sample_id", F.col("m.text").alias("masked"), F.size("m.placeholders").alias("n_placeholders"))
 
 
+_FORM = "^(?:" + "|".join(x.replace(".", "\\.") for x in subjects.FORM_ANCHORS) + "):"
+#: Sentence, questionnaire (by the line before its first, NULL outside one) and compared value of each span.
+_GROUPS = rf"""k AS (SELECT sample_id, i, len(regexp_extract_all(substring(text, 1, a), '\n')) + len(regexp_extract_all(substring(text, 1, a + 1), '[.!?;][ \n]')) AS sentence,
+  trim(regexp_replace(lower(value), '\s+', ' ', 'g')) AS plain, len(regexp_extract_all(substring(text, 1, a), '\n')) AS line,
+  list_transform(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), '{_FORM}')) AS hits FROM v),
+  h AS (SELECT *, CASE WHEN hits[line + 1] THEN coalesce(list_max(list_filter(generate_series(1, line + 1), lambda j: NOT hits[j])), 0) END AS block FROM k)"""
+
+
 @query(
-    rf"""WITH {_SPANS}, k AS (SELECT sample_id, i, len(regexp_extract_all(substring(text, 1, a), '\n')) + len(regexp_extract_all(substring(text, 1, a + 1), '[.!?;][ \n]')) AS sentence,
-      trim(regexp_replace(lower(value), '\s+', ' ', 'g')) AS plain FROM v),
-    g AS (SELECT sample_id, i, 'sentence' AS basis, 0.6::DOUBLE AS conf, min(i) OVER (PARTITION BY sample_id, sentence) AS a FROM k
-      UNION ALL SELECT sample_id, i, 'repeat', 0.9::DOUBLE, min(i) OVER (PARTITION BY sample_id, plain) FROM k)
+    f"""WITH {_SPANS}, {_GROUPS}, g AS (SELECT sample_id, i, 'sentence' AS basis, 0.6::DOUBLE AS conf, min(i) OVER (PARTITION BY sample_id, sentence) AS a FROM h
+      UNION ALL SELECT sample_id, i, 'repeat', 0.9::DOUBLE, min(i) OVER (PARTITION BY sample_id, plain) FROM h
+      UNION ALL SELECT sample_id, i, 'anchor', 0.9::DOUBLE, min(i) OVER (PARTITION BY sample_id, block) FROM h WHERE block IS NOT NULL)
     SELECT sample_id, a::INT AS a, i::INT AS b, basis, conf FROM g WHERE a < i"""
 )
 def g_star_edges(spark, d):
-    """Labelled spans linked with the first span of their sentence and of their value: as many links as spans."""
+    """Labelled spans linked with the first span of their sentence, their questionnaire and their value: linear in spans."""
     s = _labelled(spark, d).withColumn("edges", subjects.edges(F.col("text"), F.col("spans")))
-    return s.select("sample_id", F.explode("edges").alias("e")).select("sample_id", "e.a", "e.b", "e.basis", "e.conf").where("basis <> 'anchor'")
+    return s.select("sample_id", F.explode("edges").alias("e")).select("sample_id", "e.a", "e.b", "e.basis", "e.conf")
+
+
+@query(
+    f"""WITH RECURSIVE {_SPANS}, {_GROUPS}, e AS (SELECT x.sample_id, x.i, y.i AS j FROM h x JOIN h y ON x.sample_id = y.sample_id AND (x.sentence = y.sentence OR x.plain = y.plain OR x.block = y.block)),
+    r AS (SELECT sample_id, i, j FROM e UNION SELECT r.sample_id, r.i, e.j FROM r JOIN e ON e.sample_id = r.sample_id AND e.i = r.j)
+    SELECT sample_id, i::INT AS pos, min(j)::INT AS subject FROM r GROUP BY ALL"""
+)
+def g_components(spark, d):
+    """The subject of each labelled span: the connected components of the links, named by their first span."""
+    s = _labelled(spark, d).withColumn("links", subjects.links(F.col("text"), F.col("spans")))
+    return s.select("sample_id", F.posexplode("links").alias("pos", "x")).select("sample_id", "pos", "x.subject")
 
 
 @query(
