@@ -101,15 +101,14 @@ class Numbering:
 
     def __call__(self, text: str) -> str:
         kept, _ = onepass.resolve(words.read(text, frozenset(ALL_TYPES), 2026, "pii_context"), 0.6)
-        out, at = [], 0
+        out, at, spoken = [], 0, onepass.spoken_for(text)
         for start, end, kind, _, _ in kept:
             if start < at:
                 continue
             value = text[start:end]
             token = self.tokens.get((kind, value))
             if token is None:
-                self.count[kind] = self.count.get(kind, 0) + 1
-                token = self.tokens[kind, value] = f"[{kind}_{self.count[kind]}]"
+                token = self.tokens[kind, value] = onepass.next_token(kind, self.count, spoken)
                 self.pairs.append({"token": token, "value": value, "type": kind})
             out += [text[at:start], token]
             at = end

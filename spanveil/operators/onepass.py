@@ -63,6 +63,22 @@ def initials(value: str) -> str:
     return short or "*" * len(value)
 
 
+_LIKE_PLACEHOLDER = re.compile(r"[^\W\d]+_\d+")
+
+
+def spoken_for(text: str) -> set[str]:
+    """What looks like a placeholder in a text already, in capitals without brackets."""
+    return {x.upper() for x in _LIKE_PLACEHOLDER.findall(text)} if "_" in text else set()
+
+
+def next_token(kind: str, count: dict[str, int], spoken: set[str]) -> str:
+    """The next placeholder of a type; numbers that the text uses itself are passed over, so that restoring stays exact."""
+    count[kind] = count.get(kind, 0) + 1
+    while f"{kind}_{count[kind]}" in spoken:
+        count[kind] += 1
+    return f"[{kind}_{count[kind]}]"
+
+
 def masked(text: str, spans: list[Span], preset: str) -> tuple[str, list[tuple[str, str, str]] | None]:
     """The text with its spans replaced, and the placeholders put in under the token preset. Spans are by place; those that
     overlap what is replaced already are skipped."""
@@ -71,13 +87,13 @@ def masked(text: str, spans: list[Span], preset: str) -> tuple[str, list[tuple[s
     numbers: dict[tuple[str, str], str] = {}
     count: dict[str, int] = {}
     placeholders = []
+    spoken = spoken_for(text) if preset == "token" else set()
     for start, end, kind, _, _ in spans:
         value = text[start:end]
         if preset == "token":
             token = numbers.get((kind, value))
             if token is None:
-                count[kind] = count.get(kind, 0) + 1
-                token = numbers[kind, value] = f"[{kind}_{count[kind]}]"
+                token = numbers[kind, value] = next_token(kind, count, spoken)
             placeholders.append((token, value, kind))
         if start < at or end > len(text):
             continue
