@@ -86,9 +86,10 @@ def d_document_numbers(spark, d):
 
 @query()
 def d_document_shapes(spark, d):
-    """Plates, vehicles, network addresses, licences with letters, birth certificates and military cards."""
-    out = pipeline.detected(table(spark, d, "samples").select("sample_id", "text"), "text", ("PLATE", "VIN", "IP_ADDRESS", "DRIVER_LICENSE", "BIRTH_CERT", "MILITARY_ID"))
-    return _findings(out, "sample_id").where(~F.col("reason").startswith("driver:"))
+    """Plates, vehicles, network addresses, licences with letters, birth certificates and military cards among the values."""
+    f = table(spark, d, "fragments").select("fragment_id", F.concat_ws(": ", F.lower("type"), "value").alias("text"))
+    out = pipeline.detected(f, "text", ("PLATE", "VIN", "IP_ADDRESS", "DRIVER_LICENSE", "BIRTH_CERT", "MILITARY_ID"))
+    return _findings(out, "fragment_id").where(~F.col("reason").startswith("driver:"))
 
 
 @query()
