@@ -65,7 +65,7 @@ def _findings(df, key):
 @query(number_sql.number_sql("samples", "sample_id", "text"))
 def d_numbers(spark, d):
     """What each number of a sample is by itself: phones, cards, pension and tax numbers, licences, passports, codes."""
-    s = table(spark, d, "samples").select("sample_id", "text")
+    s = spread(table(spark, d, "samples").select("sample_id", "text"))
     return _findings(s.withColumn("spans", words.number_singles(F.col("text"))), "sample_id")
 
 
@@ -153,7 +153,7 @@ def x_excluded(spark, d):
 @query()
 def g_subjects(spark, d):
     """Which findings of a sample belong together, with the types of each subject."""
-    s = pipeline.settled(pipeline.detected(table(spark, d, "samples").where("text is not null").select("sample_id", "text"), "text")).select("sample_id", "text", "kept")
+    s = pipeline.mask(table(spark, d, "samples").where("text is not null").select("sample_id", "text"), "text").select("sample_id", "text", "kept")
     s = s.withColumn("links", subjects.links(F.col("text"), F.col("kept")))
     x = s.select("sample_id", F.posexplode(F.arrays_zip("kept", "links")).alias("pos", "x"))
     return x.groupBy("sample_id", F.col("x.links.subject").alias("subject")).agg(F.count("*").alias("n_spans"), F.array_sort(F.collect_set("x.kept.type")).alias("types"))
@@ -161,7 +161,7 @@ def g_subjects(spark, d):
 
 @query()
 def g_edges(spark, d):
-    s = pipeline.settled(pipeline.detected(table(spark, d, "samples").where("text is not null").select("sample_id", "text"), "text")).select("sample_id", "text", "kept")
+    s = pipeline.mask(table(spark, d, "samples").where("text is not null").select("sample_id", "text"), "text").select("sample_id", "text", "kept")
     s = s.withColumn("edges", subjects.edges(F.col("text"), F.col("kept")))
     return s.select("sample_id", F.explode("edges").alias("e")).select("sample_id", "e.*")
 
